@@ -15,8 +15,8 @@ import numpy as np
 
 from .common import SpanHasher, mix
 
-#: Pieces that a worker remembers at most; beyond it the memory starts afresh. About 30 bytes each.
-REMEMBER = 3_000_000
+#: Pieces that a worker remembers at most; beyond it the memory starts afresh. About 80 bytes each with what a growing table copies.
+REMEMBER = 800_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x0A]] = True
@@ -43,7 +43,7 @@ class PieceTable:
     def __init__(self, bits: int = 18):
         self._reset(bits)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.length, self.n = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32), 0
+        self.first, self.length, self.n = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), 0
 
     def _reset(self, bits: int) -> None:
         self.mask = np.uint64((1 << bits) - 1)
@@ -88,7 +88,7 @@ class PieceTable:
             bits = int(self.mask).bit_length()
             while 2 * (self.n + n) > 1 << bits:
                 bits += 1
-            self._reset(bits + 1)
+            self._reset(bits)
             self._place(k, e)
         self._place(h, np.arange(self.n, self.n + n, dtype=np.int32))
         self.used, self.n = self.used + len(flat), self.n + n
@@ -149,7 +149,7 @@ class Encoder:
             entry = self.table.find(h)
         length = self.table.length[entry].astype(np.int64)
         stop = np.cumsum(length)
-        flat = self.table.pool[np.repeat(self.table.first[entry] - (stop - length), length) + np.arange(stop[-1])]
+        flat = self.table.pool[np.repeat(self.table.first[entry].astype(np.int64) - (stop - length), length) + np.arange(stop[-1])]
         ends = np.concatenate([[0], stop])
         return flat, ends[np.searchsorted(start, off)]
 

@@ -33,7 +33,7 @@ from .common import blocks, partitions, stored, text_of
 MAGIC = b"BPS1"
 BLOCK = 1 << 16
 #: Ids in a chunk, about; a chunk ends with the document that reaches it.
-CHUNK_IDS = 1 << 21
+CHUNK_IDS = 1 << 20
 
 
 def pack_planes(ids: np.ndarray) -> list[bytes]:
@@ -141,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 0, chun
 def read_tokens(chunks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the chunks.
 
-    The chunks' sizes (24 bytes for each 2 million ids) go to the driver to be summed up in order.
+    The chunks' sizes (24 bytes for each million ids) go to the driver to be summed up in order.
     """
     spark = chunks.sparkSession
     sizes = sorted(tuple(r) for r in chunks.select("part", "seq", "n_ids").collect())
