@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_llr, token_store
+from . import packing, quality_llr, resharding, token_store, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old shards by source, as a crawl would leave them; eight new ones of equal capacity."""
+    docs = table(spark, sf_dir, "documents")
+    out, _ = resharding.reshard(docs, F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(8)), [1] * 8)
+    cols = [F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"]
+    return out.select("doc_id", "size", "text_crc32", *cols)
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -35,3 +45,11 @@ def op7_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.read_bundles(warc_bundles.write_bundles(table(spark, sf_dir, "pages")))
+
+
+ORACLE["op9_warc_bundles"] = warc_bundles.ORACLE_SQL
