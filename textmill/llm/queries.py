@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_llr, resharding, token_store, warc_bundles
+from . import packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old shards by source, as a crawl would leave them; eight new ones of equal capacity."""
@@ -37,6 +42,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(token_store.write_tokens(table(spark, sf_dir, "documents")))

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased words and their first four and five bytes, hashed into ``2**bits`` buckets. Labelled rows pick the buckets
+Terms are lower-cased words and their first four, five and six bytes, hashed into ``2**bits`` buckets. Labelled rows pick the buckets
 that go with the label (chi-square, at most ``terms``), and a second-order factorization machine is fitted to their presence:
 
     score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)   over the chosen terms of the text
@@ -29,10 +29,10 @@ from .common import SpanHasher, blocks, text_of
 class FMParams:
     rows: int = 20_000
     bits: int = 18
-    terms: int = 4096
+    terms: int = 512
     least_chi2: float = 10.83
     factors: int = 6
-    epochs: int = 60
+    epochs: int = 25
     rate: float = 0.05
     decay: float = 1e-4
     seed: int = 17
@@ -63,7 +63,7 @@ def term_buckets(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarr
     h, row = SpanHasher(low), np.searchsorted(off, start, "right") - 1
     found = [h.spans(start, end)]
     rows = [row]
-    for k in (4, 5):
+    for k in (4, 5, 6):
         long = end - start > k
         found.append(h.spans(start[long], start[long] + k) ^ np.uint64(k))
         rows.append(row[long])
