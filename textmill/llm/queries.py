@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
+from . import decontamination, packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_warc_bundles"] = warc_bundles.ORACLE_SQL
+
+
+@query
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
