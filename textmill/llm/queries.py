@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
+from . import decontamination, jaccard_join, line_dedup, packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,16 @@ def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", *cols)
 
 
+@query
+def op3_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, links (lines that equal or nearly equal an earlier one), the earliest document
+    among it and those its lines came from, and the text that is left."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    links = [F.col("_lines").alias("n_lines"), (F.col("_exact") + F.col("_near")).alias("n_links"), F.col("_near").alias("n_near")]
+    return out.select("doc_id", F.least("doc_id", "_source").alias("class_id"), *links, F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+
+
 @query
 def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
