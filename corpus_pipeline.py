@@ -1,8 +1,62 @@
-"""The cleaning pipeline: quality rules, line dedup, n-gram Jaccard join, decontamination, packing."""
+"""The cleaning pipeline over documents: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
-STAGES: list = []
+Each stage takes what its predecessor kept and returns the columns of documents; the last returns the packed
+pieces. Nulls, repeated rows, empty tables and clashing column names are handled as the operators' docstrings state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textmill.llm import decontamination, jaccard_join, line_dedup, packing, quality_llr
+from textmill.llm.common import stored
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_llr.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that equal or nearly equal an earlier one go, and documents left without a line."""
+    return line_dedup.strip_duplicates(docs)
+
+
+def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard_join.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the kept documents in sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_ngrams),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
+
+#: SQL can express neither the token ids nor the fitted scores.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, out, sf_dir)
+        if i < len(STAGES) - 1:
+            out = stored(out, "stage")
+    return out
