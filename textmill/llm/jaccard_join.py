@@ -180,15 +180,16 @@ def _forest(a: list, b: list, n: int) -> tuple[list, list]:
 
 
 def _brute(p: JoinParams):
-    """A spanning forest of each bucket's candidates: an edge for each set at most."""
+    """A spanning forest of the candidates of the buckets at hand: an edge for each set at most, however many buckets it is in."""
 
     def run(batches):
         for t in groups(batches):
             path, node = t.column(0).to_numpy(), t.column(1).to_numpy()
             a, b = _agreeing(_embs(t.column(2), p.coordinates), path, math.ceil(p.slack * p.coordinates), p.block)
-            label = local_components(a, b, len(node))
-            i = np.flatnonzero(label != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[label[i]])], ["a", "b"])
+            nodes, at = np.unique(node, return_inverse=True)
+            label = local_components(at[a], at[b], len(nodes))
+            i = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[label[i]])], ["a", "b"])
 
     return run
 
