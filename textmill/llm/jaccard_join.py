@@ -33,7 +33,7 @@ from .components import components, groups, local_components
 @dataclass(frozen=True)
 class JoinParams:
     """similarity: numerator and denominator of the threshold. recall: of pairs at the threshold, by the runs.
-    slack: smallest agreement of embeddings, as a share, that makes a candidate."""
+    bucket: largest that is brute-forced before the last level. block: sets in a block of the exact verification."""
 
     k: int = 5
     similarity: tuple[int, int] = (4, 5)
@@ -41,7 +41,6 @@ class JoinParams:
     bucket: int = 128
     depth: int = 6
     recall: float = 0.999
-    slack: float = 0.55
     block: int = 512
     broadcast_rows: int = 500_000
 
@@ -54,6 +53,17 @@ class JoinParams:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - x))
 
 
+    def agreement(self) -> int:
+        """Places in which embeddings of a candidate agree at least: a pair at the threshold falls short with a tenth of the
+        probability that the runs may miss it, by the binomial law."""
+        s, n, short = self.similarity[0] / self.similarity[1], self.coordinates, 0.0
+        for k in range(n + 1):
+            short += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+            if short > (1 - self.recall) / 10:
+                return k
+        return n
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, ascending within the row, and the rows' bounds."""
     start, end, row = words(data, off)
@@ -185,7 +195,7 @@ def _brute(p: JoinParams):
     def run(batches):
         for t in groups(batches):
             path, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-            a, b = _agreeing(_embs(t.column(2), p.coordinates), path, math.ceil(p.slack * p.coordinates), p.block)
+            a, b = _agreeing(_embs(t.column(2), p.coordinates), path, p.agreement(), p.block)
             nodes, at = np.unique(node, return_inverse=True)
             label = local_components(at[a], at[b], len(nodes))
             i = np.flatnonzero(label != np.arange(len(nodes)))
