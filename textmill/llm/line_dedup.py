@@ -31,10 +31,12 @@ from .components import groups
 
 @dataclass(frozen=True)
 class LineParams:
+    """broadcast_rows: line hashes (8 bytes each) up to which the lines of groups are looked up in a broadcast array; beyond it by a join."""
+
     tau: int = 2
     min_chars: int = 24
     block: int = 1024
-    broadcast_rows: int = 500_000
+    broadcast_rows: int = 2_000_000
 
 
 def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -317,8 +319,7 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     _source is the smallest doc_id that has one of the lines that went, earlier or near; null where none went.
     """
     per = dropped_lines(docs, p).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "near")).alias("_gone"), F.min("source").alias("_source"))
-    per = stored(per.select(F.col("doc_id").alias("_m_id"), "_gone", "_source"), "gone")
-    per = F.broadcast(per) if (per.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= p.broadcast_rows else per
+    per = stored(per.select(F.col("doc_id").alias("_m_id"), "_gone", "_source"), "gone").hint("merge")  # a table that grows with the input
     joined = docs.join(per, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == per["_m_id"], "left").drop("_m_id")
     at, names = docs.columns.index("text"), joined.columns
     gone_at = names.index("_gone")
