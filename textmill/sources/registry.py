@@ -81,7 +81,7 @@ def read_sample_text(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def write_text(df: DataFrame, path: str) -> None:
     """Texts with a blank line after each."""
-    df.select(F.concat("text", F.lit("\n\n"))).write.mode("overwrite").option("lineSep", "").text(path)
+    df.select("text").write.mode("overwrite").option("lineSep", "\n\n").text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
