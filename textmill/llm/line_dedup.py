@@ -313,16 +313,24 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     return gone.select("doc_id", "line", "h", F.col("source").isNotNull().alias("near"), F.least(F.coalesce("source", "d"), F.col("d")).alias("source"))
 
 
-def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """docs with all its columns, the lines that go taken out of text, and _lines, _exact, _near (counts) and _source.
+def _unused(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has."""
+    taken = {c.lower() for c in columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
 
-    _source is the smallest doc_id that has one of the lines that went, earlier or near; null where none went.
+
+def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> tuple[DataFrame, list[str]]:
+    """docs with all its columns, the lines that go taken out of text, and four more columns, whose names are returned:
+    lines, lines gone as exact and as near copies, and the smallest doc_id that has one of the lines that went (null where none went).
     """
-    per = dropped_lines(docs, p).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "near")).alias("_gone"), F.min("source").alias("_source"))
-    per = stored(per.select(F.col("doc_id").alias("_m_id"), "_gone", "_source"), "gone").hint("merge")  # a table that grows with the input
-    joined = docs.join(per, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == per["_m_id"], "left").drop("_m_id")
+    m_id, gone_name, lines_n, exact, near, source = _unused(docs.columns, "_m_id", "_gone", "_lines", "_exact", "_near", "_source")
+    per = dropped_lines(docs, p).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "near")).alias(gone_name), F.min("source").alias(source))
+    per = stored(per.select(F.col("doc_id").alias(m_id), gone_name, source), "gone").hint("merge")  # a table that grows with the input
+    joined = docs.join(per, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == per[m_id], "left").drop(m_id)
     at, names = docs.columns.index("text"), joined.columns
-    gone_at = names.index("_gone")
+    gone_at = names.index(gone_name)
 
     def run(batches):
         for batch in batches:
@@ -330,8 +338,7 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
             gone, new = batch.column(gone_at).to_pylist(), batch.column(at).to_pylist()
             counts = np.zeros((batch.num_rows, 3), np.int64)
             for lo, hi, data, off in blocks(col):
-                x = lines_of(data, off)
-                counts[lo:hi, 0] = np.bincount(x[2], minlength=hi - lo)
+                counts[lo:hi, 0] = np.bincount(lines_of(data, off)[2], minlength=hi - lo)
                 if not any(gone[lo:hi]):
                     continue
                 y = Lines(data, off, p)
@@ -342,16 +349,17 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
                         new[i] = "\n".join(s for n, s in enumerate(new[i].split("\n")) if n not in out)
                         counts[i, 1:] = len(out) - sum(out.values()), sum(out.values())
             cols = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names)) if i != gone_at]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(counts[:, i]) for i in range(3))], [*(n for i, n in enumerate(names) if i != gone_at), "_lines", "_exact", "_near"])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(counts[:, i]) for i in range(3))], [*(n for i, n in enumerate(names) if i != gone_at), lines_n, exact, near])
 
-    schema = joined.drop("_gone").schema.add("_lines", "long").add("_exact", "long").add("_near", "long")
-    return joined.mapInArrow(run, schema)
+    schema = joined.drop(gone_name).schema.add(lines_n, "long").add(exact, "long").add(near, "long")
+    return joined.mapInArrow(run, schema), [lines_n, exact, near, source]
 
 
 def strip_duplicates(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """docs without the lines that go, and without documents that thereby lose their last line with a solid character; n_chars, if there is such a column, follows the text."""
-    out = dedup_lines(docs, p).filter("_exact + _near = 0 or _exact + _near < _lines")
+    out, (lines_n, exact, near, _) = dedup_lines(docs, p)
+    lost = F.col(exact) + F.col(near)
+    out = out.filter((lost == 0) | (lost < F.col(lines_n)))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("_exact") + F.col("_near") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
+        out = out.withColumn("n_chars", F.when(lost > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
