@@ -39,7 +39,7 @@ class JoinParams:
     similarity: tuple[int, int] = (4, 5)
     coordinates: int = 64
     bucket: int = 128
-    depth: int = 6
+    depth: int = 4
     recall: float = 0.999
     block: int = 512
     broadcast_rows: int = 500_000
