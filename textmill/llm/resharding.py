@@ -133,8 +133,8 @@ def reshard(docs: DataFrame, old_shard: Column, capacities: list[int], fineness:
     block = F.shiftleft(F.col("old_shard").cast("long"), 48) + key
     sums = light.groupBy(block.alias("block"), "old_shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("size")).alias("all")).collect()
     place = assign([(r.block, r.old_shard, r.bytes) for r in sums], capacities)
-    # files: consecutive blocks of one shard, of about a partition's bytes
-    goal = max(1, total // max(1, partitions(spark)))
+    # files: consecutive blocks of one shard, of about a quarter of a partition's bytes, so that those which meet in a task even out
+    goal = max(1, total // max(1, 4 * partitions(spark)))
     files, file, held, base, last = [], -1, 0, 0, None
     for r in sorted(sums, key=lambda r: (place[r.block], r.block)):
         if place[r.block] != last:
