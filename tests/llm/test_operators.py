@@ -496,6 +496,22 @@ def test_decontamination_is_brute_force(spark, docs, benchmark):
     assert got == brute_contaminated(rows, [tuple(r) for r in benchmark.select("item_id", "text").collect()])
 
 
+@pytest.mark.parametrize("width", [20, 60, 100])
+def test_decontamination_of_swapped_parts(spark, width):
+    """The item's parts in another order, inside a long document, at its ends and alone; and parts that are too short."""
+    item = [f"w{i}" for i in range(width)]
+    around, rows = [f"o{i}" for i in range(150)], []
+    for cut in (width // 2, width * 7 // 10):
+        swapped = item[cut:] + item[:cut]
+        rows += [[*around, *swapped, *around], [*swapped, *around], [*around, *swapped], swapped, [*around, *item[:cut], *around, *item[cut:]]]
+    rows += [[*around, *item, *around, *item[width // 2 :], *item[: width // 2]], item[: width * 8 // 10] + around, ["same"] * 200]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    items = [(1, " ".join(item)), (2, " ".join(["same"] * 30))]
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, tuple(r["items"])) for r in got) == brute_contaminated(rows, items)
+    assert width == 20 or got[0].contaminated
+
+
 def test_decontamination_odd_rows(spark, odd, none, benchmark):
     more = benchmark.select("item_id", "text").unionByName(spark.createDataFrame([(None, "a null id with five words or more"), (77, None), (78, "x"), (79, "")], "item_id long, text string"))
     kept = decontamination.keep_clean(odd, more)

@@ -3,8 +3,9 @@
 A document is contaminated by an item if some window of it, of as many words as the item, has a weighted-shingle similarity
 (sum of the smaller over sum of the larger multiplicities of five-word shingles) of at least 0.8 to the item.
 
-1. A window that shares no shingle with an item has similarity 0 to it. So windows are laid where a shingle of the
-   document is a shingle of the item, aligned by the item's first place of it; nothing above the threshold is lost.
+1. Two bags of shingles reach similarity t only if they share t / (1 + t) of the shingles of both. So windows are laid at every start from
+   which a window as long as an item holds that many places whose shingle some item of that length has, in whatever order; nothing above the
+   threshold is lost.
 2. Each different window content gets a 64-bit SimHash of its shingles, and so does each item.
 3. Multi-index Hamming blocks: the 64 bits are five blocks. Two fingerprints within radius 19 differ by at most three bits in some
    block, so every item is entered under all values of each block within three flips, and an equi-join on (block, value)
@@ -68,6 +69,23 @@ def _flips(bits: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(FLIPS + 1) for c in combinations(range(bits), n)]
 
 
+def _starts(hits: Column, n: Column, size: Column, similarity: float) -> Column:
+    """The starts of the windows (size shingles, or all n of a shorter document) that hold enough of the ascending places of shingles
+    that an item of this size has: a similarity of t takes t / (1 + t) of the shingles of both sides. The window of hit i to hit
+    i + need - 1 has a range of starts; the ranges ascend, so each goes on where the one before ends."""
+    own = F.least(size, n)
+    need = F.greatest(F.lit(1), F.ceil((size + own) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
+
+    def at(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(hits, i + need - 1) - own + 1)
+        high = F.least(F.get(hits, i), n - own)
+        before = F.when(i > 0, F.least(F.get(hits, i - 1), n - own)).otherwise(F.lit(-1))
+        low = F.greatest(low, before + 1)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(hits) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - need), at))).otherwise(F.array().cast("array<int>"))
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     """df is a stored table, so counting it is cheap."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -84,21 +102,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     """(doc_id, text_hash, item_id, similarity): the best window of each document for each item that it has."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h"))
     items = stored(items.select("item_id", F.size("h").alias("width"), _rolled(F.col("h")).alias("s")).filter(F.size("s") > 0).distinct().withColumn("item", F.xxhash64("item_id", "s")), "items")
-    places = items.select("item", "width", F.posexplode("s").alias("item_at", "x")).groupBy("item", "width", "x").agg(F.min("item_at").alias("item_at"))
-    places = stored(places.select("x", "width", "item_at").distinct(), "places")
+    places = stored(items.select("width", F.explode("s").alias("x")).distinct(), "places")
 
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
     hashed = docs.select(*key, word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= K)
-    laid = hashed.select("doc_id", "text_hash", F.size("h").alias("n"), F.posexplode(_rolled(F.col("h"))).alias("at", "x"))
-    hits = laid.join(_maybe_broadcast(places), "x")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n") - F.col("width")))
-    windows = stored(hits.select("doc_id", "text_hash", start.alias("start"), "width").distinct(), "windows")
+    laid = hashed.select("doc_id", "text_hash", (F.size("h") - K + 1).alias("n"), F.posexplode(_rolled(F.col("h"))).alias("at", "x"))
+    hits = laid.join(_maybe_broadcast(places), "x").groupBy("doc_id", "text_hash", "width", "n").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+    windows = hits.select("doc_id", "text_hash", F.explode(_starts(F.col("hits"), F.col("n"), F.col("width") - K + 1, similarity)).alias("start"), "width")
+    windows = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "width")).alias("windows"))
 
-    here = windows.withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"})
+    here = stored(windows, "windows").withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"})
     texts = docs.select(*key, "text")
     joined = texts.join(_maybe_broadcast(here), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    cut = joined.select("doc_id", "text_hash", "start", "width", word_hashes(F.col("text")).alias("h"))
-    cut = cut.select("doc_id", "text_hash", _rolled(F.slice(F.col("h"), F.col("start") + 1, F.col("width"))).alias("s")).distinct()
+    cut = joined.select("doc_id", "text_hash", "windows", word_hashes(F.col("text")).alias("h")).select("doc_id", "text_hash", "windows", _rolled(F.col("h")).alias("all"))
+    cut = cut.select("doc_id", "text_hash", "all", F.inline("windows")).select("doc_id", "text_hash", F.slice("all", F.col("start") + 1, F.col("width") - K + 1).alias("s")).distinct()
     cut = stored(cut.withColumn("content", F.xxhash64("s", F.size("s"))), "cut")
     contents = cut.select("content", "s").dropDuplicates(["content"])
 
