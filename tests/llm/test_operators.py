@@ -184,6 +184,16 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert out[0].startswith("a line that stands") and all(not out[i].startswith("a line that stands") for i in range(1, 6))
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Exact copies go at any length; near ones only where both are long enough."""
+    texts = ["Home\nAll rights reserved.\n版权所有", "  Home \nall rights reserved.\nown", "版权所有\nx", "x\nx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for p in (line_dedup.LineParams(), line_dedup.LineParams(broadcast_rows=0)):
+        got = {(r.doc_id, r.line) for r in line_dedup.dropped_lines(df, p).collect()}
+        assert got == {(1, 0), (2, 0), (3, 0), (3, 1)}
+    assert {r.doc_id: r.text for r in line_dedup.strip_duplicates(df).collect()} == {0: texts[0], 1: "all rights reserved.\nown", 2: "x"}
+
+
 # ---------------------------------------------------------------- n-gram Jaccard join
 
 

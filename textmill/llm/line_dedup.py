@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are the parts of a text between line feeds, stripped of surrounding white space; a line of fewer than ``min_chars`` code
-points is too short to tell a copy from a coincidence and always stays. A line goes if an equal line comes earlier (by doc_id,
-then line number), or if its text is within ``tau`` edits (code points inserted, deleted or replaced) of a text that comes earlier.
+Lines are the parts of a text between line feeds, stripped of surrounding white space. A line goes if an equal line comes earlier (by
+doc_id, then line number), whatever its length, or if its text is within ``tau`` edits (code points inserted, deleted or replaced) of a
+text that comes earlier; only texts of ``min_chars`` code points or more are compared by edits.
 
 1. Each different line is split into tau + 1 even segments. Two lines within tau edits share some segment of the shorter one,
    at a place that the multi-match-aware window bounds, so a line is entered under (its length, segment number, segment) and probes
@@ -65,14 +65,14 @@ def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Lines:
-    """The lines of a block that take part, in code points."""
+    """The lines of a block, in code points; long are those that are compared by edits."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, p: LineParams):
         start, end, self.row, self.number = lines_of(data, off)
         at = np.concatenate([[0], np.cumsum(code_points(data))])
         a, b = at[start], at[end]
-        long = b - a >= p.min_chars
-        self.start, self.end, self.row, self.number = a[long], b[long], self.row[long], self.number[long]
+        self.long = b - a >= p.min_chars
+        self.start, self.end = a, b
         self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         self.hasher = SpanHasher(self.points, code_points=True)
         self.hash = self.hasher.spans(self.start, self.end).view(np.int64)
@@ -191,6 +191,7 @@ def _keys(p: LineParams):
             for _lo, _hi, data, off in blocks(text_of(batch)):
                 x = Lines(data, off, p)
                 h, own = np.unique(x.hash, return_index=True)
+                h, own = h[x.long[own]], own[x.long[own]]
                 own = own[~np.isin(h, seen)]
                 seen = np.union1d(seen, h)
                 key, h, entered = keys_of(x, own, p)
@@ -219,13 +220,14 @@ def _meet(p: LineParams):
 
 
 def _texts(p: LineParams, wanted):
-    """(h, line) of the lines that take part, or of those whose hash is in the wanted array."""
+    """(h, line) of the lines that are compared by edits, or of those whose hash is in the wanted array."""
 
     def run(batches):
         for batch in batches:
             for _lo, _hi, data, off in blocks(text_of(batch)):
                 x = Lines(data, off, p)
                 h, own = np.unique(x.hash, return_index=True)
+                h, own = h[x.long[own]], own[x.long[own]]
                 if wanted is not None:
                     own = own[np.isin(h, wanted.value, assume_unique=True)]
                 lines = [x.points[x.start[i] : x.end[i]].tobytes().decode("utf-32-le") for i in own]
