@@ -184,6 +184,35 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert out[0].startswith("a line that stands") and all(not out[i].startswith("a line that stands") for i in range(1, 6))
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_line_classes_are_brute_force(spark, edited, block):
+    """Classes by all lines in however many steps; links from both sides, by copies."""
+    texts = ["\n".join(edited[i : i + 3]) for i in range(0, len(edited), 3)] + ["X", "X\nY", "Y", "alone", "", "Y\nY", edited[0], "p\nq", "q", "q"]
+    ids = [*range(len(texts) - 2), None, None]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    lines = [(k, s.strip()) for k, t in enumerate(texts) for s in t.split("\n") if s.strip()]
+    links, root = [0] * len(texts), list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (i, x) in enumerate(lines):
+        for j, y in lines[:a]:
+            if x == y or (min(len(x), len(y)) >= 24 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2):
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    least = {}
+    for k, d in enumerate(ids):
+        if d is not None:
+            least[find(k)] = min(least.get(find(k), d), d)
+    want = Counter((d, least.get(find(k)), links[k]) for k, d in enumerate(ids))
+    got = line_dedup.line_classes(df, line_dedup.LineParams(block=block)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
 def test_line_dedup_of_short_lines(spark):
     """Exact copies go at any length; near ones only where both are long enough."""
     texts = ["Home\nAll rights reserved.\n版权所有", "  Home \nall rights reserved.\nown", "版权所有\nx", "x\nx"]

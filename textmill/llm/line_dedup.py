@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, SpanHasher, blocks, code_points, mix, partitions, stored, text_of
-from .components import groups
+from .components import components, groups, local_components
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ def _occurrences(p: LineParams):
         for batch in batches:
             for lo, _hi, data, off in blocks(text_of(batch)):
                 x = Lines(data, off, p)
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash), batch.column(0).take(pa.array(x.row + lo)), pa.array(x.number)], ["h", "doc_id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.hash), batch.column(0).take(pa.array(x.row + lo)), batch.column(2).take(pa.array(x.row + lo)), pa.array(x.number)], ["h", "doc_id", "row", "line"])
 
     return run
 
@@ -236,15 +236,44 @@ def _texts(p: LineParams, wanted):
     return run
 
 
+NO_ID = FAR = (1 << 63) - 1
+
+
+def _first_met(texts: list[np.ndarray], key: np.ndarray, i: np.ndarray, j: np.ndarray, p: LineParams) -> np.ndarray:
+    """Which pairs (the entered text i, the probing text j) are met under the key at hand first: the key of i's first segment that j
+    has within its window. So a pair that shares several segments counts once."""
+    size = np.array([len(t) for t in texts])
+    at = np.concatenate([[0], np.cumsum(size)])
+    hasher = SpanHasher(np.concatenate(texts), code_points=True)
+    length, less = size[i], size[j] - size[i]
+    out, open_ = np.zeros(len(i), bool), np.ones(len(i), bool)
+    for s in range(p.tau + 1):
+        a, n = segment(length, s, p.tau + 1)
+        mine = hasher.spans(at[i] + a, at[i] + a + n)
+        low = np.maximum(np.maximum(a - s, a + less - (p.tau - s)), 0)
+        high = np.minimum(np.minimum(a + s, a + less + (p.tau - s)), size[j] - n)
+        has = np.zeros(len(i), bool)
+        for step in range(2 * p.tau + 1):
+            ok = low + step <= high
+            b = at[j][ok] + low[ok] + step
+            has[ok] |= hasher.spans(b, b + n[ok]) == mine[ok]
+        salt = mix((length * (p.tau + 1) + s).astype(np.uint64) + np.uint64(0xABCD))
+        out |= open_ & has & (mix(mine + salt).view(np.int64) == key[i])
+        open_ &= ~has
+    return out
+
+
 def _verify(p: LineParams):
-    """(h, source) of the lines with an earlier one within tau edits; source is the doc_id of the earliest found."""
+    """(h, source, links, root) of the lines with another within tau edits: the doc_id of the earliest found, if it is earlier, the copies
+    of the others, and a line of its component. Each pair counts under one key and in one pair of blocks."""
 
     def run(batches):
         for t in groups(batches, 3):
             key, bi, bj, h, entered, block, doc, line = (t.column(i).to_numpy(zero_copy_only=False) for i in range(8))
-            raw = t.column(8).to_pylist()
+            copies = t.column(8).to_numpy()
+            raw = t.column(9).to_pylist()
             cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             ends = np.append(cuts[1:], len(key))
             at = 0
             while at < len(cuts):  # small groups are verified together
@@ -270,30 +299,53 @@ def _verify(p: LineParams):
                 texts = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in raw[lo:hi]]
                 i, j = np.concatenate(a), np.concatenate(b)
                 size = np.array([len(x) for x in texts])
-                fit = size[i - lo] <= size[j - lo]
+                fit = (size[i - lo] < size[j - lo]) | ((size[i - lo] == size[j - lo]) & (h[i] < h[j]))
                 i, j = i[fit], j[fit]
                 ok = close_pairs(texts, i - lo, j - lo, p.tau)
                 i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                ok = _first_met(texts, key[lo:hi], i - lo, j - lo, p)
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
                 early = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (h[i] < h[j]))))
                 late, source = np.where(early, j, i), np.where(early, i, j)
-                order = np.lexsort((doc[source], late))
-                late, source = late[order], source[order]
-                new = np.append(True, late[1:] != late[:-1]) if len(late) else np.zeros(0, bool)
-                out.append((h[late[new]], doc[source[new]]))
-            x = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], ["h", "source"])
+                first_doc = np.full(hi - lo, FAR)
+                np.minimum.at(first_doc, late - lo, doc[source])
+                links = np.zeros(hi - lo, np.int64)
+                np.add.at(links, i - lo, copies[j])
+                np.add.at(links, j - lo, copies[i])
+                # a line is in several groups here: its place is its hash
+                names, at_name = np.unique(h[lo:hi], return_inverse=True)
+                root = names[local_components(at_name[i - lo], at_name[j - lo], len(names))][at_name]
+                own = np.flatnonzero(links)
+                out.append((h[lo:hi][own], first_doc[own], links[own], root[own], np.isin(own, late - lo)))
+            x = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+            source = pa.array(x[1], pa.int64(), mask=~x[4])
+            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), source, pa.array(x[2], pa.int64()), pa.array(x[3], pa.int64())], ["h", "source", "links", "root"])
 
     return run
 
 
-NO_ID = (1 << 63) - 1
 
 
-def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """(doc_id, line, h, near, source) of every line that goes; doc_id is NO_ID for documents without one."""
+def _row(docs: DataFrame):
+    """The hash of a row's doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+
+
+def _node(row, doc_id):
+    """A document as a node: rows that repeat a doc_id are one, rows without doc_id are one if their texts are equal."""
+    return F.when(doc_id == NO_ID, row).otherwise(F.xxhash64(F.lit("doc"), doc_id))
+
+
+def linked_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """(doc_id, row, line, h, d, l, source, n, links, root) of every line that has a copy or a near one: d and l are its first place, n its
+    copies, links and root as _verify has them (0 and h without a near one); doc_id is NO_ID for documents without one. A stored table."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    seen = stored(rows.mapInArrow(_occurrences(p), "h long, doc_id long, line long"), "lines")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", _row(docs).alias("row"))
+    seen = stored(rows.mapInArrow(_occurrences(p), "h long, doc_id long, row long, line long"), "lines")
     firsts = stored(seen.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("n")).select("h", F.col("at.doc_id").alias("d"), F.col("at.line").alias("l"), "n"), "firsts")
     keys = rows.select("text").mapInArrow(_keys(p), "key long, h long, entered boolean")
     dealt = keys.repartition(2 * partitions(spark), "key").sortWithinPartitions("key")
@@ -304,17 +356,42 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
         known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
     texts = rows.select("text").mapInArrow(_texts(p, known), "h long, line_text string")
     texts = (texts if known else texts.join(wanted, "h", "left_semi")).dropDuplicates(["h"])
-    texts = stored(texts.join(firsts, "h").select("h", "d", "l", "line_text"), "texts")
+    texts = stored(texts.join(firsts, "h").select("h", "d", "l", "n", "line_text"), "texts")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     pairs = met.select("key", "h", "entered", "block", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    members = pairs.join(texts, "h").select("key", "bi", "bj", "h", "entered", "block", "d", "l", "line_text")
+    members = pairs.join(texts, "h").select("key", "bi", "bj", "h", "entered", "block", "d", "l", "n", "line_text")
     dealt = members.repartition(2 * partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "h")
-    near = dealt.mapInArrow(_verify(p), "h long, source long").groupBy("h").agg(F.min("source").alias("source"))
-    verdict = firsts.join(near, "h", "left").filter("n > 1 or source is not null")
-    gone = seen.join(verdict, "h").filter("source is not null or doc_id <> d or line <> l")
+    near = stored(dealt.mapInArrow(_verify(p), "h long, source long, links long, root long"), "near")
+    roots = components(near.select(F.col("h").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "h")
+    near = near.groupBy("h").agg(F.min("source").alias("source"), F.sum("links").alias("links")).join(roots, "h")
+    verdict = firsts.join(near, "h", "left").filter("n > 1 or links is not null")
+    verdict = verdict.select("h", "d", "l", "source", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "h").alias("root"))
+    return stored(seen.join(verdict, "h"), "linked")
+
+
+def _dropped(linked: DataFrame) -> DataFrame:
+    gone = linked.filter("source is not null or doc_id <> d or line <> l")
     return gone.select("doc_id", "line", "h", F.col("source").isNotNull().alias("near"), F.least(F.coalesce("source", "d"), F.col("d")).alias("source"))
 
 
+def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """(doc_id, line, h, near, source) of every line that goes; doc_id is NO_ID for documents without one."""
+    return _dropped(linked_lines(docs, p))
+
+
+def classes(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """(row, class_id, n_links) of the rows with a line that has a copy or a near one. A class is all documents that such lines join, in
+    however many steps; class_id is its smallest doc_id, null if none has one. n_links is the sum over the row's lines of
+    the other lines of the table that equal them or are within tau edits."""
+    ends = linked.select("doc_id", "row", "root", _node(F.col("row"), F.col("doc_id")).alias("node")).distinct()
+    ends = stored(ends.withColumn("line_node", F.xxhash64(F.lit("line"), "root")), "ends")
+    comp = components(ends.select(F.col("node").alias("a"), F.col("line_node").alias("b"))).withColumnRenamed("root", "comp")
+    rows = stored(ends.select("doc_id", "row", "node").distinct().join(comp, "node").select("doc_id", "row", "comp"), "rows")
+    named = rows.groupBy("comp").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("class_id"))
+    links = linked.select("row", "line", "h", (F.col("n") - 1 + F.col("links")).alias("links")).distinct().groupBy("row").agg(F.sum("links").alias("n_links"))
+    return rows.join(named, "comp").join(links, "row").select("row", "class_id", "n_links")
+
+
 def _unused(columns: list[str], *names: str) -> list[str]:
     """Names like the given ones that no column has."""
     taken = {c.lower() for c in columns}
@@ -323,12 +400,13 @@ def _unused(columns: list[str], *names: str) -> list[str]:
     return list(names)
 
 
-def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> tuple[DataFrame, list[str]]:
+def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), linked: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """docs with all its columns, the lines that go taken out of text, and four more columns, whose names are returned:
     lines, lines gone as exact and as near copies, and the smallest doc_id that has one of the lines that went (null where none went).
+    linked: linked_lines of docs, if it is known.
     """
     m_id, gone_name, lines_n, exact, near, source = _unused(docs.columns, "_m_id", "_gone", "_lines", "_exact", "_near", "_source")
-    per = dropped_lines(docs, p).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "near")).alias(gone_name), F.min("source").alias(source))
+    per = _dropped(linked_lines(docs, p) if linked is None else linked).groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "near")).alias(gone_name), F.min("source").alias(source))
     per = stored(per.select(F.col("doc_id").alias(m_id), gone_name, source), "gone").hint("merge")  # a table that grows with the input
     joined = docs.join(per, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == per[m_id], "left").drop(m_id)
     at, names = docs.columns.index("text"), joined.columns
@@ -365,3 +443,16 @@ def strip_duplicates(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lost > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def line_classes(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id and n_links as classes() has them (its own doc_id and 0 without links), n_lines,
+    n_near (lines gone as near copies), and the length and CRC of the text that is left."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    linked = linked_lines(docs, p)
+    out, (lines, _, near, _) = dedup_lines(docs.withColumn("row", _row(docs)), p, linked)
+    per = classes(docs, linked)
+    text = F.coalesce("text", F.lit(""))
+    left = out.select("doc_id", "row", F.col(lines).alias("n_lines"), F.col(near).alias("n_near"), F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+    class_id = F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return left.join(per, "row", "left").select("doc_id", class_id, "n_lines", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_near", "kept_chars", "kept_crc32")

@@ -39,12 +39,10 @@ def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, links (lines that equal or nearly equal an earlier one), the earliest document
-    among it and those its lines came from, and the text that is left."""
-    out, (lines, exact, near, source) = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    links = [F.col(lines).alias("n_lines"), (F.col(exact) + F.col(near)).alias("n_links"), F.col(near).alias("n_near")]
-    return out.select("doc_id", F.least("doc_id", source).alias("class_id"), *links, F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+    """Per document: lines, links (other lines of the table that equal or nearly equal one of its own), the earliest document
+    of its class, and the text that is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_classes(docs)
 
 
 @query
