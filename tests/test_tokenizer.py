@@ -31,6 +31,13 @@ def test_fast_training_is_the_naive_one(docs):
     assert bpe.train_fast({"aaa": 1}, 400) == bpe.train_naive({"aaa": 1}, 400)
 
 
+def test_training_leaves_no_pretoken_out(spark, docs):
+    hist = {r.chunk: r.freq for r in bpe.histogram(docs).collect()}
+    assert len(hist) > 2
+    assert bpe.train(docs, 266, max_words=2).merges == bpe.train_naive(hist, 266)
+    assert bpe.train(spark.createDataFrame([("aaa b",)], "text string"), 400, max_words=1).merges == bpe.train_naive({"aaa": 1, " b": 1}, 400)
+
+
 def test_pair_counts(spark):
     hist = spark.createDataFrame([("aaa", 2), ("ab", 5), ("é", 1)], "chunk string, freq long")
     assert {(r.a, r.b): r.cnt for r in bpe.pair_counts(hist).collect()} == {(97, 97): 4, (97, 98): 5, (0xC3, 0xA9): 1}

@@ -1,7 +1,8 @@
 """Byte-level BPE: pre-tokens and pair counts as plans, training on the histogram of different pre-tokens, encoding of different pre-tokens.
 
 The corpus is only ever touched by the histogram (partial aggregation before its one shuffle) and by the final join; the merge
-loop is sequential and runs on the driver over different pre-tokens, at most max_words of the most frequent.
+loop is sequential. It runs on the driver while there are at most max_words different pre-tokens, and beyond that over a table of all of
+them, of which only each best pair comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .storage import stored
 
 #: Fixed value: the pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,6 +44,11 @@ def bytes_of(chunk: Column) -> Column:
 def pair_counts(hist: DataFrame) -> DataFrame:
     """(a, b, cnt): adjacent bytes of the histogram's pre-tokens, each pair by its pre-token's frequency; overlapping pairs all count."""
     ids = hist.filter(F.octet_length("chunk") > 1).select("freq", bytes_of(F.col("chunk")).alias("ids"))
+    return id_pair_counts(ids)
+
+
+def id_pair_counts(ids: DataFrame) -> DataFrame:
+    """(a, b, cnt) of (freq, ids)."""
     n = F.size("ids") - 1
     pairs = ids.select("freq", F.inline(F.arrays_zip(F.slice("ids", 1, n).alias("a"), F.slice("ids", F.lit(2), n).alias("b"))))
     return pairs.groupBy("a", "b").agg(F.sum("freq").alias("cnt"))
@@ -180,10 +187,37 @@ class Tokenizer:
         return cls([(a, b) for a, b, _ in sorted(triples, key=lambda t: t[2])], dict(own.get("special_tokens", {})) if isinstance(own, dict) else {})
 
 
+def _merge_in(words: DataFrame, pair: Pair, new: int) -> DataFrame:
+    """(freq, ids) with the pair merged, equal rows as they are."""
+
+    def run(batches):
+        for batch in batches:
+            ids = [merged(tuple(w), pair, new) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["freq", "ids"])
+
+    return words.mapInArrow(run, "freq long, ids array<int>")
+
+
+def train_spread(hist: DataFrame, vocab: int) -> list[Pair]:
+    """The same merges over a table (chunk, freq) of any size: each merge is one count and one pass over the words that still have a pair."""
+    words = stored(hist.filter(F.octet_length("chunk") > 1).select("freq", bytes_of(F.col("chunk")).alias("ids")), "words")
+    merges: list[Pair] = []
+    while len(merges) < vocab - 256:
+        best = best_pair(id_pair_counts(words)).first()
+        if best.cnt is None:
+            break
+        merges.append((best.a, best.b))
+        if len(merges) < vocab - 256:
+            words = stored(_merge_in(words, merges[-1], 255 + len(merges)).filter(F.size("ids") > 1), "words")
+    return merges
+
+
 def train(docs: DataFrame, vocab: int, max_words: int = 1_000_000) -> Tokenizer:
-    """Counts pre-tokens in Spark, then merges on the driver."""
-    rows = histogram(docs).orderBy(F.desc("freq"), "chunk").limit(max_words).collect()
-    return Tokenizer(train_fast({r.chunk: r.freq for r in rows}, vocab))
+    """Counts pre-tokens in Spark, then merges: on the driver up to max_words different ones, else over their table. No pre-token is left out."""
+    hist = stored(histogram(docs), "pretokens")
+    if hist.count() > max_words:
+        return Tokenizer(train_spread(hist, vocab))
+    return Tokenizer(train_fast({r.chunk: r.freq for r in hist.collect()}, vocab))
 
 
 def encode_chunks(chunks: DataFrame, tok: Tokenizer) -> DataFrame:
