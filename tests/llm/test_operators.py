@@ -290,6 +290,15 @@ def test_jaccard_beyond_the_bound_and_stage(spark, odd, none):
     assert jaccard_join.keep_first(none).count() == 0
 
 
+def test_jaccard_stage_judges_rows(spark):
+    """A clean row stays though its id repeats a copy's; of copies without an id, or of a copy's near ones under its id, one stays."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, c + " more"), (None, d), (3, d), (4, e), (4, e + " more"), (None, None), (None, "")]
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    ids = sorted((r[0] or 0, (r[1] or "")[:1]) for r in got)
+    assert ids == [(0, ""), (0, "c"), (1, "a"), (2, "b"), (3, "d"), (4, "e")]
+
+
 # ---------------------------------------------------------------- packing and token files
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import SpanHasher, blocks, grams, mix, partitions, per_row, seeds, stored, text_of, words
 from .components import components, groups, local_components
@@ -292,8 +293,8 @@ def exact_sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
     return texts.select("text", "node", "comp", "nb", "last", "copies").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
-def classes(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: the smallest doc_id of its class, and the other documents linked to it."""
+def _judged(docs: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and (node, root, class_id, n_links) of every set; stored tables."""
     rows = stored(embedded(docs, p), "embedded")
     nodes = stored(rows.select("node", "emb").dropDuplicates(["node"]), "nodes")
     copies = stored(rows.groupBy("node").agg(F.min("doc_id").alias("w_id"), F.count(F.lit(1)).alias("copies")), "copies")
@@ -314,13 +315,50 @@ def classes(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     per = copies.join(links, "node", "left").join(root, "node", "left").select("node", "w_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     per = stored(per, "per_node")
     named = per.groupBy("root").agg(F.min("w_id").alias("class_id"))
-    per = per.join(named, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    per = per.join(named, "root").select("node", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return rows, stored(per, "judged")
+
+
+def classes(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the smallest doc_id of its class, and the other documents linked to it."""
+    rows, per = _judged(docs, p)
     return rows.select("doc_id", "node").join(per, "node").select("doc_id", "class_id", "n_links")
 
 
 def keep_first(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """The rows of docs that are the first of their class, with all their columns. Rows without doc_id stay; rows that repeat
-    the first's doc_id stay with it."""
-    gone = stored(classes(docs, p).filter("doc_id <> class_id").select(F.col("doc_id").alias("_m_id")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= p.broadcast_rows else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_m_id"], "left_anti")
+    """The rows of docs that are the first of their class by (doc_id, set hash), with all their columns; rows without doc_id come last.
+    Rows are judged by id and set, so rows of one id and different texts have each their own verdict. Rows that repeat both the id and the
+    set of the first stay with it, but of a class that has no id, one row stays."""
+    at, names = docs.columns.index("text"), docs.columns
+    m_id, m_node = "_m_id", "_m_node"
+    while {m_id, m_node} & {c.lower() for c in names}:
+        m_id, m_node = f"_{m_id}", f"_{m_node}"
+    rows, per = _judged(docs, p)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    pairs = rows.select("doc_id", "node").distinct().join(per.select("node", "root"), "node")
+    first = pairs.groupBy("root").agg(F.min(order).alias("first"))
+    gone = pairs.join(first, "root").filter(order != F.col("first")).select(F.col("doc_id").alias(m_id), F.col("node").alias(m_node))
+    gone = stored(gone, "gone")
+    lone = rows.filter("doc_id is null").groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    lone = stored(lone, "lone")
+
+    def run(batches):
+        for batch in batches:
+            nodes = []
+            for lo, hi, data, off in blocks(text_of(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]))):
+                g, bound = shingle_sets(data, off, p.k)
+                nodes += [set_key(g[bound[i] : bound[i + 1]]) for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*names, m_node])
+
+    schema = StructType([*docs.schema.fields, StructField(m_node, LongType())])
+    known = docs.mapInArrow(run, schema)
+    g = gone.withColumnsRenamed({m_node: "_g_node"})
+    g = F.broadcast(g) if g.count() <= p.broadcast_rows else g
+    known = known.join(g, known["doc_id"].cast("long").eqNullSafe(g[m_id]) & (known[m_node] == g["_g_node"]), "left_anti")
+    if not lone.limit(1).count():
+        return known.select(*names)
+    l_node = F.broadcast(lone) if lone.count() <= p.broadcast_rows else lone
+    named = stored(known, "named")
+    several = named.filter("doc_id is null").join(l_node, named[m_node] == l_node["node"], "left_semi")
+    others = named.join(l_node, named["doc_id"].isNull() & (named[m_node] == l_node["node"]), "left_anti")
+    return others.unionByName(several.dropDuplicates([m_node])).select(*names)
