@@ -83,6 +83,16 @@ def test_pii_model_holds_out(docs):
     assert not base and {k for k, _, _ in spans} == {"secret", "email"}
 
 
+def test_pii_every_kind_can_be_added():
+    d = pii.train()
+    assert all(d.thresholds[k] < 1 for k in pii.KINDS)
+    for span in ("4111.1111.1111.1111", "4111  1111  1111  1111", "4222222222222"):
+        text = f"paid by visa card {span} on the same day"
+        base, spans = pii.all_spans(text, d)
+        assert not base and [(k, text[a:b]) for k, a, b in spans] == [("card", span)]
+    assert not pii.all_spans("see order 4111.1111.1111.1112 on the same day", d)[1]
+
+
 def test_pii_odd_rows(odd, none):
     rows = pii.find_pii(odd, with_text=True).collect()
     assert len(rows) == len(ODD)

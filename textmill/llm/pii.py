@@ -176,6 +176,17 @@ class Examples:
     def word(self) -> str:
         return self.chars("abcdefghilmnoprstu", 2, 9)
 
+    def card(self, valid: bool) -> str:
+        """A number of card length whose Luhn sum is right or not, in spellings that are mostly outside the base format."""
+        r = self.r
+        lengths = r.choice([(13,), (4, 3, 3, 3), (4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3)])
+        body = self.digits(sum(lengths) - 1)
+        right = next(c for c in "0123456789" if luhn(body + c))
+        number = body + (right if valid else r.choice([c for c in "0123456789" if c != right]))
+        sep = r.choice([".", "  ", "/", " - "] if lengths[1:] and sum(lengths) > 13 else [".", "  ", "/", " ", "-"])
+        ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+        return sep.join(number[b - n : b] for n, b in zip(lengths, ends, strict=True))
+
     def positive(self) -> tuple[str, str, str]:
         """(kind, cue, span)."""
         r, w = self.r, self.word
@@ -185,6 +196,7 @@ class Examples:
             lambda: ("email", r.choice(["mail", "contact", "reach me", ""]), f"{w()}{r.choice(['.', '_', ''])}{w()}{at}{w()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"),
             lambda: ("phone", r.choice(["call", "tel:", "phone", "fax"]), r.choice([f"({self.digits(3)}) {self.digits(3, 4, sep='-')}", self.digits(3, 3, 4, sep=r.choice("-. ")), f"0{self.digits(2, 3, 4, sep=' ')}"])),
             lambda: ("national_id", r.choice(["ssn", "social security", "national id", "tax id"]), self.digits(3, 2, 4, sep="-")),
+            lambda: ("card", r.choice(["card", "visa", "payment", "account", ""]), self.card(True)),
             lambda: ("ip", r.choice(["server", "host", "ping", "address"]), ":".join(self.chars("0123456789abcdef", 1, 4) for _ in range(8))),
             lambda: ("secret", r.choice(["key", "aws key", "", "uses"]), "AKIA" + self.chars(alnum[:26] + "234567", 16, 16)),
             lambda: ("secret", r.choice(["password=", "secret:", "passwd="]), self.chars(alnum[26:], 9, 20) + self.digits(2)),
@@ -204,6 +216,7 @@ class Examples:
             lambda: ("phone", "", self.digits(r.randint(7, 15))),
             lambda: ("national_id", r.choice(["call", "invoice", "", "order", "since"]), r.choice([self.digits(3, 3, 4, sep="-"), self.digits(9), f"{year}-{self.digits(2, 2, sep='-')}", self.digits(4, 4, sep="-")])),
             lambda: ("card", r.choice(["order", "isbn", "", "part no"]), self.digits(r.randint(13, 19))),
+            lambda: ("card", r.choice(["order", "isbn", "", "part no", "card", "account"]), self.card(False)),
             lambda: ("ip", r.choice(["at", "from", ""]), self.digits(2, 2, 2, 2, sep=":")),
             lambda: ("secret", r.choice(["", "the", "in", "version", "commit", "see"]), r.choice([f"{w()}{w()}{w()}{self.digits(1)}", f"{w()}-{w()}-{year}", f"{w()}_{w()}_{self.digits(2)}", f"{w()}-{self.digits(1)}-{w()}", self.digits(r.randint(12, 20))])),
             lambda: ("secret", r.choice(["token:", "secret:", "password:", "the secret: "]), w() + w()[:6]),
