@@ -178,7 +178,7 @@ def test_line_dedup_is_brute_force(spark, edited):
                 if any(s == o or distance(s, o) <= 2 for o in seen):
                     want.add((i, n))
                 seen.append(s)
-    for p in (line_dedup.LineParams(), line_dedup.LineParams(block=2, broadcast_rows=0)):  # blocks, and the way beyond the bound
+    for p in (line_dedup.LineParams(), line_dedup.LineParams(block=2)):
         assert {(r.doc_id, r.line) for r in line_dedup.dropped_lines(df, p).collect()} == want
 
 
@@ -227,9 +227,8 @@ def test_line_dedup_of_short_lines(spark):
     """Exact copies go at any length; near ones only where both are long enough."""
     texts = ["Home\nAll rights reserved.\n版权所有", "  Home \nall rights reserved.\nown", "版权所有\nx", "x\nx"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for p in (line_dedup.LineParams(), line_dedup.LineParams(broadcast_rows=0)):
-        got = {(r.doc_id, r.line) for r in line_dedup.dropped_lines(df, p).collect()}
-        assert got == {(1, 0), (2, 0), (3, 0), (3, 1)}
+    got = {(r.doc_id, r.line) for r in line_dedup.dropped_lines(df).collect()}
+    assert got == {(1, 0), (2, 0), (3, 0), (3, 1)}
     assert {r.doc_id: r.text for r in line_dedup.strip_duplicates(df).collect()} == {0: texts[0], 1: "all rights reserved.\nown", 2: "x"}
 
 

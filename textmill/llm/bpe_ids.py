@@ -1,7 +1,7 @@
 """Token ids of whole texts with a public byte-level BPE, through the tokenizers library.
 
 A byte-level BPE never merges across pre-tokens, so equal pieces of text between safe cuts always get equal ids.
-Each worker cuts a block of text at such places with NumPy, hashes the pieces, and hands the library
+Each worker cuts a block of text at such places with NumPy, looks the pieces up by hash and then by their bytes, and hands the library
 only pieces it has not seen. The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
 Safe cuts are the places where the pre-token pattern always ends a token: before a space or line feed that
@@ -15,8 +15,8 @@ import numpy as np
 
 from .common import SpanHasher, mix
 
-#: Pieces that a worker remembers at most; beyond it the memory starts afresh. About 80 bytes each with what a growing table copies.
-REMEMBER = 800_000
+#: Pieces, and bytes of them, that a worker remembers at most; beyond it the memory starts afresh. About 90 bytes a piece with what a growing table copies.
+REMEMBER, REMEMBER_BYTES = 800_000, 1 << 25
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x0A]] = True
@@ -37,13 +37,30 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Runs:
+    """Numbered runs of values in one growing array."""
+
+    def __init__(self, kind):
+        self.pool, self.used = np.zeros(1 << 20, kind), 0
+        self.first, self.length, self.n = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), 0
+
+    def append(self, flat: np.ndarray, length: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + len(length) > len(self.first):
+            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.first[self.n : self.n + len(length)] = self.used + np.cumsum(length) - length
+        self.length[self.n : self.n + len(length)] = length
+        self.used, self.n = self.used + len(flat), self.n + len(length)
+
+
 class PieceTable:
-    """Open addressing from 64-bit piece hashes to runs in a pool of ids; all steps are vectorised."""
+    """Open addressing from 64-bit piece hashes to entries, which have the piece's bytes and its ids; all steps are vectorised."""
 
     def __init__(self, bits: int = 18):
         self._reset(bits)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.length, self.n = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32), 0
+        self.ids, self.raw = Runs(np.uint32), Runs(np.uint8)
 
     def _reset(self, bits: int) -> None:
         self.mask = np.uint64((1 << bits) - 1)
@@ -71,27 +88,36 @@ class PieceTable:
             left = left[self.key[slot[left]] != h[left]]
             slot[left] = (slot[left] + 1) & int(self.mask)
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def append(self, pieces: list[bytes], ids: list[list[int]]) -> np.ndarray:
+        """New entries, which no hash finds yet."""
+        n = self.ids.n
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        self.ids.append(np.fromiter((x for y in ids for x in y), np.uint32, int(length.sum())), length)
+        self.raw.append(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int32, len(pieces)))
+        return np.arange(n, self.ids.n, dtype=np.int32)
+
+    def add(self, h: np.ndarray, pieces: list[bytes], ids: list[list[int]]) -> None:
         """Adds distinct hashes that find() doesn't know."""
-        n, length = len(h), np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(length.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + n > len(self.first):
-            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.first[self.n : self.n + n] = self.used + np.cumsum(length) - length
-        self.length[self.n : self.n + n] = length
-        if 2 * (self.n + n) > len(self.key):
+        entry = self.append(pieces, ids)
+        if 2 * self.ids.n > len(self.key):
             known = np.flatnonzero(self.at >= 0)
             k, e = self.key[known], self.at[known]
             bits = int(self.mask).bit_length()
-            while 2 * (self.n + n) > 1 << bits:
+            while 2 * self.ids.n > 1 << bits:
                 bits += 1
             self._reset(bits)
             self._place(k, e)
-        self._place(h, np.arange(self.n, self.n + n, dtype=np.int32))
-        self.used, self.n = self.used + len(flat), self.n + n
+        self._place(h, entry)
+
+    def differing(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the pieces, that cover data one after another, are not the bytes of their entries."""
+        out = self.raw.length[entry] != end - start
+        first = np.where(out, 0, self.raw.first[entry].astype(np.int64) - start)
+        at = np.repeat(first, end - start)
+        at += np.arange(len(data))
+        if out.any():
+            at[np.repeat(out, end - start)] = 0
+        return out | np.logical_or.reduceat(self.raw.pool[at] != data, start)
 
 
 class Encoder:
@@ -139,17 +165,23 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         h = mix(SpanHasher(data).spans(start, end) ^ np.uint64(1))
-        if self.table.n > REMEMBER:
+        if self.table.ids.n > REMEMBER or self.table.raw.used > REMEMBER_BYTES:
             self.table = PieceTable()
         entry = self.table.find(h)
         new = np.flatnonzero(entry < 0)
         if len(new):
             keys, one = np.unique(h[new], return_index=True)
-            self.table.add(keys, self._ids([raw[start[i] : end[i]].decode() for i in new[one]]))
+            pieces = [raw[start[i] : end[i]] for i in new[one]]
+            self.table.add(keys, pieces, self._ids([x.decode() for x in pieces]))
             entry = self.table.find(h)
-        length = self.table.length[entry].astype(np.int64)
+        other = np.flatnonzero(self.table.differing(entry, data, start, end))
+        if len(other):  # a hash that two pieces have
+            pieces = [raw[start[i] : end[i]] for i in other]
+            entry[other] = self.table.append(pieces, self._ids([x.decode() for x in pieces]))
+        runs = self.table.ids
+        length = runs.length[entry].astype(np.int64)
         stop = np.cumsum(length)
-        flat = self.table.pool[np.repeat(self.table.first[entry].astype(np.int64) - (stop - length), length) + np.arange(stop[-1])]
+        flat = runs.pool[np.repeat(runs.first[entry].astype(np.int64) - (stop - length), length) + np.arange(stop[-1])]
         ends = np.concatenate([[0], stop])
         return flat, ends[np.searchsorted(start, off)]
 

@@ -1,7 +1,7 @@
 """Shared pieces of the corpus operators: the shared work folder, Arrow text blocks, vectorised hashing.
 
-Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, hashed over their UTF-8 bytes with a
-position-independent polynomial, so a block of text costs a fixed number of NumPy passes
+Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, hashed over their UTF-8 bytes with
+position-independent polynomials modulo a prime, so a block of text costs a fixed number of NumPy passes
 and no Python loop over words. Hashes are 64 bit and equal on every machine.
 """
 
@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,37 +42,60 @@ def seeds(n: int, salt: int = 0) -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = seeds(256, 7)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
+#: The modulus of the polynomials: a Mersenne prime, so that a remainder is a shift and an addition, and no two words are known to
+#: collide for every base, as they are modulo a power of two.
+PRIME = (1 << 31) - 1
+_P, _FOLD = np.uint64(PRIME), np.uint64(31)
+#: Two bases, so a hash has 62 bits before the last mixing.
+BASES = (0x2545F491, 0x5851F42D)
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint32), np.ones(1, np.uint32)) for _ in BASES]
 
-def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of MULT and of its inverse modulo 2**64, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for a few bits."""
+    return (x & _P) + (x >> _FOLD)
+
+
+def _run(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo PRIME, by doubling."""
+    out = np.ones(n, np.uint32)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = out[:m].astype(np.uint64) * np.uint64(pow(base, k, PRIME)) % _P
+        k += m
+    return out
+
+
+def _upto(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses, at least n of each."""
+    if len(_powers[0][0]) < n:
         n = max(n, BLOCK_BYTES + 1)
-        both = []
-        for base in (MULT, INVERSE):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers = (both[0], both[1])
+        _powers[:] = [(_run(b, n), _run(pow(b, -1, PRIME), n)) for b in BASES]
     return _powers
 
 
 class SpanHasher:
-    """Hashes of byte ranges (or code point ranges) of one block."""
+    """Hashes of byte ranges of one block: polynomials modulo a prime in two bases."""
 
-    def __init__(self, data: np.ndarray, code_points: bool = False):
+    def __init__(self, data: np.ndarray):
         n = len(data)
-        power, self.inverse = _upto(n + 1)
-        value = mix(data.astype(np.uint64) + np.uint64(1)) if code_points else _BYTE[data]
-        self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(value * power[:n], out=self.prefix[1:])
+        self.lanes = []
+        value = data.astype(np.uint64) + np.uint64(1)
+        for power, inverse in _upto(n + 1):
+            term = value * power[:n]
+            prefix = np.zeros(n + 1, dtype=np.uint64)
+            # a term has 39 bits, so the sum of 2**24 of them fits
+            np.cumsum(term if n <= 1 << 24 else _fold(term), out=prefix[1:])
+            self.lanes.append((prefix, inverse))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = []
+        for prefix, inverse in self.lanes:
+            x = _fold(_fold(_fold(_fold(prefix[end] - prefix[start])) * inverse[start]))
+            h.append(np.where(x >= _P, x - _P, x))
+        return mix((h[0] | (h[1] << _FOLD)) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -175,5 +198,77 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b) if b else 0
+def tasks(df: DataFrame, each: int = 128 << 20) -> int:
+    """Tasks for a shuffle of what df makes: twice the shuffle partitions, or more where Catalyst expects more than ``each`` bytes a task."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(2 * partitions(df.sparkSession), math.ceil(size / each) if size < 1 << 60 else 0)  # beyond it, it is not known
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """The inner join of two stored tables on a key that right has once, with the number of left's rows in the column weight.
+
+    Keys with more rows than a task's share are joined by broadcast; as their rows add up to left's, they are at most four for each
+    shuffle partition. All others are shuffled.
+    """
+    n = left.count()
+    share = max(1000, n // (4 * partitions(left.sparkSession)))
+    heavy = F.broadcast(right.filter(F.col(weight) > share))
+    rest = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(weight) <= share), key)
+    return left.join(heavy, key).unionByName(rest)
+
+
+class Bloom:
+    """A set of 64-bit hashes in a bit map of a fixed size at most, so it can be broadcast however large the set is: a fuller map lets
+    more strangers pass, and what passes is still to be joined with the set."""
+
+    MOST = 1 << 26  # bits
+    PROBES = 4
+
+    def __init__(self, hashes: DataFrame, n: int):
+        """hashes: one column of longs; n: their number, about."""
+        spark, bits = hashes.sparkSession, 1 << 10
+        while bits < min(16 * n, self.MOST):
+            bits *= 2
+        self.words = bits // 64
+        h = F.col(hashes.columns[0])
+        probes = F.explode(F.array(*(F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(self.PROBES))))
+        seen = hashes.select(probes.alias("b")).groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
+        table = np.zeros(self.words, np.uint64)
+        got = seen.toArrow()  # a row for each word of the map at most
+        table[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
+        self.table = spark.sparkContext.broadcast(table)
+
+    def __getstate__(self):
+        return {"words": self.words, "table": self.table}
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which of the int64 hashes are in the set, and a few others."""
+        out, n = np.ones(len(h), bool), np.uint64(64 * self.words)
+        for i in range(self.PROBES):
+            b = spark_hash_long(h, i)
+            b = (b.view(np.int64) % np.int64(n)).astype(np.uint64)
+            out &= (self.table.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+_X1, _X2, _X3, _X4, _X5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _avalanche(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _X2
+    h = (h ^ (h >> np.uint64(29))) * _X3
+    return h ^ (h >> np.uint64(32))
+
+
+def spark_hash_long(values: np.ndarray, salt: int) -> np.ndarray:
+    """F.xxhash64(values, F.lit(salt)) of a column of longs and an int: XXH64 of eight bytes, then of four with that as its seed."""
+    x = values.view(np.uint64)
+    h = np.uint64(42 + int(_X5) + 8) ^ (_rotated(x * _X2, 31) * _X1)
+    h = _avalanche(_rotated(h, 27) * _X1 + _X4)
+    h = h + _X5 + np.uint64(4)
+    h = h ^ np.uint64(salt * int(_X1) & (1 << 64) - 1)
+    return _avalanche(_rotated(h, 23) * _X2 + _X3)
