@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
 from textmill.llm.bpe_ids import default_path
-from textmill.llm.common import stored
+from textmill.llm.common import seeds, stored
 
 SF = "/root/testdata/sf0.001"
 LONG = "many words of a very long text follow one another here " * 30_000  # 1.6 MB
@@ -284,15 +284,31 @@ def near_copies(spark, n=60):
 def test_jaccard_join_is_brute_force(request, spark, which):
     df = near_copies(spark) if which == "copies" else request.getfixturevalue(which)
     rows = df.select("doc_id", "text").collect()
-    p = jaccard_join.JoinParams(bucket=8, block=16) if which == "copies" else jaccard_join.JoinParams()
+    p = jaccard_join.JoinParams(bucket=8, slab=16, block=16) if which == "copies" else jaccard_join.JoinParams()
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.classes(df, p).collect())
     assert got == brute_links([r.doc_id for r in rows], [r.text for r in rows])
 
 
-def test_jaccard_beyond_the_bound_and_stage(spark, odd, none):
-    df = near_copies(spark, 20)
-    a = jaccard_join.classes(df, jaccard_join.JoinParams(broadcast_rows=0)).collect()
-    assert Counter(a) == Counter(jaccard_join.classes(df).collect())
+def test_jaccard_runs_follow_the_binomial_law():
+    """The recall of pairs at the threshold, whose embeddings agree by chance in more or fewer places, drawn."""
+    p, r = jaccard_join.JoinParams(), np.random.default_rng(3)
+    met, n = 0, 3000
+    emb = r.integers(0, 1 << 32, (n, 2, p.coordinates)).astype(np.uint32)
+    same = r.random((n, p.coordinates)) < 0.8
+    emb[:, 1][same] = emb[:, 0][same]
+    for i in range(n):
+        front = [(np.full(2, x), emb[i]) for x in seeds(p.runs(), 31)]
+        for _ in range(p.depth):
+            now = []
+            for path, e in front:
+                child, row = jaccard_join._children(path, e, p)
+                now += [(np.full(2, c), e) for c in np.intersect1d(child[row == 0], child[row == 1])]
+            front = now
+        met += bool(front)
+    assert met / n > 0.997
+
+
+def test_jaccard_stage(spark, odd, none):
     kept = jaccard_join.keep_first(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 4, 5, 6, 8, 8]
@@ -569,6 +585,32 @@ def test_decontamination_of_swapped_parts(spark, width):
     assert width == 20 or got[0].contaminated
 
 
+def test_decontamination_of_edited_items(spark):
+    """Items with repeated shingles, insertions, deletions and shifted parts, of many lengths, against brute force: recall and precision are 1."""
+    r = np.random.default_rng(11)
+    items, rows = [], []
+    for i in range(12):
+        words = [f"v{i}x{k}" for k in r.integers(0, 40, int(r.integers(12, 90)))]
+        if i % 3 == 0:
+            words = words[: len(words) // 3] * 3
+        items.append((i, " ".join(words)))
+        for _ in range(10):
+            w = words[:]
+            for _ in range(int(r.integers(0, 4))):
+                k = int(r.integers(len(w)))
+                kind = int(r.integers(3))
+                w[k : k + (kind != 0)] = [] if kind == 1 else [f"e{int(r.integers(1000))}"]
+            if r.random() < 0.4:
+                k = int(r.integers(len(w)))
+                w = w[k:] + w[:k]
+            rows.append(" ".join([*(f"o{k}" for k in range(int(r.integers(0, 60)))), *w, *(f"p{k}" for k in range(int(r.integers(0, 60))))]))
+    rows = list(enumerate(rows))
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_contaminated(rows, items)
+    assert sum(bool(x[1]) for x in want) > 20
+    assert Counter((r.doc_id, tuple(r["items"])) for r in got.collect()) == want
+
+
 def test_decontamination_odd_rows(spark, odd, none, benchmark):
     more = benchmark.select("item_id", "text").unionByName(spark.createDataFrame([(None, "a null id with five words or more"), (77, None), (78, "x"), (79, "")], "item_id long, text string"))
     kept = decontamination.keep_clean(odd, more)

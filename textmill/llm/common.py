@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
@@ -194,6 +194,11 @@ def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """The hash of a row's doc_id and text: rows that repeat both have the same."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -8,8 +8,9 @@ A document is contaminated by an item if some window of it, of as many words as
    threshold is lost.
 2. Each different window content gets a 64-bit SimHash of its shingles, and so does each item.
 3. Multi-index Hamming blocks: the 64 bits are five blocks. Two fingerprints within radius 19 differ by at most three bits in some
-   block, so every item is entered under all values of each block within three flips, and an equi-join on (block, value)
-   finds all pairs within the radius; the Hamming distance then sifts them.
+   block, so every item is entered under all values of each block within three flips, and an equi-join on (length, block, value)
+   finds all pairs of one length within the radius; the Hamming distance then sifts them. A window is only ever compared with items of its own length, so
+   the pairs that meet are a quarter of those of one length, not of all.
 4. The exact similarity of the window and the item verifies each pair.
 
 At similarity 0.8 two fingerprints differ in 9.7 of 64 bits on average with a standard deviation of 2.9, so a pair at the threshold is beyond the
@@ -28,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_hash, stored
 
 K = 5
 SIMILARITY = 0.8
@@ -99,54 +100,50 @@ def _weighted(contents: DataFrame, key: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, item_id, similarity): the best window of each document for each item that it has."""
+    """(row, item_id, similarity): the best window of each row (by its hash) for each item that it has."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h"))
     items = stored(items.select("item_id", F.size("h").alias("width"), _rolled(F.col("h")).alias("s")).filter(F.size("s") > 0).distinct().withColumn("item", F.xxhash64("item_id", "s")), "items")
     places = stored(items.select("width", F.explode("s").alias("x")).distinct(), "places")
 
-    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
-    hashed = docs.select(*key, word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= K)
-    laid = hashed.select("doc_id", "text_hash", (F.size("h") - K + 1).alias("n"), F.posexplode(_rolled(F.col("h"))).alias("at", "x"))
-    hits = laid.join(_maybe_broadcast(places), "x").groupBy("doc_id", "text_hash", "width", "n").agg(F.sort_array(F.collect_set("at")).alias("hits"))
-    windows = hits.select("doc_id", "text_hash", F.explode(_starts(F.col("hits"), F.col("n"), F.col("width") - K + 1, similarity)).alias("start"), "width")
-    windows = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "width")).alias("windows"))
-
-    here = stored(windows, "windows").withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"})
-    texts = docs.select(*key, "text")
-    joined = texts.join(_maybe_broadcast(here), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    cut = joined.select("doc_id", "text_hash", "windows", word_hashes(F.col("text")).alias("h")).select("doc_id", "text_hash", "windows", _rolled(F.col("h")).alias("all"))
-    cut = cut.select("doc_id", "text_hash", "all", F.inline("windows")).select("doc_id", "text_hash", F.slice("all", F.col("start") + 1, F.col("width") - K + 1).alias("s")).distinct()
-    cut = stored(cut.withColumn("content", F.xxhash64("s", F.size("s"))), "cut")
-    contents = cut.select("content", "s").dropDuplicates(["content"])
+    hashed = docs.select(row_hash(docs).alias("row"), word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= K)
+    laid = hashed.select("row", (F.size("h") - K + 1).alias("n"), F.posexplode(_rolled(F.col("h"))).alias("at", "x"))
+    hits = laid.join(_maybe_broadcast(places), "x").groupBy("row", "width", "n").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+    windows = hits.select("row", F.explode(_starts(F.col("hits"), F.col("n"), F.col("width") - K + 1, similarity)).alias("start"), "width")
+    windows = windows.groupBy("row").agg(F.collect_list(F.struct("start", "width")).alias("windows"))
+
+    here = stored(windows, "windows").hint("merge")  # a table that grows with the input
+    joined = docs.select(row_hash(docs).alias("row"), "text").join(here, "row")
+    cut = joined.select("row", "windows", word_hashes(F.col("text")).alias("h")).select("row", "windows", _rolled(F.col("h")).alias("all"))
+    cut = cut.select("row", "all", F.inline("windows")).select("row", "width", F.slice("all", F.col("start") + 1, F.col("width") - K + 1).alias("s")).distinct()
+    cut = stored(cut.withColumn("content", F.xxhash64("s", "width")), "cut")
+    contents = cut.select("content", "width", "s").dropDuplicates(["content"])
 
     found = contents.withColumn("fp", simhash(F.col("s")))
-    prints = stored(found.select("content", "fp"), "prints")
-    probe = prints.select("content", "fp", F.inline(_block_values(F.col("fp"))))
-    entry = items.select("item", simhash(F.col("s")).alias("item_fp")).dropDuplicates(["item"]).select("item", "item_fp", F.inline(_block_values(F.col("item_fp"))))
+    prints = stored(found.select("content", "width", "fp"), "prints")
+    probe = prints.select("content", "width", "fp", F.inline(_block_values(F.col("fp"))))
+    entry = items.select("item", "width", simhash(F.col("s")).alias("item_fp")).dropDuplicates(["item"]).select("item", "width", "item_fp", F.inline(_block_values(F.col("item_fp"))))
     flips = F.when(F.col("block") < len(BLOCKS) - 1, F.array(*map(F.lit, _flips(13)))).otherwise(F.array(*map(F.lit, _flips(12))))
-    entry = entry.select("item", "item_fp", "block", F.explode(flips).alias("flip"), "value")
-    entry = entry.select("item", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
-    near = probe.join(entry, ["block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("content", "item").distinct()
+    entry = entry.select("item", "width", "item_fp", "block", F.explode(flips).alias("flip"), "value")
+    entry = entry.select("item", "width", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
+    near = probe.join(entry, ["width", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("content", "item").distinct()
 
-    bags = _weighted(contents.join(near, "content", "left_semi"), "content")
+    bags = _weighted(contents.select("content", "s").join(near, "content", "left_semi"), "content")
     item_bags = _weighted(items.select("item", "s").dropDuplicates(["item"]), "item").withColumnRenamed("bag", "item_bag")
     both = F.size(F.array_intersect("bag", "item_bag"))
     sure = near.join(bags, "content").join(item_bags, "item").select("content", "item", (both / (F.size("bag") + F.size("item_bag") - both)).alias("similarity")).filter(F.col("similarity") >= similarity)
     sure = sure.join(items.select("item", "item_id"), "item").select("content", "item_id", "similarity")
-    return cut.select("doc_id", "text_hash", "content").join(sure, "content").groupBy("doc_id", "text_hash", "item_id").agg(F.max("similarity").alias("similarity"))
+    return cut.select("row", "content").join(sure, "content").groupBy("row", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: doc_id, contaminated, items (ascending ids), similarity (the best, 0 if clean)."""
-    per = matches(docs, benchmark, similarity).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max("similarity"), 9).alias("similarity"))
-    per = per.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    """One row for each row of docs: doc_id, contaminated, items (ascending ids), similarity (the best, 0 if clean). Null ids are ids, a null text is clean;
+    an empty table gives an empty result."""
+    per = matches(docs, benchmark, similarity).groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max("similarity"), 9).alias("similarity"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row")).join(per, "row", "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without an item, with all their columns."""
-    bad = matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_m_id"), F.col("text_hash").alias("_m_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(bad["_m_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_m_hash"])
-    return docs.join(bad, same, "left_anti")
+    bad = matches(docs, benchmark, similarity).select(F.col("row").alias("_m_row")).distinct()
+    return docs.join(bad, row_hash(docs) == bad["_m_row"], "left_anti")

@@ -5,11 +5,13 @@ Texts are sets of five-word shingles (all words as one shingle if there are fewe
 
 A run is a tree. At a tree node, one or two coordinates (1 / 0.8 on average) are chosen by the node's path; sets that share the chosen token
 go to one child. Buckets of at most ``bucket`` sets are brute-forced on their embeddings; larger ones are split again, to
-``depth`` levels, and what is still large then (sets that can hardly be told apart) is brute-forced in blocks. A pair at the threshold survives a run with a
-probability that runs() bounds from below, and runs are repeated until the target recall.
+``depth`` levels. What is still large then (sets that can hardly be told apart) is brute-forced in pairs of blocks, each a task's of its own, at a cost
+that is the square of such a bucket. runs() has the number of runs that finds a pair at the threshold with the target recall, over
+what its embeddings agree in by chance, since all runs choose among the same coordinates.
 
 Candidates become components; within a component every pair is verified on the exact sets, in blocks that go to tasks of their
-own, so links are counted and classes joined without a pair being emitted.
+own, so links are counted and classes joined without a pair being emitted. There is one plan for every size: the sets of candidates are made
+from the texts again, of which a Bloom map of bounded size picks the rows.
 
 Defined results: a null text is an empty one; texts without words have equal sets; a class has the smallest doc_id of its
 members, null if none has one; rows that repeat count as documents; an empty table gives an empty result; other columns are not read.
@@ -25,44 +27,55 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SpanHasher, blocks, grams, mix, partitions, per_row, seeds, stored, text_of, words
+from .common import Bloom, SpanHasher, blocks, grams, join_unique, mix, per_row, row_hash, seeds, stored, tasks, text_of, words
 from .components import components, groups, local_components
 
 
 @dataclass(frozen=True)
 class JoinParams:
     """similarity: numerator and denominator of the threshold. recall: of pairs at the threshold, by the runs.
-    bucket: largest that is brute-forced before the last level. block: sets in a block of the exact verification."""
+    bucket: largest that is brute-forced before the last level. slab: sets in a block of a larger one at the last level.
+    block: sets in a block of the exact verification."""
 
     k: int = 5
     similarity: tuple[int, int] = (4, 5)
     coordinates: int = 64
     bucket: int = 128
-    depth: int = 4
+    depth: int = 3
     recall: float = 0.999
+    slab: int = 2048
     block: int = 512
-    broadcast_rows: int = 500_000
+
+    def _agreeing(self, k: int) -> float:
+        """The probability that a pair at the threshold agrees in k coordinates."""
+        s = self.similarity[0] / self.similarity[1]
+        return math.comb(self.coordinates, k) * s**k * (1 - s) ** (self.coordinates - k)
 
     def runs(self) -> int:
         """Runs after which a pair at the threshold has met with probability recall, even if all its buckets split to the end."""
-        s, x = self.similarity[0] / self.similarity[1], 1.0
-        one = 2 - 1 / s
-        for _ in range(self.depth):
-            x = one * s * x + (1 - one) * (1 - (1 - s * x) ** 2)
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - x))
-
+        one, runs, found = 2 - self.similarity[1] / self.similarity[0], 0, 0.0
+        met = []
+        for k in range(self.coordinates + 1):
+            x = 1.0
+            for _ in range(self.depth):
+                y = k / self.coordinates * x
+                x = one * y + (1 - one) * (1 - (1 - y) ** 2)
+            met.append(x)
+        while found < self.recall:
+            runs += 1
+            found = sum(self._agreeing(k) * (1 - (1 - x) ** runs) for k, x in enumerate(met))
+        return runs
 
     def agreement(self) -> int:
         """Places in which embeddings of a candidate agree at least: a pair at the threshold falls short with a tenth of the
         probability that the runs may miss it, by the binomial law."""
-        s, n, short = self.similarity[0] / self.similarity[1], self.coordinates, 0.0
-        for k in range(n + 1):
-            short += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+        short = 0.0
+        for k in range(self.coordinates + 1):
+            short += self._agreeing(k)
             if short > (1 - self.recall) / 10:
                 return k
-        return n
+        return self.coordinates
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +104,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def embedded(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(doc_id, node, emb) of every row: the node is the hash of its set."""
+    """(doc_id, row, node, emb) of every row: the node is the hash of its set."""
     turn = seeds(p.coordinates, 23) | np.uint64(1)
 
     def run(batches):
@@ -105,9 +118,9 @@ def embedded(docs: DataFrame, p: JoinParams) -> DataFrame:
                     emb[full, t] = np.minimum.reduceat(g * turn[t], at[:-1][full]) >> np.uint64(32)
                 nodes += [set_key(g[at[i] : at[i + 1]]) for i in range(hi - lo)]
                 embs += [e.tobytes() for e in emb]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(embs, pa.binary())], ["doc_id", "node", "emb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(embs, pa.binary())], ["doc_id", "row", "node", "emb"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, emb binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), "text").mapInArrow(run, "doc_id long, row long, node long, emb binary")
 
 
 def _embs(col, coordinates: int) -> np.ndarray:
@@ -157,37 +170,37 @@ def _split(p: JoinParams):
     return run
 
 
-def _agreeing(emb: np.ndarray, path: np.ndarray, least: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of equal paths (sorted) whose embeddings agree in least places; in slices of constant memory."""
+def _agreeing(emb: np.ndarray, path: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of equal paths (sorted) whose embeddings agree in least places; in slices of constant memory. For small groups."""
     a, b = [], []
     n = len(path)
     end = np.searchsorted(path, path, "right")
     size = int((end - np.searchsorted(path, path, "left")).max()) if n else 0
-    if size <= block:
-        for k in range(1, size):
-            i = np.flatnonzero(end > np.arange(n) + k)
-            for s in range(0, len(i), 4096):
-                j = i[s : s + 4096]
-                ok = (emb[j] == emb[j + k]).sum(axis=1) >= least
-                a.append(j[ok])
-                b.append(j[ok] + k)
-    else:
-        for i in range(n):  # one row against the rest of its bucket
-            rest = emb[i + 1 : end[i]]
-            j = np.flatnonzero((rest == emb[i]).sum(axis=1) >= least)
-            if len(j):
-                a.append(np.full(len(j), i))
-                b.append(j + i + 1)
-            if len(a) > 256:  # fold what is known into a forest
-                a, b = _forest(a, b, n)
+    for k in range(1, size):
+        i = np.flatnonzero(end > np.arange(n) + k)
+        for s in range(0, len(i), 4096):
+            j = i[s : s + 4096]
+            ok = (emb[j] == emb[j + k]).sum(axis=1) >= least
+            a.append(j[ok])
+            b.append(j[ok] + k)
     empty = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def _forest(a: list, b: list, n: int) -> tuple[list, list]:
-    label = local_components(np.concatenate(a), np.concatenate(b), n)
-    i = np.flatnonzero(label != np.arange(n))
-    return [i], [label[i]]
+def _forest_of(emb: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Labels of the rows' components by the agreeing pairs of left with right (or of left, if they are the same)."""
+    label, same = np.arange(len(emb)), left is right
+    a, b = [], []
+    for at, i in enumerate(left):  # one row against the others
+        rest = right[at + 1 :] if same else right
+        j = rest[(emb[rest] == emb[i]).sum(axis=1) >= least]
+        a.append(np.full(len(j), i))
+        b.append(j)
+        if len(a) == 256 or at == len(left) - 1:  # fold what is known into a forest
+            known = np.flatnonzero(label != np.arange(len(emb)))
+            label = local_components(np.concatenate([known, *a]), np.concatenate([label[known], *b]), len(emb))
+            a, b = [], []
+    return label
 
 
 def _brute(p: JoinParams):
@@ -196,7 +209,7 @@ def _brute(p: JoinParams):
     def run(batches):
         for t in groups(batches):
             path, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-            a, b = _agreeing(_embs(t.column(2), p.coordinates), path, p.agreement(), p.block)
+            a, b = _agreeing(_embs(t.column(2), p.coordinates), path, p.agreement())
             nodes, at = np.unique(node, return_inverse=True)
             label = local_components(at[a], at[b], len(nodes))
             i = np.flatnonzero(label != np.arange(len(nodes)))
@@ -205,22 +218,57 @@ def _brute(p: JoinParams):
     return run
 
 
-def candidates(nodes: DataFrame, p: JoinParams) -> DataFrame:
+def _brute_slabs(p: JoinParams):
+    """The same of pairs of blocks (path, bi, bj) of the large buckets."""
+
+    def run(batches):
+        for t in groups(batches, 3):
+            path, bi, bj, nb, node = (t.column(i).to_numpy() for i in range(5))
+            emb = _embs(t.column(5), p.coordinates)
+            cuts = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(path)), strict=True):
+                left = np.flatnonzero(nb[lo:hi] == bi[lo])
+                right = left if bi[lo] == bj[lo] else np.flatnonzero(nb[lo:hi] == bj[lo])
+                label = _forest_of(emb[lo:hi], left, right, p.agreement())
+                i = np.flatnonzero(label != np.arange(hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][i]), pa.array(node[lo:hi][label[i]])], ["a", "b"])
+
+    return run
+
+
+def block_pairs(df: DataFrame, block: str, last: str) -> DataFrame:
+    """df with bi and bj: each row for each pair of blocks that its own is in, of blocks 0 to last."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(last))).alias("other")
+    return df.select("*", other).withColumn("bi", F.least(block, "other")).withColumn("bj", F.greatest(block, "other")).drop("other")
+
+
+def candidates(nodes: DataFrame, p: JoinParams, deal: int) -> DataFrame:
     """Edges (a, b) whose components hold all candidate pairs; nodes: a stored table (node, emb) without repeats."""
     front = stored(nodes.select("node", "emb").mapInArrow(_roots(p), "path long, node long"), "paths")
-    edges = None
+    found = []
+
+    def brute(leaves: DataFrame) -> None:
+        full = leaves.join(nodes, "node").select("path", "node", "emb")
+        found.append(full.repartition(deal, "path").sortWithinPartitions("path", "node").mapInArrow(_brute(p), "a long, b long"))
+
     for depth in range(1, p.depth + 1):
         sizes = front.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        met = stored(front.join(sizes, "path"), "buckets")
-        large = met.filter(F.col("size") > p.bucket) if depth < p.depth else met.limit(0)
-        leaves = met.filter(F.col("size") <= p.bucket) if depth < p.depth else met
-        full = leaves.join(nodes, "node").select("path", "node", "emb")
-        found = stored(full.repartition(partitions(nodes.sparkSession), "path").sortWithinPartitions("path", "node").mapInArrow(_brute(p), "a long, b long").distinct(), "candidates")
-        edges = found if edges is None else edges.unionAll(found)
+        met = stored(join_unique(front, stored(sizes, "sizes"), "path", "size"), "buckets")
+        brute(met.filter(F.col("size") <= p.bucket))
+        large = met.filter(F.col("size") > p.bucket)
         if not large.limit(1).count():
             break
-        front = stored(large.join(nodes, "node").select("path", "node", "emb").mapInArrow(_split(p), "path long, node long"), "paths")
-    return edges
+        if depth < p.depth:
+            front = stored(large.join(nodes, "node").select("path", "node", "emb").mapInArrow(_split(p), "path long, node long"), "paths")
+            continue
+        last = F.floor((F.col("size") - 1) / p.slab).cast("long")
+        slabs = block_pairs(large.select("path", "node", F.pmod(F.xxhash64("node"), last + 1).alias("nb"), last.alias("last")), "nb", "last")
+        full = slabs.join(nodes, "node").select("path", "bi", "bj", "nb", "node", "emb")
+        found.append(full.repartition(deal, "path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "node").mapInArrow(_brute_slabs(p), "a long, b long"))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionAll(more)
+    return edges.distinct()
 
 
 def overlap(left: list[np.ndarray], right: list[np.ndarray], step: int = 2048) -> np.ndarray:
@@ -272,93 +320,67 @@ def _verify(p: JoinParams):
 
 
 def exact_sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
-    """The set of each wanted (w_id, node, comp, nb, last, copies) as bytes, from the text of document w_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")))
+    """(node, raw): the sets of the wanted (w_row, node), a stored table, as bytes, from the texts of the rows w_row."""
+    rows = Bloom(wanted.select("w_row"), wanted.count())
 
     def run(batches):
         for batch in batches:
-            keep, raw = [], []
-            node = batch.column(1).to_pylist()
-            for lo, hi, data, off in blocks(text_of(batch)):
+            own = batch.filter(pa.array(rows.has(batch.column(0).to_numpy())))
+            nodes, raw = [], []
+            for lo, hi, data, off in blocks(text_of(own)):
                 g, at = shingle_sets(data, off, p.k)
-                for i in range(lo, hi):
-                    s = g[at[i - lo] : at[i - lo + 1]]
-                    if set_key(s) == node[i]:  # a repeated doc_id may have other texts
-                        keep.append(i)
-                        raw.append(s.tobytes())
-            cols = [batch.column(c).take(pa.array(keep, pa.int64())) for c in (2, 3, 4, 1, 5)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary())], ["comp", "nb", "last", "node", "copies", "raw"])
+                for i in range(hi - lo):
+                    raw.append(g[at[i] : at[i + 1]].tobytes())
+                    nodes.append(set_key(g[at[i] : at[i + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "raw"])
 
-    schema = "comp long, nb long, last long, node long, copies long, raw binary"
-    return texts.select("text", "node", "comp", "nb", "last", "copies").mapInArrow(run, schema).dropDuplicates(["node"])
+    return docs.select(row_hash(docs).alias("row"), "text").mapInArrow(run, "node long, raw binary")
 
 
 def _judged(docs: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and (node, root, class_id, n_links) of every set; stored tables."""
+    """(doc_id, row, node) of every row, and (node, root, class_id, n_links, copies) of every set; stored tables."""
+    deal = tasks(docs)
     rows = stored(embedded(docs, p), "embedded")
     nodes = stored(rows.select("node", "emb").dropDuplicates(["node"]), "nodes")
-    copies = stored(rows.groupBy("node").agg(F.min("doc_id").alias("w_id"), F.count(F.lit(1)).alias("copies")), "copies")
-    comp = components(candidates(nodes, p))
-    sized = comp.join(comp.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root").withColumn("blocks", F.ceil(F.col("members") / p.block))
-    wanted = sized.join(copies, "node").select("w_id", "node", F.col("root").alias("comp"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("nb"), (F.col("blocks") - 1).alias("last"), "copies")
+    copies = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("w_row"), F.count(F.lit(1)).alias("copies")), "copies")
+    comp = components(candidates(nodes, p, deal))
+    sizes = stored(comp.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    sized = join_unique(comp, sizes, "root", "members").withColumn("last", F.floor((F.col("members") - 1) / p.block).cast("long"))
+    wanted = sized.join(copies, "node").select("w_row", "node", F.col("root").alias("comp"), F.pmod(F.xxhash64("node"), F.col("last") + 1).alias("nb"), "last", "copies")
     wanted = stored(wanted, "wanted")
-    sets = exact_sets(docs, F.broadcast(wanted) if wanted.count() <= p.broadcast_rows else wanted, p)
-    if wanted.filter("last > 0").limit(1).count():
-        other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-        sets = sets.select("*", other).withColumn("bi", F.least("nb", "other")).withColumn("bj", F.greatest("nb", "other"))
-    else:
-        sets = sets.withColumn("bi", F.col("nb")).withColumn("bj", F.col("nb"))
-    dealt = sets.select("comp", "bi", "bj", "nb", "node", "copies", "raw").repartition(2 * partitions(docs.sparkSession), "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "node")
+    sets = exact_sets(docs, wanted, p).join(wanted.drop("w_row"), "node").dropDuplicates(["node"])
+    dealt = block_pairs(sets, "nb", "last").select("comp", "bi", "bj", "nb", "node", "copies", "raw").repartition(deal, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "node")
     checked = stored(dealt.mapInArrow(_verify(p), "comp long, node long, links long, root long"), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     root = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    per = copies.join(links, "node", "left").join(root, "node", "left").select("node", "w_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    per = copies.join(links, "node", "left").join(root, "node", "left").select("node", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     per = stored(per, "per_node")
-    named = per.groupBy("root").agg(F.min("w_id").alias("class_id"))
-    per = per.join(named, "root").select("node", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = stored(per.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("sets")), "named")
+    per = join_unique(per, named, "root", "sets").select("node", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies")
     return rows, stored(per, "judged")
 
 
 def classes(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the smallest doc_id of its class, and the other documents linked to it."""
     rows, per = _judged(docs, p)
-    return rows.select("doc_id", "node").join(per, "node").select("doc_id", "class_id", "n_links")
+    return join_unique(rows.select("doc_id", "node"), per, "node", "copies").select("doc_id", "class_id", "n_links")
 
 
 def keep_first(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """The rows of docs that are the first of their class by (doc_id, set hash), with all their columns; rows without doc_id come last.
-    Rows are judged by id and set, so rows of one id and different texts have each their own verdict. Rows that repeat both the id and the
-    set of the first stay with it, but of a class that has no id, one row stays."""
-    at, names = docs.columns.index("text"), docs.columns
-    m_id, m_node = "_m_id", "_m_node"
-    while {m_id, m_node} & {c.lower() for c in names}:
-        m_id, m_node = f"_{m_id}", f"_{m_node}"
+    """The rows of docs that are the first of their class by (doc_id, set hash, row hash), with all their columns; rows without doc_id come last.
+    Rows are judged by id and text, so rows of one id and different texts have each their own verdict. Rows that repeat both the id and the
+    text of the first stay with it, but of a class that has no id, one row stays."""
+    names = docs.columns
+    m_row = "_m_row"
+    while m_row in {c.lower() for c in names}:
+        m_row = f"_{m_row}"
     rows, per = _judged(docs, p)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    pairs = rows.select("doc_id", "node").distinct().join(per.select("node", "root"), "node")
-    first = pairs.groupBy("root").agg(F.min(order).alias("first"))
-    gone = pairs.join(first, "root").filter(order != F.col("first")).select(F.col("doc_id").alias(m_id), F.col("node").alias(m_node))
-    gone = stored(gone, "gone")
-    lone = rows.filter("doc_id is null").groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    lone = stored(lone, "lone")
-
-    def run(batches):
-        for batch in batches:
-            nodes = []
-            for lo, hi, data, off in blocks(text_of(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]))):
-                g, bound = shingle_sets(data, off, p.k)
-                nodes += [set_key(g[bound[i] : bound[i + 1]]) for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*names, m_node])
-
-    schema = StructType([*docs.schema.fields, StructField(m_node, LongType())])
-    known = docs.mapInArrow(run, schema)
-    g = gone.withColumnsRenamed({m_node: "_g_node"})
-    g = F.broadcast(g) if g.count() <= p.broadcast_rows else g
-    known = known.join(g, known["doc_id"].cast("long").eqNullSafe(g[m_id]) & (known[m_node] == g["_g_node"]), "left_anti")
-    if not lone.limit(1).count():
-        return known.select(*names)
-    l_node = F.broadcast(lone) if lone.count() <= p.broadcast_rows else lone
-    named = stored(known, "named")
-    several = named.filter("doc_id is null").join(l_node, named[m_node] == l_node["node"], "left_semi")
-    others = named.join(l_node, named["doc_id"].isNull() & (named[m_node] == l_node["node"]), "left_anti")
-    return others.unionByName(several.dropDuplicates([m_node])).select(*names)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row")
+    pairs = stored(join_unique(rows.select("doc_id", "node", "row"), per.select("node", "root", "copies"), "node", "copies").select("doc_id", "node", "row", "root").distinct(), "rows")
+    first = pairs.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    gone = join_unique(pairs, stored(first, "firsts"), "root", "n_rows").filter(order != F.col("first")).select(F.col("row").alias(m_row))
+    gone = stored(gone, "gone").hint("merge")  # a table that grows with the input
+    kept = docs.join(gone, row_hash(docs) == gone[m_row], "left_anti")
+    # what is left without an id and has one hash is one row's repeats
+    lone = kept.filter("doc_id is null").withColumn(m_row, row_hash(docs)).dropDuplicates([m_row])
+    return kept.filter("doc_id is not null").unionByName(lone.select(*names))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Bloom, SpanHasher, blocks, code_points, join_unique, mix, stored, tasks, text_of
+from .common import SPACE, Bloom, SpanHasher, blocks, code_points, join_unique, mix, row_hash, stored, tasks, text_of
 from .components import components, groups, local_components
 
 
@@ -373,11 +373,6 @@ def _verify(p: LineParams):
     return run
 
 
-def _row(docs: DataFrame) -> Column:
-    """The hash of a row's doc_id and text."""
-    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
-
-
 def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -388,7 +383,7 @@ def _stripped(line: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(h, doc_id, row, line) of every line with a solid character; doc_id is NO_ID for rows without one."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), _row(docs).alias("row"), F.posexplode(_split(docs["text"])).alias("line", "s"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), row_hash(docs).alias("row"), F.posexplode(_split(docs["text"])).alias("line", "s"))
     return rows.select("doc_id", "row", "line", _stripped(F.col("s")).alias("s")).filter("s <> ''").select(F.xxhash64("s").alias("h"), "doc_id", "row", F.col("line").cast("long").alias("line"))
 
 
@@ -404,7 +399,7 @@ def verdicts(docs: DataFrame, seen: DataFrame, p: LineParams) -> DataFrame:
     places = stored(places.select("h", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r"), F.col("at.line").alias("l"), "n", "near"), "places")
     near, count = places.filter("near").select("h", "d", "r", "l", "n"), wanted.count()
     maps = Bloom(near.select("r").distinct(), count), Bloom(wanted, count)
-    texts = docs.select(_row(docs).alias("row"), "text").mapInArrow(_texts(p, *maps), "h long, line_text string")
+    texts = docs.select(row_hash(docs).alias("row"), "text").mapInArrow(_texts(p, *maps), "h long, line_text string")
     texts = stored(texts.join(near, "h").dropDuplicates(["h"]), "texts")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     pairs = met.select("key", "h", "entered", "block", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
@@ -467,7 +462,7 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams(), linked: DataFrame
     """
     m_row, gone, n_lines, exact, near, source = _unused(docs.columns, "_m_row", "_gone", "_lines", "_exact", "_near", "_source")
     out = (linked_rows(docs, p) if linked is None else linked).select(F.col("row").alias(m_row), F.filter("lines", lambda x: x["goes"]).alias(gone)).filter(F.size(gone) > 0).hint("merge")  # a table that grows with the input
-    joined = docs.join(out, _row(docs) == out[m_row], "left")
+    joined = docs.join(out, row_hash(docs) == out[m_row], "left")
 
     def rest(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda x: x["line"].cast("int")))
@@ -499,7 +494,7 @@ def line_classes(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     n_near (lines gone as near copies), and the length and CRC of the text that is left."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     linked = linked_rows(docs, p)
-    out, (lines, _, near, _) = dedup_lines(docs.withColumn("row", _row(docs)), p, linked)
+    out, (lines, _, near, _) = dedup_lines(docs.withColumn("row", row_hash(docs)), p, linked)
     text = F.coalesce("text", F.lit(""))
     left = out.select("doc_id", "row", F.col(lines).alias("n_lines"), F.col(near).alias("n_near"), F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
     class_id = F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
