@@ -6,8 +6,8 @@
 3. Boosted trees score each candidate by its format (lengths, character classes, separators, checksums, entropy) and its context (words
    before it, neighbouring characters). They are trained here, on candidates drawn from a fixed grammar of true and
    look-alike spans, half for the trees and half for the thresholds.
-4. For each kind the threshold is the lowest score that keeps calibrated precision at 0.99; what passes, highest score
-   first and clear of base spans, is redacted too.
+4. For each kind the threshold is the lowest score above which the calibration half is surely (at 95 %) right in 98 of 100; what passes, highest
+   score first and clear of base spans, is redacted too.
 
 Offsets are code points, ends exclusive. Kinds, in order: email, ip, card, phone, secret, national_id.
 
@@ -17,6 +17,7 @@ gives an empty result; very long texts are scanned whole; other columns are not
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -38,6 +39,8 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: The same matches: a run of digits either matches from its start or not at all, so no other start is tried, and no run is cut.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -77,7 +80,7 @@ def _plain(s: str) -> str:
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        for m in IP.finditer(text):
+        for m in _IP.finditer(text):
             if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in CARD.finditer(text):
@@ -99,6 +102,7 @@ _SPELLED = re.compile(r"(?: ?[(\[{](?:at|AT)[)\]}] ?| (?:at|AT) )[A-Za-z0-9-]+(?
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().\-/]{5,40}[0-9]")
 _GROUPS16 = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}")
 _TOKEN = re.compile(r"[A-Za-z0-9_\-]{12,}")
+_KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|sk-|glpat-|AIza)[A-Za-z0-9_\-]{12,}")
 _ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd)?|secret|token|api[_-]?key|bearer)\W{1,4}[\"']?([^\s\"']{6,})")
 
 
@@ -112,21 +116,22 @@ def candidates(text: str) -> list[Span]:
                 start -= 1
             if start < m.start():
                 out.append(("email", start, m.end()))
+    if ":" in text:
+        out += [("ip", *m.span()) for m in _GROUPS16.finditer(text) if m.end() - m.start() >= 9]
+    if "=" in text or ":" in text:
+        out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
+    out += [("secret", *m.span()) for m in _KNOWN.finditer(text)]
     if not _DIGIT.search(text):
-        return out
+        return out  # what follows takes a digit of its own
     for m in _NUMBERS.finditer(text):
         n = len(_plain(m[0]))
         if 7 <= n <= 15:
             out += [("phone", *m.span()), ("national_id", *m.span())]
         if 13 <= n <= 19:
             out.append(("card", *m.span()))
-    if ":" in text:
-        out += [("ip", *m.span()) for m in _GROUPS16.finditer(text) if m.end() - m.start() >= 9]
     for m in _TOKEN.finditer(text):
         if _DIGIT.search(m[0]):
             out.append(("secret", *m.span()))
-    if "=" in text or ":" in text:
-        out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
     return out
 
 
@@ -176,6 +181,13 @@ class Examples:
     def word(self) -> str:
         return self.chars("abcdefghilmnoprstu", 2, 9)
 
+    def mixed(self) -> str:
+        """Letters of both cases, without a digit, perhaps with a sign."""
+        s = list(self.chars("abcdefghijklmnopqrstuvwxyz", 6, 14) + self.chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1, 4) + self.r.choice(["", "", "!", "_", "#"]))
+        if self.r.random() < 0.5:
+            self.r.shuffle(s)
+        return "".join(s)
+
     def card(self, valid: bool) -> str:
         """A number of card length whose Luhn sum is right or not, in spellings that are mostly outside the base format."""
         r = self.r
@@ -201,6 +213,7 @@ class Examples:
             lambda: ("secret", r.choice(["key", "aws key", "", "uses"]), "AKIA" + self.chars(alnum[:26] + "234567", 16, 16)),
             lambda: ("secret", r.choice(["password=", "secret:", "passwd="]), self.chars(alnum[26:], 9, 20) + self.digits(2)),
             lambda: ("secret", r.choice(['token = "', "bearer ", "api_key="]), self.chars(alnum if r.random() < 0.5 else "0123456789abcdef", 24, 44) + self.digits(1)),
+            lambda: ("secret", r.choice(["password=", "my password=", "passwd=", "pwd: secret="]), self.mixed()),
             lambda: ("secret", "", r.choice(["ghp_", "sk-", "glpat-", "AIza"]) + self.chars(alnum, 20, 36) + self.digits(1)),
         ])()
 
@@ -299,38 +312,76 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: f
     return model
 
 
+class Taken:
+    """Disjoint intervals in order; overlaps are found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for a, b in sorted(spans):
+            if self.end and a < self.end[-1]:
+                self.end[-1] = max(b, self.end[-1])
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.start, b)
+        return i > 0 and self.end[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """An interval that meets none."""
+        i = bisect.bisect_left(self.start, a)
+        self.start.insert(i, a)
+        self.end.insert(i, b)
+
+
 @dataclass
 class Detector:
     model: Boosted
     thresholds: dict[str, float]
 
+    def scores(self, text: str, found: list[Span], step: int = 10_000) -> list[float]:
+        """The candidates' scores, a bounded matrix of features at a time."""
+        return [x for i in range(0, len(found), step) for x in self.model.score(np.array([features(text, s) for s in found[i : i + step]])).round(9).tolist()]
+
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """The candidates that pass their kind's threshold, best first, clear of base spans and of each other."""
-        found = list(dict.fromkeys(candidates(text)))
-        taken = sorted((a, b) for _, a, b in base)
-        found = [s for s in found if not any(s[1] < b and a < s[2] for a, b in taken)] if taken else found
-        if not found:
-            return []
-        scores = self.model.score(np.array([features(text, s) for s in found])).round(9)
+        taken = Taken([(a, b) for _, a, b in base])
+        found = [s for s in dict.fromkeys(candidates(text)) if not taken.meets(s[1], s[2])]
         out: list[Span] = []
-        for p, s in sorted(zip(scores.tolist(), found, strict=True), key=lambda x: (-x[0], x[1][1], RANK[x[1][0]], -x[1][2])):
-            if p >= self.thresholds[s[0]] and not any(s[1] < b and a < s[2] for _, a, b in out):
+        for p, s in sorted(zip(self.scores(text, found), found, strict=True), key=lambda x: (-x[0], x[1][1], RANK[x[1][0]], -x[1][2])):
+            if p >= self.thresholds[s[0]] and not taken.meets(s[1], s[2]):
                 out.append(s)
+                taken.add(s[1], s[2])
         return out
 
 
-def train(n: int = 3000, precision: float = 0.99, seed: int = 5) -> Detector:
-    """Fits trees on n drawn candidates, and sets the thresholds on n others."""
+def surely(right: int, n: int, z: float = 1.645) -> float:
+    """The lower end of the Wilson interval of a share."""
+    p = right / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def threshold(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The lowest score above which precision is surely reached, halfway to the next lower one; 2 if there is none."""
+    order = np.argsort(-scores, kind="stable")
+    s, right = scores[order], np.cumsum(y[order])
+    ends = np.flatnonzero(np.append(s[1:] < s[:-1], True))
+    good = [i for i in ends.tolist() if surely(int(right[i]), i + 1) >= precision]
+    if not good:
+        return 2.0
+    i = good[-1]
+    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
+
+
+def train(n: int = 6000, precision: float = 0.98, seed: int = 5) -> Detector:
+    """Fits trees on n drawn candidates, and calibrates each kind's threshold on n others that the trees have not seen."""
     model = boost(*Examples(seed).draw(n)[:2])
     x, y, kinds = Examples(seed + 1).draw(n)
-    p, thresholds = model.score(x), {}
-    for kind in KINDS:
-        own = np.array([k == kind for k in kinds])
-        order = np.argsort(-p[own], kind="stable")
-        s, right = p[own][order], np.cumsum(y[own][order])
-        good = np.flatnonzero(right / np.arange(1, len(s) + 1) >= precision)
-        thresholds[kind] = max(float(s[good[-1]]), 0.8) if len(good) and right[good[-1]] else 2.0
-    return Detector(model, thresholds)
+    p = model.score(x)
+    own = {k: np.array([k == kind for kind in kinds]) for k in KINDS}
+    return Detector(model, {k: threshold(p[own[k]], y[own[k]], precision) for k in KINDS})
 
 
 def all_spans(text: str, detector: Detector) -> tuple[list[Span], list[Span]]:
@@ -351,8 +402,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, detector: Detector | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, base counts, base_sha256, spans of every row; with_text adds the redacted text."""
+    """doc_id, base counts, base_sha256, spans and their number, and the number of those beyond the base, of every row; with_text adds the redacted text.
+    A null text is an empty one; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(detector or train())  # a few hundred tree nodes
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added", *["redacted"] * with_text]
+    kinds = [*[pa.int64()] * 4, *[pa.string()] * 2, *[pa.int64()] * 2, *[pa.string()] * with_text]
 
     def run(batches):
         for batch in batches:
@@ -360,10 +414,9 @@ def find_pii(docs: DataFrame, detector: Detector | None = None, with_text: bool
             for text in text_of(batch).to_pylist():
                 base, spans = all_spans(text, shared.value)
                 n = Counter(k for k, _, _ in base)
-                rows.append((n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), *([redact(text, spans)] if with_text else [])))
-            cols = list(zip(*rows, strict=True)) or [[]] * (6 + with_text)
-            kinds = [*[pa.int64()] * 4, *[pa.string()] * (2 + with_text)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *["redacted"] * with_text])
+                rows.append((n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), len(spans) - len(base), *([redact(text, spans)] if with_text else [])))
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {'long' if k == pa.int64() else 'string'}" for n, k in zip(names, kinds, strict=True))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {schema}")
