@@ -180,7 +180,12 @@ def test_resharding(request, which):
     if which == "docs":
         sizes = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
         assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8
-    assert done["moved"] <= done["total"]
+        before = Counter()
+        for r in rows:
+            before[r.old_shard] += r.size
+        least = sum(max(0, x - (sum(sizes) // 8 if s < 8 else 0)) for s, x in before.items())
+        assert done["sizes"] == sizes and least * 0.99 <= done["moved"] <= least * 1.03
+    assert done["moved"] <= done["rewritten"] <= done["total"]
 
 
 def test_resharding_nothing(none):
@@ -188,6 +193,36 @@ def test_resharding_nothing(none):
     assert out.count() == 0
 
 
+def test_flow_by_brute_force():
+    """With free stays and moves of one price, no less can move than what shards hold beyond their share."""
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        m, n = int(r.integers(1, 6)), int(r.integers(1, 6))
+        supply = r.integers(0, 50, m).tolist()
+        cuts = np.sort(r.integers(0, sum(supply) + 1, n - 1))
+        demand = np.diff(np.concatenate([[0], cuts, [sum(supply)]])).tolist()
+        f = resharding.min_cost_flow(supply, demand, lambda i, j: int(i != j))
+        assert [sum(x for (i, _), x in f.items() if i == k) for k in range(m)] == supply and [sum(x for (_, j), x in f.items() if j == k) for k in range(n)] == demand
+        assert sum(x for (i, j), x in f.items() if i != j) == sum(max(0, x - (demand[i] if i < n else 0)) for i, x in enumerate(supply))
+
+
+def test_resharding_leaves_files_alone(spark):
+    """Shards that are in balance stay; when one is added, only files that give to it are rewritten; repeated rows are dealt out."""
+    rows = [(i, "x" * int(n)) for i, n in enumerate(np.random.default_rng(1).integers(50, 150, 3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = resharding.lay_out(df, F.pmod("doc_id", F.lit(4)))
+    out, done = resharding.rewrite(spark, path, [1] * 4)
+    assert done["moved"] < 0.02 * done["total"] and done["files_rewritten"] <= 8 < done["files"]
+    out, done = resharding.rewrite(spark, path, [1] * 5)
+    assert 0.19 * done["total"] < done["moved"] < 0.22 * done["total"] and done["rewritten"] < 0.6 * done["total"]
+    assert max(done["sizes"]) - min(done["sizes"]) < 0.01 * done["total"]
+    kept = [r for r in out.collect() if r.shard != 4]
+    assert len(kept) < 3000 and sum(r.shard != r.old_shard for r in kept) < 90
+    same = spark.createDataFrame([(None, None)] * 4000, "doc_id long, text string")
+    _, done = resharding.reshard(same, F.lit(0), [1] * 8)
+    assert max(done["sizes"]) - min(done["sizes"]) <= 0.1 * 500
+
+
 # ---------------------------------------------------------------- line dedup
 
 
