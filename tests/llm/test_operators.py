@@ -715,3 +715,76 @@ def test_decontamination_odd_rows(spark, odd, none, benchmark):
 def test_decontamination_plan_is_native(docs, benchmark):
     plan = decontamination.decontaminate(docs, benchmark)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+# ---------------------------------------------------------------- hashes
+
+
+def thue_morse(a, b, n=2048):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark, labels):
+    """Two words whose polynomial hashes are equal for every base modulo 2**64: no operator may take one for the other."""
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    texts = [one, two, f"{one}\n{two}", f"{one} {two} " * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.line) for r in line_dedup.dropped_lines(df).collect()} == {(2, 0), (2, 1)}
+    assert {(r.doc_id, r.class_id) for r in jaccard_join.classes(df).collect()} == {(i, i) for i in range(4)}
+    want = plain_ids(texts)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_tokens(token_store.write_tokens(df)).collect()}
+    assert got == {i: (len(x) + 1, crc([*x, 0])) for i, x in enumerate(want)}
+    pieces = packing.pieces_of(df, with_ids=True).orderBy("doc_id", "piece").collect()
+    assert [b"".join(r.ids for r in pieces if r.doc_id == i) for i in range(4)] == [np.array([*x, 2], "<u4").tobytes() for x in want]
+    assert Counter(tuple(r)[:7] for r in quality_llr.quality_rules(df, labels).collect()) == Counter((i, *base_figures(t)) for i, t in enumerate(texts))
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash of three bits nearly all pieces collide; the ids are right by the bytes."""
+    import pyarrow as pa
+
+    from textmill.llm import bpe_ids
+    from textmill.llm.common import SpanHasher, blocks
+
+    class Poor(SpanHasher):
+        def spans(self, start, end):
+            return super().spans(start, end) & np.uint64(7)
+
+    monkeypatch.setattr(bpe_ids, "SpanHasher", Poor)
+    texts, enc = ["it's  two\n\nlines , x.y a b c d e f g h", "", " z é q"] * 3, bpe_ids.Encoder(default_path())
+    for _, _, data, off in blocks(pa.array(texts)):
+        flat, at = enc.encode(data, off)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain_ids(texts)
+
+
+def test_lines_without_ids_and_hot_lines(spark):
+    """Ten thousand rows without an id, with a line on all of them: one keeps it, and each keeps its own."""
+    rows = [(None, f"a line that stands on every page of the site\nand {'abcdefghij'[i % 10] * 20} the line of page number {i * 7919 + 10**9}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = line_dedup.dropped_lines(df).filter("not near")
+    assert gone.count() == 9999 and gone.select("row").distinct().count() == 9999
+    assert line_dedup.strip_duplicates(df).filter("text like 'a line%'").count() == 1
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    rows = [(None, None)] * 3000 + [(1, "a b c")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pieces = stored(packing.pieces_of(df), "t")
+    out, _ = packing.pack(pieces, partition_pieces=500)
+    rows = out.collect()
+    assert len(rows) == 6000
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    # no partition has a bin more than its volume takes, rounded up
+    assert max(fill.values()) <= 1024 and len(fill) <= sum(fill.values()) / 1024 + 12
+
+
+def test_toxicity_scores_by_the_formula():
+    """The vectorised score against the sum over terms and pairs."""
+    r = np.random.default_rng(0)
+    fm = toxicity.FM(np.arange(6), 0.3, r.normal(size=6), r.normal(size=(6, 4)))
+    rows = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    term, row = np.concatenate([np.array(x, np.int64) for x in rows]), np.repeat(np.arange(4), [len(x) for x in rows])
+    want = [fm.b + sum(fm.w[i] for i in x) + sum(fm.v[i] @ fm.v[j] for k, i in enumerate(x) for j in x[k + 1 :]) for x in rows]
+    assert np.allclose(fm.raw(term, row, 4), want)

@@ -209,13 +209,13 @@ def tasks(df: DataFrame, each: int = 128 << 20) -> int:
     return max(2 * partitions(df.sparkSession), math.ceil(size / each) if size < 1 << 60 else 0)  # beyond it, it is not known
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """The inner join of two stored tables on a key that right has once, with the number of left's rows in the column weight.
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, n: int | None = None) -> DataFrame:
+    """The inner join of two stored tables on a key that right has once, with the number of left's rows in the column weight; n: left's rows, about.
 
     Keys with more rows than a task's share are joined by broadcast; as their rows add up to left's, they are at most four for each
     shuffle partition. All others are shuffled.
     """
-    n = left.count()
+    n = left.count() if n is None else n
     share = max(1000, n // (4 * partitions(left.sparkSession)))
     heavy = F.broadcast(right.filter(F.col(weight) > share))
     rest = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(weight) <= share), key)

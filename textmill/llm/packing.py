@@ -4,8 +4,8 @@ Documents become token pieces of at most ``capacity`` ids: only longer documents
 first piece takes the remainder. Pieces are dealt into partitions; each runs best-fit decreasing, and
 dual-feasible functions give a lower bound of its bin count. A partition that meets its bound is certified
 and stays. Partitions with a gap give up their bins that are not full, exchange those pieces with other
-such partitions (groups of four are merged), and run best-fit decreasing again, until no gap
-is left, one group is left, or a round saves nothing.
+such partitions (up to four are merged, while they hold no more than eight partitions' pieces), and run best-fit decreasing again, until no gap
+is left, no two can be merged, or a round saves nothing.
 
 Defined results: a null text is an empty one, a document of one id (the end id); repeated rows are documents of their own;
 an empty table makes no piece; other columns are not read. Ties go by length, doc_id, piece and checksum, so equal
@@ -29,8 +29,8 @@ from .common import blocks, stored, text_of
 CAPACITY = 1024
 #: Pieces in a partition, about; what one task packs at a time.
 PARTITION_PIECES = 60_000
-#: Partitions that exchange pieces in a round.
-MERGE = 4
+#: Partitions that exchange pieces in a round, and the partitions' pieces that they may hold together.
+MERGE, MOST = 4, 8
 
 
 def pieces_of(docs: DataFrame, path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -134,25 +134,46 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     """
     n = pieces.count()
     parts = max(1, math.ceil(n / partition_pieces))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    # pieces that repeat beyond a share of a partition are dealt one by one; they are ten for each partition at most
+    key = ["doc_id", "piece", "ids_crc32"]
+    often = stored(pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, partition_pieces // 10)).select(*(F.col(c).alias(f"_{c}") for c in key)), "often")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    hashed = F.xxhash64(*key, F.when(F.col("_piece").isNotNull(), F.col("_at")).otherwise(F.lit(0).cast("long")))
+    dealt = pieces.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(often), same, "left")
+    dealt = dealt.withColumn("part", F.pmod(hashed, F.lit(parts)).cast("long")).select(*COLUMNS, "part")
     packed = stored(dealt.groupBy("part").applyInPandas(_pack(0, capacity), _SCHEMA), "packed")
     summary = {"pieces": n, "partitions": parts, "rounds": 0}
 
-    def totals(df: DataFrame) -> list[tuple[int, int, int]]:
-        """(part, bins, bound): a row for each partition_pieces pieces."""
-        return [tuple(r) for r in df.groupBy("part").agg(F.max("bins"), F.max("bound")).collect()]
+    def totals(df: DataFrame) -> list[tuple[int, int, int, int]]:
+        """(part, bins, bound, pieces in bins that aren't full): a row for each partition_pieces pieces."""
+        return [tuple(r) for r in df.groupBy("part").agg(F.max("bins"), F.max("bound"), F.count_if(F.col("fill") < capacity)).collect()]
 
     done: list[DataFrame] = []
     now, level = totals(packed), 0
-    while sum(b - lb for _, b, lb in now) and len(now) > 1 and level < 15:
+    while True:
+        # consecutive partitions with a gap make a group while their loose pieces are few enough for a task
+        groups: list[tuple[int, int]] = []
+        held, members, group = 0, 0, -1
+        for part, bins, bound, loose in sorted(now):
+            if bins <= bound:
+                continue
+            if group < 0 or members == MERGE or held + loose > MOST * partition_pieces:
+                held, members, group = 0, 0, group + 1
+            groups.append((part, group))
+            held, members = held + loose, members + 1
+        if not groups or group + 1 == len(groups):
+            break
         level += 1
         gap = packed.filter("bins > bound")
         pool = gap.filter(F.col("fill") < capacity)
-        again = stored(pool.withColumn("part", F.floor(F.col("part") / MERGE).cast("long")).groupBy("part").applyInPandas(_pack(level, capacity), _SCHEMA), "repacked")
+        table = F.broadcast(pieces.sparkSession.createDataFrame(groups, "part long, group long"))
+        again = stored(pool.join(table, "part").drop("part").withColumnRenamed("group", "part").groupBy("part").applyInPandas(_pack(level, capacity), _SCHEMA), "repacked")
         before = pool.select("sequence_id").distinct().count()
         after = totals(again)
         summary["rounds"] = level
-        if sum(b for _, b, _ in after) >= before:
+        if sum(x[1] for x in after) >= before:
             break
         done += [packed.filter("bins <= bound"), gap.filter(F.col("fill") >= capacity)]
         packed, now = again, after

@@ -139,6 +139,35 @@ def _window_repeats(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> np.nda
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
+#: Weights are whole multiples of 1 / UNIT, so sums are exact: a row's score can't depend on its neighbours in a block.
+UNIT = 1 << 24
+
+
+def figures(col: pa.Array, ratio: np.ndarray, p: QualityParams) -> dict[str, np.ndarray]:
+    """Base figures, failure, verdict and score of each text of a column."""
+    n = len(col)
+    out = {c: np.zeros(n, np.int64) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    w, score = np.round(ratio.astype(np.float64) * UNIT).astype(np.int64), np.zeros(n)
+    for lo, hi, data, off in blocks(col):
+        rows = hi - lo
+        if not len(data):
+            continue
+        start, end, row = words(data, off)
+        hasher = SpanHasher(data)
+        h = hasher.spans(start, end)
+        solid = np.concatenate([[0], np.cumsum(code_points(data) & ~np.isin(data, np.array([32, 9, 10, 11, 12, 13], np.uint8)))])
+        signs = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
+        out["n_words"][lo:hi] = np.bincount(row, minlength=rows)
+        out["word_chars"][lo:hi] = solid[off[1:]] - solid[off[:-1]]
+        out["n_symbols"][lo:hi] = signs[off[1:]] - signs[off[:-1]]
+        out["n_dup_lines"][lo:hi] = _line_repeats(data, off, start, hasher)
+        out["n_repeat_words"][lo:hi] = _window_repeats(h, row, rows, p.window)
+        b, at = _gram_buckets(data, off, p)
+        total = np.concatenate([[0], np.cumsum(w[b])])
+        score[lo:hi] = (total[at[1:]] - total[at[:-1]]) / np.maximum(at[1:] - at[:-1], 1) / UNIT
+    out["base_failed"] = (out["n_words"] < p.min_words) | (100 * out["n_repeat_words"] > p.max_repeat_percent * out["n_words"])
+    out["kept"] = ~out["base_failed"] & (score >= p.threshold)
+    return out | {"score": score}
 
 
 def judge(docs: DataFrame, ratio: np.ndarray, p: QualityParams = QualityParams()) -> DataFrame:
@@ -146,38 +175,15 @@ def judge(docs: DataFrame, ratio: np.ndarray, p: QualityParams = QualityParams()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # p.buckets floats
 
     def run(batches):
-        w = shared.value.astype(np.float64)
         for batch in batches:
-            n = batch.num_rows
-            out = {c: np.zeros(n, np.int64) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-            score = np.zeros(n)
-            for lo, hi, data, off in blocks(text_of(batch)):
-                rows = hi - lo
-                if not len(data):
-                    continue
-                start, end, row = words(data, off)
-                hasher = SpanHasher(data)
-                h = hasher.spans(start, end)
-                solid = np.concatenate([[0], np.cumsum(code_points(data) & ~np.isin(data, np.array([32, 9, 10, 11, 12, 13], np.uint8)))])
-                signs = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-                out["n_words"][lo:hi] = np.bincount(row, minlength=rows)
-                out["word_chars"][lo:hi] = solid[off[1:]] - solid[off[:-1]]
-                out["n_symbols"][lo:hi] = signs[off[1:]] - signs[off[:-1]]
-                out["n_dup_lines"][lo:hi] = _line_repeats(data, off, start, hasher)
-                out["n_repeat_words"][lo:hi] = _window_repeats(h, row, rows, p.window)
-                b, at = _gram_buckets(data, off, p)
-                total = np.concatenate([[0.0], np.cumsum(w[b])])
-                score[lo:hi] = (total[at[1:]] - total[at[:-1]]) / np.maximum(at[1:] - at[:-1], 1)
-            score = np.round(score, 9)
-            failed = (out["n_words"] < p.min_words) | (100 * out["n_repeat_words"] > p.max_repeat_percent * out["n_words"])
-            cols = [batch.column(0), *(pa.array(x) for x in out.values()), pa.array(failed), pa.array(~failed & (score >= p.threshold)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *out, "base_failed", "kept", "score"])
+            out = figures(text_of(batch), shared.value, p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out.values())], ["doc_id", *out])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """Fits on all of docs and labels, then judges every row of docs."""
+    """Fits on all of docs and labels, then judges every row of docs. A null text is an empty one; an empty table gives an empty result."""
     return judge(docs, fit(docs, labels, p), p)
 
 
@@ -191,24 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityPara
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(verdicts(batch.column(at), ratio.value, p)))
+            texts = text_of(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]))
+            yield batch.filter(pa.array(figures(texts, ratio.value, p)["kept"]))
 
     return docs.mapInArrow(run, schema)
-
-
-def verdicts(col: pa.Array, ratio: np.ndarray, p: QualityParams) -> np.ndarray:
-    """The keep mask of a column of texts."""
-    col = text_of(pa.RecordBatch.from_arrays([col], ["text"]))
-    w, kept = ratio.astype(np.float64), np.zeros(len(col), dtype=bool)
-    for lo, hi, data, off in blocks(col):
-        start, end, row = words(data, off)
-        rows = hi - lo
-        n = np.bincount(row, minlength=rows)
-        if not len(data):
-            continue
-        repeat = _window_repeats(SpanHasher(data).spans(start, end), row, rows, p.window)
-        b, at = _gram_buckets(data, off, p)
-        total = np.concatenate([[0.0], np.cumsum(w[b])])
-        score = np.round((total[at[1:]] - total[at[:-1]]) / np.maximum(at[1:] - at[:-1], 1), 9)
-        kept[lo:hi] = ~((n < p.min_words) | (100 * repeat > p.max_repeat_percent * n)) & (score >= p.threshold)
-    return kept

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_ids import default_path, encoder
-from .common import blocks, partitions, stored, text_of
+from .common import blocks, stored, tasks, text_of
 
 MAGIC = b"BPS1"
 BLOCK = 1 << 16
@@ -123,32 +123,32 @@ def _chunks(batches, path: str, end_id: int, chunk_ids: int) -> Iterator[tuple[l
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 0, chunk_ids: int = CHUNK_IDS) -> DataFrame:
-    """Chunks (part, seq, n_ids, chunk) of all documents in ascending doc_id order; part and seq order them."""
+    """Chunks (part, seq, before, n_ids, chunk) of all documents in ascending doc_id order; part and seq order them, before is the number of
+    ids in the part's chunks before. A null text has the end id only; an empty table makes no chunk."""
     path = path or default_path()
 
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, before = TaskContext.get().partitionId(), 0
         for seq, (names, ids, lengths) in enumerate(_chunks(batches, path, end_id, chunk_ids)):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "chunk": pa.array([write_chunk(ids, names, lengths)], pa.binary())})
+            row = {"part": part, "seq": seq, "before": before, "n_ids": len(ids)}
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in row.items()} | {"chunk": pa.array([write_chunk(ids, names, lengths)], pa.binary())})
+            before += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(2 * partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInArrow(run, "part long, seq long, n_ids long, chunk binary"), "tokens")
+    dealt = rows.repartitionByRange(tasks(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    return stored(dealt.mapInArrow(run, "part long, seq long, before long, n_ids long, chunk binary"), "tokens")
 
 
 def read_tokens(chunks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the chunks.
 
-    The chunks' sizes (24 bytes for each million ids) go to the driver to be summed up in order.
+    A part's place among all ids is the sum of the parts before; there is a part for each task that wrote.
     """
-    spark = chunks.sparkSession
-    sizes = sorted(tuple(r) for r in chunks.select("part", "seq", "n_ids").collect())
-    base = np.cumsum([0, *(n for _, _, n in sizes)])
-    places = spark.createDataFrame([(p, s, int(b)) for (p, s, _), b in zip(sizes, base, strict=False)], "part long, seq long, base long")
-    if len(sizes) <= 1_000_000:
-        places = F.broadcast(places)
+    sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    above = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    places = F.broadcast(sizes.select("part", F.coalesce(above, F.lit(0)).alias("base")))
 
     def run(batches):
         for batch in batches:
@@ -158,7 +158,7 @@ def read_tokens(chunks: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.docs, pa.int64()), pa.array(at[:-1] + base), pa.array(c.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return chunks.join(places, ["part", "seq"]).select("base", "chunk").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return chunks.join(places, "part").select((F.col("base") + F.col("before")).alias("base"), "chunk").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def save_local(chunks: DataFrame, folder: str) -> list[str]:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_unique, stored
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 24
@@ -114,6 +114,7 @@ class Bundle:
         if magic != INDEX_MAGIC:
             raise ValueError("no record index")
         own = zstandard.ZstdDecompressor().decompress(raw[at + 8 : at + 8 + size]) if size else b""
+        self._places: dict[int | None, tuple[int, int]] | None = None
         self.index = [(i if there else None, f, a, k) for there, i, f, a, k in struct.iter_unpack("<?qIQQ", own)]
 
     def frame(self, i: int) -> bytes:
@@ -121,8 +122,10 @@ class Bundle:
         return zstandard.ZstdDecompressor().decompress(self.raw[at : at + packed], max_output_size=plain)
 
     def record(self, page_id: int | None) -> tuple[dict[str, str], bytes]:
-        """Headers and block of the first record of an id; decompresses its frame only."""
-        _, f, a, _ = next(x for x in self.index if x[0] == page_id)
+        """Headers and block of the first record of an id; decompresses its frame only. A KeyError if there is none."""
+        if self._places is None:
+            self._places = {i: (f, a) for i, f, a, _ in reversed(self.index)}
+        f, a = self._places[page_id]
         return parse(self.frame(f), a)[:2]
 
     def __iter__(self) -> Iterator[tuple[int | None, dict[str, str], bytes]]:
@@ -141,7 +144,7 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     ids = pages.filter(F.length(html) >= min_bytes).select("page_id", F.sha1(html).alias("digest"))
     first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return ids.join(first, "digest").filter("page_id is null or page_id > refers_to").filter("refers_to is not null").select("page_id", "digest", "refers_to").distinct()
+    return join_unique(ids, stored(first, "payloads"), "digest", "n", pages.count()).filter("page_id is null or page_id > refers_to").filter("refers_to is not null").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_bundles(pages: DataFrame, min_bytes: int = MIN_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
