@@ -154,3 +154,59 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o1")).count() == 1
     streams.dedup_stream(read(), str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
+
+
+def test_windows_have_no_row_for_each_token(spark, stream):
+    """A sweep neither joins nor makes more rows than documents and windows; windows of many blocks come out whole."""
+    flat = tokens(stream)
+    plain = spark.createDataFrame([(0, [1, 2, 3])], "start_pos long, ids array<int>")
+    plan = pack.sweep(plain, len(flat), 2, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "posexplode" not in plan
+    offsets = spark.createDataFrame([(i, o) for i, o in enumerate((0, 5, 63, 64, 100, 150))], "window long, offset long")
+    got = {r.window: r for r in pack.windows_at(stream, offsets, 40, step=8).collect()}
+    assert len(got) == 6 and all(got[i].x == flat[o : o + 40] and got[i].y == flat[o + 1 : o + 41] for i, o in enumerate((0, 5, 63, 64, 100, 150)))
+    assert not pack.windows_at(stream, spark.createDataFrame([(0, len(flat) - 40)], "window long, offset long"), 40).count()
+    big = pack.token_stream(spark.createDataFrame([(0, list(range(1000))), (1, [])], "doc_id long, ids array<int>"), F.col("ids"), "doc_id", 999)
+    rows = pack.sweep(big, 1002, 3, 10).orderBy("step", "row").collect()
+    assert [r.x[0] for r in rows] == list(range(0, 990, 10)) and all(r.y == [x + 1 for x in r.x] for r in rows)
+
+
+def test_drawn_rows_come_with_replacement(spark):
+    rows = pack.drawn_rows(spark.range(10), "id", 500, 10, 7).collect()
+    assert sorted(r.draw for r in rows) == list(range(500)) and {r.id for r in rows} == set(range(10))
+
+
+def test_masked_token_files(spark, tmp_path):
+    token_bin.install(spark)
+    out = str(tmp_path / "sft")
+    rows = spark.createDataFrame([(0, [5, 6, 7], [0, 1, 1]), (3, [], []), (3, [70000], [1])], "start_pos long, ids array<int>, mask array<int>").coalesce(1).sortWithinPartitions("start_pos")
+    how = {"path": out, "masked": "true"}
+    with pytest.raises(Exception, match="fit"):
+        rows.write.format("token_bin").mode("overwrite").options(**how).save()
+    rows.write.format("token_bin").mode("overwrite").options(**how, dtype="uint32").save()
+    r = spark.read.format("token_bin").options(**how).load().first()
+    assert r.ids == [5, 6, 7, 70000] and r["mask"] == [0, 1, 1, 1]
+    mask = next(tmp_path.glob("sft/*.mask"))
+    mask.write_bytes(b"\x00")
+    with pytest.raises(Exception, match="a mask of 1"):
+        spark.read.format("token_bin").options(**how).load().count()
+    short = spark.createDataFrame([(0, [5, 6], [1])], "start_pos long, ids array<int>, mask array<int>")
+    with pytest.raises(Exception, match="a mask of 1 for 2"):
+        short.write.format("token_bin").mode("overwrite").options(**how).save()
+
+
+def test_byte_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * 30) for i in range(100)], "doc_id long, text string")
+    registry.write_byte_shards(docs, str(tmp_path / "s"), "doc_id", 430, "text")
+    sizes = [sum(f.stat().st_size for f in d.glob("*.json")) for d in sorted((tmp_path / "s").glob("shard=*"))]
+    assert sum(sizes) == 4200 and max(sizes) < 430 + 42
+
+
+def test_ema_is_the_fold(spark):
+    r = np.random.default_rng(0)
+    rows = [(int(g), i, float(v)) for i, (g, v) in enumerate(zip(r.integers(0, 5, 300), r.normal(size=300), strict=True))]
+    want = {}
+    for g, _, v in rows:
+        want[g] = 0.9 * want[g] + 0.1 * v if g in want else v
+    got = {r.g: r.ema for r in objectives.ema(spark.createDataFrame(rows, "g int, i int, v double").repartition(3), "v", "i", "g", 0.9).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)

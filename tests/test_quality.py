@@ -61,3 +61,12 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality_filter(docs).count() == 0
     assert quality.keep_rate(quality.check_documents(docs)).first().doc_rate == 0
+
+
+def test_texts_are_split_once_in_every_plan(spark):
+    """Filters and reports on the rules' failures compute no figure again."""
+    from textmill.plans import catalogue
+
+    for name in ("quality_filter", "quality_reason_histogram", "quality_combo_top8", "quality_keep_rate", "quality_fails", "word_stats"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= 1 and plan.count("split(text") <= 2, name

@@ -14,10 +14,12 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .pack import prefix_sum
 from .storage import stored
 
 #: Fixed value: the pre-token pattern.
@@ -161,6 +163,8 @@ class Tokenizer:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         ids = tuple(chunk.encode())
+        if not self.rank:
+            return list(ids)
         while len(ids) > 1:
             low = min((self.rank.get(p, 1 << 40), p) for p in zip(ids, ids[1:], strict=False))
             if low[0] == 1 << 40:
@@ -220,6 +224,37 @@ def train(docs: DataFrame, vocab: int, max_words: int = 1_000_000) -> Tokenizer:
     return Tokenizer(train_fast({r.chunk: r.freq for r in hist.collect()}, vocab))
 
 
+#: Texts that a trained tokenizer must give back as they were.
+PROBES = ("Plain words, and a full stop.", "if (x > 0) { return x * 2; }  // twice\n\tfor k in range(9): pass", "na\u00efve caf\u00e9, \u4e2d\u6587\u5b57, \u03b1\u03b2\u03b3, \U0001f642", "  spaces \r\n and 12345 digits\u3000")
+
+
+def report(docs: DataFrame, tok: Tokenizer, order: str = "doc_id", chars: int = 2_000_000) -> DataFrame:
+    """One row: the first chars characters of the corpus in order, their tokens, characters for each token, and the probes that come back unchanged."""
+    sized = prefix_sum(docs.select(order, "text"), F.length("text"), order, "_before").filter(F.col("_before") < chars)
+    sample = sized.select(order, F.substring("text", F.lit(1), (F.lit(chars) - F.col("_before")).cast("int")).alias("text"))
+    n = encode_documents(sample, tok, order).agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("tokens"))
+    total = sample.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    came = sum(tok.decode([i for c in regex.findall(PATTERN, p) for i in tok.encode_chunk(c)]) == p for p in PROBES)
+    return total.join(n).select("chars", "tokens", F.round(F.col("chars") / F.greatest("tokens", F.lit(1)), 3).alias("chars_per_token"), F.lit(came).alias("probes_back"), F.lit(tok.vocab_size).alias("vocab_size"))
+
+
+def merge_pair(ids: Column, pair: Pair, new: int) -> Column:
+    """ids with each non-overlapping occurrence of pair, from the left, replaced by new, as an expression."""
+    step = lambda acc, x: F.when((x == pair[1]) & (F.get(acc, F.size(acc) - 1) == pair[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(ids, F.array().cast("array<int>"), step)
+
+
+def pairs_of(ids: Column) -> Column:
+    """The different adjacent pairs of an array."""
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    return F.array_distinct(F.arrays_zip(F.slice(ids, 1, n).alias("a"), F.slice(ids, 2, n).alias("b")))
+
+
+def lost_pairs(ids: Column, pair: Pair, new: int) -> Column:
+    """The pairs that ids has before the merge of pair and lacks after it."""
+    return bound(ids, lambda x: F.array_except(pairs_of(x), pairs_of(merge_pair(x, pair, new))))
+
+
 def encode_chunks(chunks: DataFrame, tok: Tokenizer) -> DataFrame:
     """(chunk, ids) of a table of different pre-tokens."""
     shared = chunks.sparkSession.sparkContext.broadcast(tok)
@@ -237,8 +272,6 @@ def encode_documents(docs: DataFrame, tok: Tokenizer, key: str = "doc_id", speci
 
     specials: the strings that stand for themselves; the longest is tried first. None: all text is ordinary.
     """
-    import regex
-
     shared = docs.sparkSession.sparkContext.broadcast(tok)
     pieces = "|".join(regex.escape(s) for s in sorted(specials or [], key=len, reverse=True))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Tokenizer, bytes_of
+from .pack import prefix_sum
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,41 @@ def preference_pairs(rows: DataFrame, length: int, f: ChatFormat = BYTES, pad: i
     return sides.withColumns(out).drop("_chosen", "_rejected")
 
 
+ARRAYS = ("chosen_ids", "chosen_mask", "rejected_ids", "rejected_mask")
+
+
+def pack_preferences(rows: DataFrame, order: str, split: Column, length: int, most: int = 30_000, **how) -> DataFrame:
+    """(order, split, row, arrays): the pairs that fit, numbered in order within their split. Of the training split the first most rows are looked at, of
+    val a tenth of that (1000 if that is none); most = 0 means all training rows. Only as many rows as the caps go through a split's window."""
+    caps = {"train": most, "val": most // 10 or 1000}
+    out = None
+    for name, cap in caps.items():
+        own = rows.filter(split == name)
+        own = own.orderBy(order).limit(cap) if cap else own
+        pairs = preference_pairs(own, length, **how).filter("chosen_ids is not null")
+        one = dense_index(pairs.select(order, F.lit(name).alias("split"), *ARRAYS), order, "row")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dense_index(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their number in order: counts of ranges of the order column, summed up, and then within each range."""
+    return prefix_sum(rows, F.lit(1), order, name)
+
+
+def write_preferences(packed: DataFrame, path: str) -> None:
+    """A folder of Parquet for each split, ids as short integers."""
+    packed.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_preferences(spark: SparkSession, path: str, split: str, order: str = "order") -> DataFrame:
+    """(order, row, arrays) of a split; an error if a mask's length is not its ids'."""
+    schema = ", ".join([f"{order} long", *(f"{c} array<int>" for c in ARRAYS), "row long", "split string"])
+    rows = spark.read.schema(schema).parquet(path).filter(F.col("split") == split).drop("split")
+    same = (F.size("chosen_ids") == F.size("chosen_mask")) & (F.size("rejected_ids") == F.size("rejected_mask"))
+    return rows.withColumn("row", F.when(same, F.col("row")).otherwise(F.raise_error(F.lit("a mask has another length than its ids")).cast("long")))
+
+
 def rollout_row(prompt: Column, completion: Column, pad: int, length: int) -> Column:
     """(ids, mask) of a prompt and completion, cut at length, padded on the right."""
     ids = F.slice(F.concat(prompt, completion), 1, length)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
-from .storage import stored
+from .storage import join_unique, stored
 
 # The mixer's constants.
 MIX_ADD, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -109,14 +109,19 @@ def buckets(keys: DataFrame) -> DataFrame:
 
 def candidate_edges(keys: DataFrame) -> DataFrame:
     """(src, dst): each bucket's anchor with each other member, once."""
-    return keys.join(buckets(keys), ["band", "key"]).filter("doc_idx <> anchor").select(F.col("anchor").alias("src"), F.col("doc_idx").alias("dst")).distinct()
+    flat = keys.select("band", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "doc_idx")
+    found = buckets(keys).select("band", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "anchor", "members")
+    flat = stored(flat, "band_keys")
+    return join_unique(flat, stored(found, "buckets"), ["band", "a", "b"], "members").filter("doc_idx <> anchor").select(F.col("anchor").alias("src"), F.col("doc_idx").alias("dst")).distinct()
 
 
 def confirmed_edges(edges: DataFrame, sigs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The edges whose estimate reaches the threshold."""
+    """The edges whose estimate reaches the threshold. Signatures of anchors with many edges are joined by broadcast."""
+    edges = stored(edges, "candidates")
     one = sigs.select(F.col("doc_idx").alias("src"), F.col("signature").alias("_a"))
     two = sigs.select(F.col("doc_idx").alias("dst"), F.col("signature").alias("_b"))
-    both = edges.join(one, "src").join(two, "dst").withColumn("estimate", estimated_jaccard(F.col("_a"), F.col("_b")))
+    one = stored(one.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n")), "src"), "anchors")
+    both = join_unique(edges, one, "src", "_n").join(two, "dst").withColumn("estimate", estimated_jaccard(F.col("_a"), F.col("_b")))
     return both.filter(F.col("estimate") >= threshold).select("src", "dst", "estimate")
 
 
@@ -171,5 +176,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The first row of each different text: only ids and digests are shuffled."""
     keyed = docs.select("doc_idx", F.md5(F.col("text")).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_idx").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = keyed.join(first, "digest").filter("doc_idx <> first").select("doc_idx")
+    again = join_unique(keyed, stored(first, "copies"), "digest", "n", docs.count()).filter("doc_idx <> first").select("doc_idx")
     return docs.join(again, "doc_idx", "left_anti")

@@ -8,8 +8,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .bpe import Tokenizer
+from .chat import ChatFormat, byte_ids, rollout_row
+from .evaluate import generation_context, loglikelihood, rolling_chunks, with_empty
 from .objectives import ModelConfig
+from .reward import prompt as prompt_text
+from .reward import reward, rollouts
 
 Weights = dict[str, np.ndarray]
 
@@ -149,3 +155,64 @@ def generate_rows(rows: DataFrame, w: Weights, c: ModelConfig, n: int, eot: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
     return rows.select(key, "ids").mapInArrow(run, f"{key} long, ids array<int>")
+
+
+def generate_until(rows: DataFrame, w: Weights, c: ModelConfig, tok: Tokenizer, until: list[str], n: int = 256, eot: int | None = None, key: str = "row_id") -> DataFrame:
+    """(key, n_ids, text): greedy text after each prompt of rows (key, ids), up to n ids, an end id, or the first id with which the text has a stop
+    string; the first listed that it has is cut off with what follows. Prompts are cut from the left to leave room."""
+    shared = rows.sparkSession.sparkContext.broadcast((w, c, tok))
+    stops = [s for s in until if s]
+
+    def one(w: Weights, c: ModelConfig, tok: Tokenizer, prompt: list[int]) -> tuple[int, str]:
+        cache, ids, text = Cache(c.n_layers), [], ""
+        logits = forward(w, c, prompt, cache)[-1]
+        while len(ids) < n and (i := int(logits.argmax())) != eot:
+            ids.append(i)
+            text = tok.decode(ids)
+            hit = next((s for s in stops if s in text), None)
+            if hit is not None:
+                return len(ids), text.split(hit)[0]
+            logits = forward(w, c, [i], cache)[-1]
+        return len(ids), text
+
+    def run(batches):
+        for batch in batches:
+            out = [one(*shared.value, p) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], [key, "n_ids", "text"])
+
+    cut = rows.select(key, generation_context(F.col("ids"), c.max_seq_len, n).alias("ids"))
+    return cut.mapInArrow(run, f"{key} long, n_ids long, text string")
+
+
+def rolling_loglikelihood(rows: DataFrame, w: Weights, c: ModelConfig, eot: int, key: str = "row_id") -> DataFrame:
+    """(key, logp): whole texts (key, ids) scored in chunks of the model's length, each after the last id of the one before; 0 of none."""
+    chunks = rolling_chunks(rows, key, "ids", c.max_seq_len, eot)
+    request = chunks.select(key, F.concat("context", "continuation").alias("ids"), F.lit(0).alias("start"))
+    return with_empty(rows, loglikelihood(score_rows(request, w, c, key), key), key).select(key, "logp")
+
+
+def rollout(prompts: DataFrame, w: Weights, c: ModelConfig, tok: Tokenizer, f: ChatFormat, per_prompt: int, n: int, length: int, encode=byte_ids, key: str = "row_id", **how) -> DataFrame:
+    """(key, sample_idx, ids, mask, text, reward) of per_prompt completions of each (key, question, gold), packed to length; **how is generate()'s
+    (temperature 0 and per_prompt 1 for a greedy evaluation). Each sample draws by its own seed."""
+    start = F.concat(F.array(F.lit(f.user)), encode(prompt_text(F.col("question"))), F.array(F.lit(f.end), F.lit(f.assistant)))
+    rows = rollouts(prompts.select(key, "gold", start.alias("prompt_ids")), per_prompt)
+    shared = prompts.sparkSession.sparkContext.broadcast((w, c, tok))
+
+    def run(batches):
+        w, c, tok = shared.value
+        for batch in batches:
+            own = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
+            ids = [generate(w, c, p, n, f.end, **({"seed": k * per_prompt + s} | how)) for k, s, p in zip(own[key].to_pylist(), own["sample_idx"].to_pylist(), own["prompt_ids"].to_pylist(), strict=True)]
+            added = [pa.array(ids, pa.list_(pa.int32())), pa.array([tok.decode(x) for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "new_ids", "text"])
+
+    said = rows.select(F.col(key).cast("long").alias(key), "gold", "prompt_ids", "sample_idx").mapInArrow(run, f"{key} long, gold string, prompt_ids array<int>, sample_idx int, new_ids array<int>, text string")
+    packed = said.withColumn("_r", rollout_row(F.col("prompt_ids"), F.col("new_ids"), f.end, length))
+    return packed.select(key, "sample_idx", "_r.ids", "_r.mask", "text", reward(F.col("text"), F.col("gold")).alias("reward"))
+
+
+def successor_weights(c: ModelConfig) -> Weights:
+    """A decoder that says i + 1 after i (0 after the last), 16 nats above all else: what it scores and says is known beforehand. dim is vocab_size, a power of 4."""
+    w = {k: np.zeros_like(v) if k.startswith("blocks") and v.ndim > 1 else v for k, v in initial_weights(c).items()}
+    w["tok_emb"], w["lm_head"] = np.eye(c.vocab_size, dtype=np.float32), np.roll(np.eye(c.vocab_size, dtype=np.float32), 1, axis=1) * np.float32(16 / np.sqrt(c.dim))
+    return w

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -147,10 +147,12 @@ def component_of(tensor: Column) -> Column:
 
 
 def ema(rows: DataFrame, value: str, order: str, group: str, keep: float = 0.9) -> DataFrame:
-    """(group, ema): the fold keep * last + (1 - keep) * x in order, begun by the first value."""
-    xs = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_xs"))
-    seq = F.transform("_xs", lambda t: t[value].cast("double"))
-    return xs.select(group, F.aggregate(F.slice(seq, 2, F.greatest(F.size(seq) - 1, F.lit(0))), F.get(seq, F.lit(0)), lambda a, x: keep * a + (1 - keep) * x).alias("ema"))
+    """(group, ema): the fold keep * last + (1 - keep) * x in order, begun by the first value. As a sum: the value k places before the last
+    weighs (1 - keep) * keep**k, the first one keep**k; so a group is sorted, but never held."""
+    last = Window.partitionBy(group).orderBy(F.desc(order))
+    at = rows.select(group, F.col(value).cast("double").alias("_x"), (F.row_number().over(last) - 1).alias("_k"), F.lead(F.lit(1)).over(last).isNull().alias("_first"))
+    weight = F.pow(F.lit(keep), F.col("_k")) * F.when(F.col("_first"), F.lit(1.0)).otherwise(F.lit(1 - keep))
+    return at.groupBy(group).agg(F.sum(weight * F.col("_x")).alias("ema"))
 
 
 def repetition_penalty(logits: Column, seen: Column, penalty: float) -> Column:

@@ -77,43 +77,71 @@ def split_counts(stream: DataFrame, split: str = "split") -> DataFrame:
     return stream.groupBy(split).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"))
 
 
-def blocks(stream: DataFrame, step: int, carry: list[str] | None = None) -> DataFrame:
-    """(block, pos, id, carry): the stream's tokens, numbered, with the block of step positions that each is in."""
-    carry = carry or []
-    both = F.arrays_zip("ids", *carry)
-    return stream.select("start_pos", F.posexplode(both).alias("_i", "_z")).select((F.col("start_pos") + F.col("_i")).alias("pos"), F.col("_z.ids").alias("id"), *[F.col(f"_z.{c}").alias(c) for c in carry]).withColumn("block", F.floor(F.col("pos") / step).cast("long"))
+def _pieces(rows: DataFrame, first: Column, length: int, carry: list[str], *keep: str) -> DataFrame:
+    """(keep, pos, ids, carry): of each row (start_pos, ids, carry), the part from position first on, length tokens at most."""
+    at = F.greatest(F.lit(0).cast("long"), first - F.col("start_pos"))
+    n = F.least(F.size("ids").cast("long"), first + length - F.col("start_pos")) - at
+    cut = lambda c: F.slice(c, (at + 1).cast("int"), n.cast("int"))
+    return rows.filter(n > 0).select(*keep, (F.col("start_pos") + at).alias("pos"), cut("ids").alias("ids"), *(cut(c).alias(c) for c in carry))
+
 
+def _windows(pieces: DataFrame, length: int, carry: list[str], *key: str) -> DataFrame:
+    """(key, x, y, carry) of the windows that are whole: length + 1 tokens, put together from their pieces."""
+    whole = pieces.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids", *carry))).alias("_w"))
+    flat = lambda c: F.flatten(F.transform("_w", lambda p: p[c]))
+    rows = whole.select(*key, flat("ids").alias("_ids"), *(flat(c).alias(f"_{c}") for c in carry)).filter(F.size("_ids") == length + 1)
+    return rows.select(*key, F.slice("_ids", 1, length).alias("x"), F.slice("_ids", 2, length).alias("y"), *(F.slice(f"_{c}", 2, length).alias(c) for c in carry))
 
-def windows_at(stream: DataFrame, offsets: DataFrame, length: int, carry: list[str] | None = None) -> DataFrame:
+
+def windows_at(stream: DataFrame, offsets: DataFrame, length: int, carry: list[str] | None = None, step: int = 1 << 13) -> DataFrame:
     """(window, x, y[, m]): length + 1 tokens from each offset of (window, offset), and the same shifted by one.
 
-    A range join made an equi-join: an offset asks for each block that its window touches. A carried mask is aligned with y.
+    A range join made an equi-join: offsets and documents ask for each block of step positions that they touch; a document
+    gives a window the part that is in it, so no token has a row of its own. A window and a document that meet in two blocks
+    count in the first. Whether a side is broadcast is left to the planner. A carried mask is aligned with y.
     """
     carry = carry or []
-    first, last = F.floor(F.col("offset") / length), F.floor((F.col("offset") + length) / length)
-    asked = offsets.select("window", "offset", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"))
-    near = blocks(stream, length, carry).join(F.broadcast(asked), "block").filter((F.col("pos") >= F.col("offset")) & (F.col("pos") <= F.col("offset") + length))
-    whole = near.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("pos", "id", *carry))).alias("_w"))
-    ids = F.col("_w")["id"]
-    out = [F.slice(ids, 1, length).alias("x"), F.slice(ids, 2, length).alias("y")]
-    out += [F.slice(F.col("_w")[c], 2, length).alias(c) for c in carry]
-    return whole.select("window", *out)
+    last = lambda c: F.floor(c / step).cast("long")
+    touched = lambda first, end: F.explode(F.sequence(last(first), last(end))).alias("block")
+    asked = offsets.select("window", "offset", touched(F.col("offset"), F.col("offset") + length))
+    end = F.col("start_pos") + F.size("ids") - 1
+    have = stream.filter(F.size("ids") > 0).select("start_pos", "ids", *carry, touched(F.col("start_pos"), end))
+    both = have.join(asked, "block").filter(F.col("block") == last(F.greatest("start_pos", "offset")))
+    return _windows(_pieces(both, F.col("offset"), length + 1, carry, "window"), length, carry, "window")
+
+
+def drawn(n: int, total: Column | int, seed: int = 0, index: Column | None = None) -> Column:
+    """A draw with replacement below total for each index, from an md5: the same in any engine."""
+    index = F.col("id") if index is None else index
+    text = F.concat_ws(":", F.lit(seed), index)
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(total) if isinstance(total, int) else total)
 
 
 def drawn_offsets(spark: SparkSession, n: int, total: int, length: int, seed: int = 0) -> DataFrame:
-    """(window, offset): n uniform offsets in [0, total - length - 1), drawn on the driver."""
+    """(window, offset): n uniform offsets in [0, total - length - 1), with replacement."""
     if total < length + 2:
         raise ValueError(f"a stream of {total} tokens has no window of {length}")
-    draws = np.random.default_rng(seed).integers(0, total - length - 1, size=n)
-    return spark.createDataFrame(list(enumerate(draws.tolist())), "window long, offset long")
+    return spark.range(n).select(F.col("id").alias("window"), drawn(n, total - length - 1, seed).alias("offset"))
+
+
+def drawn_rows(rows: DataFrame, order: str, n: int, total: int, seed: int = 0) -> DataFrame:
+    """rows with draw: n rows of the total, by their dense order, with replacement."""
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), drawn(n, total, seed).alias("_at"))
+    return rows.join(draws, rows[order] == draws["_at"]).drop("_at")
 
 
-def sweep(stream: DataFrame, total: int, batch: int, length: int) -> DataFrame:
-    """(step, row, x, y): consecutive windows without overlap, whole batches only."""
-    step = batch * length
-    full = max(0, (total - 1) // step)
-    offsets = stream.sparkSession.range(full * batch).select(F.col("id").alias("window"), (F.col("id") * length).alias("offset"))
-    return windows_at(stream, offsets, length).select(F.floor(F.col("window") / batch).cast("long").alias("step"), (F.col("window") % batch).alias("row"), "x", "y")
+def sweep(stream: DataFrame, total: int, batch: int, length: int, carry: list[str] | None = None) -> DataFrame:
+    """(step, row, x, y): consecutive windows without overlap, whole batches only. A document gives each window that it touches its part,
+    so there is no join and no table of offsets."""
+    carry, step = carry or [], batch * length
+    full = max(0, (total - 1) // step) * batch
+    # window k has the positions from k * length to (k + 1) * length, the last of which it shares with its successor
+    low = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("start_pos") / length).cast("long") - 1)
+    high = F.least(F.floor((F.col("start_pos") + F.size("ids") - 1) / length).cast("long"), F.lit(full - 1).cast("long"))
+    touched = F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))).alias("window")
+    have = stream.filter(F.size("ids") > 0).select("start_pos", "ids", *carry, touched)
+    rows = _windows(_pieces(have, F.col("window") * length, length + 1, carry, "window"), length, carry, "window")
+    return rows.select(F.floor(F.col("window") / batch).cast("long").alias("step"), (F.col("window") % batch).alias("row"), "x", "y", *carry)
 
 
 def shifted(ids: Column) -> tuple[Column, Column]:
@@ -128,6 +156,25 @@ def row_batches(rows: DataFrame, order: str, batch: int) -> DataFrame:
     return rows.withColumn("step", F.floor(F.col(order) / batch).cast("long")).filter(F.col("step") < n // batch)
 
 
+def byte_shards(df: DataFrame, size: Column, order: str, limit: int) -> DataFrame:
+    """df with shard: a row is in the shard of limit bytes in which it begins, so a shard is over the limit by less than its last row."""
+    return prefix_sum(df, size, order, "_before").withColumn("shard", F.floor(F.col("_before") / limit).cast("long")).drop("_before")
+
+
+def pack_corpus(docs: DataFrame, ids: Column, order: str, split: Column, eot: int) -> DataFrame:
+    """(order, split, ids, start_pos): each document's ids and an end id, and where they begin in their split's stream.
+
+    The splits' streams follow each other in the order of their names, and start_pos counts within each.
+    """
+    rows = docs.select(order, split.alias("split"), F.concat(ids, F.array(F.lit(eot))).alias("ids"))
+    names = sorted(r.split for r in rows.select("split").distinct().collect())
+    out = None
+    for name in names:
+        one = prefix_sum(rows.filter(F.col("split") == name), F.size("ids"), order, "start_pos")
+        out = one if out is None else out.unionByName(one)
+    return rows.withColumn("start_pos", F.lit(0).cast("long")).limit(0) if out is None else out
+
+
 def token_dtype(vocab: int) -> str:
     return "uint16" if vocab <= 1 << 16 else "uint32"
 

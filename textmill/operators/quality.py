@@ -29,12 +29,14 @@ class QualityConfig:
 
 
 def with_figures(docs: DataFrame) -> DataFrame:
-    """docs with what the rules look at. Words, lines and paragraphs are each split once for a row."""
+    """docs with what the rules look at. Words, lines and paragraphs are each split once for a row: the figures come out of a generator, which
+    the optimizer neither merges with what is above it nor lets filters through."""
     struct = lambda figures: F.struct(*(v.alias(k) for k, v in figures.items()))
     text = F.col("text")
-    out = docs.withColumn("_w", T.bound(T.words(text), lambda w: struct(T.word_figures(w))))
-    out = out.withColumn("_l", T.bound(T.lines(text), lambda x: struct(T.line_figures(x))))
-    out = out.withColumn("_p", T.bound(T.paragraphs(text), T.repeated_share))
+    parts = F.struct(
+        T.bound(T.words(text), lambda w: struct(T.word_figures(w))).alias("_w"), T.bound(T.lines(text), lambda x: struct(T.line_figures(x))).alias("_l"), T.bound(T.paragraphs(text), T.repeated_share).alias("_p")
+    )
+    out = docs.select("*", F.inline(F.array(parts)))
     names = [F.col("_w")[c].alias(c) for c in ("n_words", "mean_len", "alpha_frac")] + [F.col("_l")[c].alias(c) for c in ("bullet_frac", "ellipsis_frac", "dup_line_frac")]
     return out.select(*docs.columns, *names, F.col("_p").alias("dup_paragraph_frac"), T.symbol_ratio(text, F.col("_w.n_words")).alias("symbol_ratio"))
 

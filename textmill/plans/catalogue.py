@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward
-from ..operators.storage import stored
-from ..sources import registry
+from ..operators.storage import shared_dir, stored
+from ..sources import registry, token_bin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,12 +224,65 @@ def preference_source(spark, sf_dir):
     return rows.select("conv_id", chat.last_content(F.col("chosen")).alias("last_content"))
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT d.range AS draw, doc_id, CAST(length(text) AS BIGINT) + 112 AS prompt_chars FROM range(100) d, n JOIN documents ON doc_id = (d.range * 7919) % n.n".replace("112", str(len(reward.PROMPT))))
+_DRAW = "CAST('0x' || substr(md5('{seed}:' || CAST({i} AS VARCHAR)), 1, 15) AS BIGINT) % ({n})"
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT range AS draw, {_DRAW.format(seed=3, i='range', n='n')} AS spot FROM range(100), n) SELECT draw, doc_id, CAST(length(text) AS BIGINT) + {len(reward.PROMPT)} AS prompt_chars FROM d JOIN documents ON doc_id = spot")
 def rl_prompt_sample(spark, sf_dir):
-    """A hundred draws with replacement, by an index table."""
+    """A hundred prompts drawn with replacement, by an index table."""
     docs = documents(spark, sf_dir)
-    draws = spark.range(100).select(F.col("id").alias("draw"), F.pmod(F.col("id") * 7919, F.lit(docs.count())).alias("doc_id"))
-    return docs.join(F.broadcast(draws), "doc_id").select("draw", "doc_id", long(F.length(reward.prompt(F.col("text")))).alias("prompt_chars"))
+    got = pack.drawn_rows(docs, "doc_id", 100, docs.count(), 3)
+    return got.select("draw", "doc_id", long(F.length(reward.prompt(F.col("text")))).alias("prompt_chars"))
+
+
+@query("SELECT doc_id, lang, source, CAST(length(trim(text)) AS BIGINT) AS chars FROM documents WHERE length(trim(text)) >= 200")
+def source_ingest(spark, sf_dir):
+    """A corpus by its name in the registry, with the columns that it has."""
+    return registry.ingest(spark, "documents", root=sf_dir).select("doc_id", "lang", "source", long(F.length("text")).alias("chars"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents")
+def shard_scan(spark, sf_dir):
+    """Documents written as shards of JSON lines and read again."""
+    path = shared_dir(spark, "jsonl")
+    registry.write_shards(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text"), path, 200)
+    return registry.read_shards(spark, path).select("id", "text")
+
+
+@query("""SELECT b // 100000 AS shard, count(*) AS docs, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT strlen(text) + 1 AS n, CAST(coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM documents) GROUP BY 1""")
+def byte_shards(spark, sf_dir):
+    """Shards that turn over by bytes, in order."""
+    rows = documents(spark, sf_dir).select("doc_id", long(F.octet_length("text") + 1).alias("n"))
+    return pack.byte_shards(rows, F.col("n"), "doc_id", 100_000).groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("bytes"))
+
+
+@query("SELECT text, count(*) AS n FROM documents WHERE text <> '' GROUP BY text")
+def text_round_trip(spark, sf_dir):
+    """Plain text with a blank line after each document, read again."""
+    path = shared_dir(spark, "text")
+    registry.write_text(documents(spark, sf_dir), path)
+    return registry.read_text(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id AS \"row\", round(CASE WHEN vec_id < (SELECT count(*) // 2 FROM embeddings) THEN list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) ELSE 0 END, 4) + 0.0 AS total FROM embeddings")
+def checkpoint_growth(spark, sf_dir):
+    """A saved tensor of half the rows read into one of all rows: the rows that are new keep their start values."""
+    rows = table(spark, sf_dir, "embeddings").select(F.lit("emb").alias("name"), F.col("vec_id").alias("row"), "embedding")
+    path = shared_dir(spark, "checkpoint")
+    registry.write_checkpoint(rows.filter(F.col("row") < rows.count() // 2).select("name", "row", F.col("embedding").alias("values")), {"step": 1}, path)
+    saved, _ = registry.read_checkpoint(spark, path)
+    fresh = rows.select("name", "row", F.transform("embedding", lambda x: (x * 0).cast("float")).alias("values"))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return registry.resized(fresh, saved).select("row", (F.round(total, 4) + F.lit(0.0)).alias("total"))
+
+
+@query("SELECT event_id AS step, CASE WHEN event_id % 2 = 0 THEN round(value, 6) END AS loss, CASE WHEN event_id % 2 = 1 THEN round(value, 6) END AS val_loss FROM events")
+def training_log(spark, sf_dir):
+    """Two kinds of events appended to one log of JSON lines."""
+    rows, path = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").cast("double").alias("v")), shared_dir(spark, "log")
+    registry.append_log(rows.filter("step % 2 = 0").select("step", F.col("v").alias("loss")), path)
+    registry.append_log(rows.filter("step % 2 = 1").select("step", F.col("v").alias("val_loss")), path)
+    return registry.read_log(spark, path).select("step", F.round("loss", 6).alias("loss"), F.round("val_loss", 6).alias("val_loss"))
 
 
 # ---------------------------------------------------------------- duplicates
@@ -243,16 +296,15 @@ def shingle_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", long(F.size(T.shingles(F.col("text")))).alias("n_shingles"))
 
 
-@query(f"""WITH {_SHINGLES}, a AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY md5(text[1:60])) AS anchor FROM sh)
-SELECT b.doc_id, b.anchor, round(len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1), 6) + 0.0 AS jaccard FROM a b JOIN a ON a.doc_id = b.anchor WHERE b.doc_id <> b.anchor""")
+@query()
 def anchor_jaccard(spark, sf_dir):
-    """True similarity of each document to the first that begins with the same sixty characters: a star, not all pairs."""
-    rows = documents(spark, sf_dir).select("doc_id", F.md5(F.substring("text", 1, 60)).alias("key"), T.shingles(F.col("text")).alias("s"))
-    first = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "s"), "doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    both = rows.join(first, "key").filter("doc_id <> a.doc_id")
-    inter = F.size(F.array_intersect("s", F.col("a.s")))
-    union = F.greatest(F.size(F.array_union("s", F.col("a.s"))), F.lit(1))
-    return both.select("doc_id", F.col("a.doc_id").alias("anchor"), r6(inter / union, "jaccard"))
+    """True similarity of each document to the anchors of its LSH buckets, over whole texts: a star, not all pairs."""
+    edges = stored(dedup.candidate_edges(dedup.band_keys(_signatures(spark, sf_dir))), "edges")
+    rows = stored(documents(spark, sf_dir).select("doc_id", T.shingles(F.col("text")).alias("s")), "shingles")
+    both = edges.join(rows.withColumnsRenamed({"doc_id": "src", "s": "a"}), "src").join(rows.withColumnsRenamed({"doc_id": "dst", "s": "b"}), "dst")
+    inter = F.size(F.array_intersect("a", "b"))
+    union = F.greatest(F.size("a") + F.size("b") - inter, F.lit(1))  # shingles are distinct
+    return both.select(F.col("dst").alias("doc_id"), F.col("src").alias("anchor"), r6(inter / union, "jaccard"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -395,6 +447,48 @@ def special_token_encode(spark, sf_dir):
     return bpe.encode_documents(docs, tok, specials=[tok.END]).select("doc_id", long(F.size("ids")).alias("n_ids"))
 
 
+@query("""WITH c AS (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents),
+s AS (SELECT substr(text, 1, CAST(2000000 - b AS BIGINT)) AS t FROM c WHERE b < 2000000)
+SELECT CAST(sum(length(t)) AS BIGINT) AS chars, CAST(sum(strlen(t)) AS BIGINT) AS tokens, round(sum(length(t)) / sum(strlen(t)), 3) AS chars_per_token, 4 AS probes_back, 257 AS vocab_size FROM s""")
+def tokenizer_report(spark, sf_dir):
+    """The report that follows training, of the byte vocabulary: the first two million characters, and the probes."""
+    tok = bpe.Tokenizer([])
+    tok.register(tok.END)
+    return bpe.report(documents(spark, sf_dir), tok)
+
+
+@query(f"""WITH ch AS (SELECT doc_id, unnest({_PRETOKENS}) AS c FROM documents)
+SELECT doc_id, CAST(sum(strlen(c) - (length(c) - length(replace(c, 'th', ''))) // 2 - (length(c) - length(replace(c, 'the', ''))) // 3) AS BIGINT) AS n_ids, 259 AS vocab_size FROM ch GROUP BY doc_id""")
+def tokenizer_file(spark, sf_dir):
+    """A tokenizer of two merges and an end string, saved and read again, over all documents that have a token."""
+    tok, path = bpe.Tokenizer([(116, 104), (256, 101)]), shared_dir(spark, "tokenizer")
+    tok.register(tok.END)
+    spark.createDataFrame([(tok.dumps(),)], "value string").coalesce(1).write.text(path)
+    again = bpe.Tokenizer.loads(spark.read.text(path).first()[0])
+    ids = bpe.encode_documents(documents(spark, sf_dir), again).filter(F.size("ids") > 0)
+    return ids.select("doc_id", long(F.size("ids")).alias("n_ids"), F.lit(again.vocab_size).alias("vocab_size"))
+
+
+@query("SELECT * FROM (VALUES ('user', 258), ('assistant', 259), ('end', 260), ('size', 261)) t(tag, id)")
+def chat_tags(spark, sf_dir):
+    """Ids of the tags of turns above a tokenizer's own; a second registration changes nothing."""
+    tok = bpe.Tokenizer([(116, 104), (256, 101)])
+    f = chat.ChatFormat.register(tok)
+    assert f == chat.ChatFormat.register(tok)
+    return spark.createDataFrame([("user", f.user), ("assistant", f.assistant), ("end", f.end), ("size", tok.vocab_size)], "tag string, id int")
+
+
+@query(f"""WITH h AS (SELECT DISTINCT chunk FROM (SELECT unnest({_PRETOKENS}) AS chunk FROM documents)), x AS (SELECT chunk, hex(encode(chunk)) AS x FROM h WHERE strlen(chunk) > 1),
+l AS (SELECT chunk, list_transform(range(0, len(x) // 2), lambda i: substr(x, CAST(2 * i + 1 AS BIGINT), 2)) AS l FROM x),
+n AS (SELECT chunk, l, string_split(substr(replace(' ' || array_to_string(l, ' '), ' 74 68', ' 100'), 2), ' ') AS m FROM l),
+p AS (SELECT chunk, list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ',' || l[i + 1])) AS a, list_transform(range(1, len(m)), lambda i: m[i] || ',' || m[i + 1]) AS b FROM n)
+SELECT chunk, CAST(len(list_filter(a, lambda v: NOT list_contains(b, v))) AS BIGINT) AS n_lost FROM p""")
+def lost_pairs(spark, sf_dir):
+    """Of each pre-token, the pairs that the merge of t and h takes away."""
+    hist = bpe.histogram(documents(spark, sf_dir)).filter(F.octet_length("chunk") > 1)
+    return hist.select("chunk", long(F.size(bpe.lost_pairs(bpe.bytes_of(F.col("chunk")), (116, 104), 256))).alias("n_lost"))
+
+
 @query("SELECT item_id AS seq_id, text FROM benchmark")
 def stream_decode(spark, sf_dir):
     """Benchmark texts decoded byte by byte and joined again."""
@@ -434,10 +528,47 @@ def generator_split(spark, sf_dir):
     return pack.generator_split(documents(spark, sf_dir).select("doc_id"), "doc_id", 0.005)
 
 
-@query(f"SELECT split, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM (SELECT {_COIN.format('CAST(doc_id AS VARCHAR)', _VAL)} AS split, strlen(text) + 1 AS n FROM documents) GROUP BY split")
+@query(f"SELECT split, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM (SELECT {_COIN.format('CAST(doc_id AS VARCHAR)', _VAL)} AS split, len(regexp_extract_all(text, '\\S+')) + 1 AS n FROM documents) GROUP BY split")
 def split_counts(spark, sf_dir):
-    rows = documents(spark, sf_dir).select(pack.hash_split(F.col("doc_id"), 0.005).alias("split"), (F.octet_length("text") + 1).alias("n"))
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
+    """Documents and tokens of each split; a token is a word."""
+    ids = F.transform(T.words(F.col("text")), lambda w: F.length(w))
+    rows = documents(spark, sf_dir).select(pack.hash_split(F.col("doc_id"), 0.005).alias("split"), F.concat(ids, F.array(F.lit(0))).alias("ids"))
+    return pack.split_counts(rows)
+
+
+_BYTE_SUM = "list_sum(list_transform(range(0, strlen({0})), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)))"
+
+
+@query(f"""WITH s AS (SELECT {_COIN.format('CAST(doc_id AS VARCHAR)', int(0.1 * (1 << 32)))} AS split, doc_id, strlen(text) + 1 AS n, coalesce({_BYTE_SUM.format('text')}, 0) + 256 AS total FROM documents)
+SELECT split, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(total) AS BIGINT) AS total, count(*) AS ends FROM s GROUP BY split""")
+def pack_corpus(spark, sf_dir):
+    """The corpus as token files: encoded, ended, split, written as a file for each task, and read again."""
+    docs, path = documents(spark, sf_dir), shared_dir(spark, "bins")
+    token_bin.install(spark)
+    rows = stored(pack.pack_corpus(docs, chat.byte_ids(F.col("text")), "doc_id", pack.hash_split(F.col("doc_id"), 0.1), 256), "corpus")
+    out = None
+    for name in sorted(r.split for r in rows.select("split").distinct().collect()):
+        own = rows.filter(F.col("split") == name).select("start_pos", "ids").repartitionByRange("start_pos").sortWithinPartitions("start_pos")
+        own.write.format("token_bin").mode("overwrite").option("path", f"{path}/{name}").option("dtype", pack.token_dtype(257)).option("eot_id", 256).save()
+        back = spark.read.format("token_bin").option("path", f"{path}/{name}").option("seq_len", 16).load()
+        total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+        sums = back.agg(F.sum(F.size("ids")).alias("tokens"), F.sum(total).alias("total"), F.sum(F.size(F.filter("ids", lambda x: x == 256))).alias("ends"))
+        one = sums.select(F.lit(name).alias("split"), "tokens", "total", "ends")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH enc AS (SELECT conv_id, CAST(sum(strlen(text) + 2) AS BIGINT) AS n_ids, CAST(sum(CASE WHEN role = 'assistant' THEN strlen(text) + 1 ELSE 0 END) AS BIGINT) AS n_learnt FROM conversations GROUP BY conv_id)
+SELECT CAST(sum(n_ids + 1) AS BIGINT) AS tokens, CAST(sum(n_learnt) AS BIGINT) AS learnt, count(*) AS ends FROM enc WHERE n_ids <= 1024""")
+def masked_token_files(spark, sf_dir):
+    """Packed conversations as token files with mask files beside them, read again with their lengths checked."""
+    packed, path = chat.sft_pack(_conversations(spark, sf_dir)), shared_dir(spark, "sft")
+    token_bin.install(spark)
+    rows = pack.prefix_sum(stored(packed, "sft"), F.size("ids"), "conv_id", "start_pos").select("start_pos", "ids", "mask")
+    rows.repartitionByRange("start_pos").sortWithinPartitions("start_pos").write.format("token_bin").mode("overwrite").option("path", path).option("masked", "true").option("eot_id", chat.BYTES_EOT).save()
+    back = spark.read.format("token_bin").option("path", path).option("masked", "true").option("seq_len", 16).load()
+    count = lambda c, v: F.sum(F.size(F.filter(c, lambda x: x == v)))
+    return back.agg(F.sum(F.size("ids")).alias("tokens"), count("mask", 1).alias("learnt"), count("ids", chat.BYTES_EOT).alias("ends"))
 
 
 @query("SELECT doc_id, CAST(coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos FROM documents")
@@ -453,22 +584,22 @@ def pack_metadata(spark, sf_dir):
     return pack.pack_metadata(rows, F.col("chars"), 0, 1 << 16)
 
 
-@query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT range AS win, (range * 104729) % (n - {_LEN} - 1) AS off FROM range(64), t)
+@query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT range AS win, {_DRAW.format(seed=1, i='range', n=f'n - {_LEN} - 1')} AS off FROM range(64), t)
 SELECT win AS "window", CAST(sum(id) FILTER (pos < off + {_LEN}) AS BIGINT) AS x_sum, CAST(sum(id) FILTER (pos > off) AS BIGINT) AS y_sum, count(*) - 1 AS n FROM o JOIN st ON pos BETWEEN off AND off + {_LEN} GROUP BY win""")
 def token_windows(spark, sf_dir):
-    """Windows at 64 offsets of the whole stream, and the same shifted by one."""
+    """Windows at 64 offsets of the whole stream, drawn with replacement, and the same shifted by one."""
     stream = _stream(spark, sf_dir)
-    offsets = spark.range(64).select(F.col("id").alias("window"), (F.col("id") * 104729 % (_total(stream) - _LEN - 1)).alias("offset"))
+    offsets = pack.drawn_offsets(spark, 64, _total(stream), _LEN, 1)
     sum_of = lambda c: long(F.aggregate(c, F.lit(0), lambda a, x: a + x))
     return pack.windows_at(stream, offsets, _LEN).select("window", sum_of("x").alias("x_sum"), sum_of("y").alias("y_sum"), long(F.size("x")).alias("n"))
 
 
-@query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT range AS win, (range * 7907) % (n - {_LEN} - 1) AS off FROM range(64), t)
+@query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT range AS win, {_DRAW.format(seed=2, i='range', n=f'n - {_LEN} - 1')} AS off FROM range(64), t)
 SELECT win AS "window", CAST(sum(id) FILTER (pos > off AND id > 3) AS BIGINT) AS y_masked, CAST(count(*) FILTER (pos > off AND id > 3) AS BIGINT) AS m_sum FROM o JOIN st ON pos BETWEEN off AND off + {_LEN} GROUP BY win""")
 def masked_windows(spark, sf_dir):
     """Windows with a mask that goes with the targets: here, tokens above 3."""
     stream = _stream(spark, sf_dir).withColumn("mask", F.transform("ids", lambda x: (x > 3).cast("int")))
-    offsets = spark.range(64).select(F.col("id").alias("window"), (F.col("id") * 7907 % (_total(stream) - _LEN - 1)).alias("offset"))
+    offsets = pack.drawn_offsets(spark, 64, _total(stream), _LEN, 2)
     add = lambda c: long(F.aggregate(c, F.lit(0), lambda a, x: a + x))
     got = pack.windows_at(stream, offsets, _LEN, ["mask"])
     return got.select("window", F.nullif(add(F.zip_with("y", "mask", lambda y, m: y * m)), F.lit(-1)).alias("y_masked"), add("mask").alias("m_sum"))
@@ -567,6 +698,32 @@ def preference_pairs(spark, sf_dir):
     return rows.select("conv_id", F.col("chosen_ids").isNotNull().alias("fits"), *learnt, none(F.when(F.col("chosen_ids").isNotNull(), long(F.size("chosen_ids")))).alias("width"))
 
 
+_PACKED = f"""{_PREF}, pr AS (SELECT conv_id, strlen(prompt) + 3 AS p, strlen(chosen) + 1 AS c, strlen(rejected) + 1 AS r, {_COIN.format("CAST(conv_id AS VARCHAR)", int(0.2 * (1 << 32)))} AS split FROM pref WHERE prompt IS NOT NULL AND chosen IS NOT NULL),
+cp AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY conv_id) AS k FROM pr), ft AS (SELECT * FROM cp WHERE k <= CASE WHEN split = 'train' THEN 150 ELSE 15 END AND p + c <= 2048 AND p + r <= 2048),
+pk AS (SELECT conv_id, split, row_number() OVER (PARTITION BY split ORDER BY conv_id) - 1 AS row, CAST(c AS BIGINT) AS chosen_learnt, CAST(r AS BIGINT) AS rejected_learnt FROM ft)"""
+
+
+def _packed(spark, sf_dir, split: str) -> DataFrame:
+    path = shared_dir(spark, "preferences")
+    chat.write_preferences(chat.pack_preferences(_preferences(spark, sf_dir), "conv_id", pack.hash_split(F.col("conv_id"), 0.2), 2048, 150), path)
+    rows = chat.read_preferences(spark, path, split, "conv_id")
+    return rows.select("conv_id", "row", _ones("chosen_mask").alias("chosen_learnt"), _ones("rejected_mask").alias("rejected_learnt"))
+
+
+@query(f"WITH {_PACKED} SELECT conv_id, split, row, chosen_learnt, rejected_learnt FROM pk")
+def preference_arrays(spark, sf_dir):
+    """Preference pairs packed under the caps of their splits (150 and a tenth), written, and read again with their lengths checked."""
+    both = [_packed(spark, sf_dir, name).withColumn("split", F.lit(name)) for name in ("train", "val")]
+    return both[0].unionByName(both[1]).select("conv_id", "split", "row", "chosen_learnt", "rejected_learnt")
+
+
+@query(f"WITH {_PACKED}, n AS (SELECT count(*) AS n FROM pk WHERE split = 'train'), d AS (SELECT range AS draw, {_DRAW.format(seed=5, i='range', n='n')} AS spot FROM range(64), n) SELECT draw, conv_id, chosen_learnt FROM d JOIN pk ON pk.row = spot AND split = 'train'")
+def preference_sample(spark, sf_dir):
+    """Rows of the packed pairs drawn with replacement."""
+    rows = stored(_packed(spark, sf_dir, "train"), "train")
+    return pack.drawn_rows(rows, "row", 64, rows.count(), 5).select("draw", "conv_id", "chosen_learnt")
+
+
 @query(f"""WITH {_PREF} SELECT conv_id, CAST(256 AS BIGINT) AS width, CAST(greatest(least(strlen(prompt) + strlen(chosen), 256) - least(strlen(prompt), 256), 0) AS BIGINT) AS learnt FROM pref WHERE prompt IS NOT NULL AND chosen IS NOT NULL""")
 def rollout_pack(spark, sf_dir):
     row = chat.rollout_row(chat.byte_ids(F.col("prompt")), chat.byte_ids(F.col("chosen")), chat.BYTES.end, 256)
@@ -816,3 +973,47 @@ def model_loglikelihood(spark, sf_dir):
 def model_generate(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), evaluate.generation_context(chat.byte_ids(F.col("text")), 256, 128).alias("ids"))
     return model.generate_rows(rows, model.initial_weights(_TINY), _TINY, 16, chat.BYTES_EOT)
+
+
+#: A decoder that says the next byte after each, so what it scores and generates can be said in SQL.
+_NEXT = objectives.ModelConfig(vocab_size=256, dim=256, n_layers=1, n_heads=4, n_kv_heads=2, hidden_dim=16, tie_embeddings=False, max_seq_len=64, norm_eps=0.0)
+_BYTES = "raw AS (SELECT item_id AS row_id, list_transform(range(0, strlen(text)), lambda i: CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER)) AS b FROM benchmark)"
+_MISSES = "CAST(len(list_filter(range(1, len(b) + 1), lambda i: b[i] <> (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END + 1) % 256)) AS BIGINT)"
+
+
+def _byte_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), chat.byte_ids(F.col("text")).alias("ids"))
+
+
+@query(f"WITH {_BYTES} SELECT row_id, {_MISSES} AS misses, {_MISSES} = 0 AS greedy FROM raw")
+def successor_loglikelihood(spark, sf_dir):
+    """Whole texts after an empty context, scored by the decoder that says the next byte: a wrong byte costs 16 nats."""
+    request = evaluate.scoring_request(F.array().cast("array<int>"), F.col("ids"), 1 << 20, 0)
+    rows = _byte_rows(spark, sf_dir).select("row_id", request.alias("r")).select("row_id", "r.ids", "r.start")
+    scored = evaluate.loglikelihood(model.score_rows(rows, model.successor_weights(_NEXT), _NEXT), "row_id")
+    return evaluate.with_empty(rows, scored, "row_id").select("row_id", long(F.round(-F.col("logp") / 16)).alias("misses"), "greedy")
+
+
+@query(f"WITH {_BYTES} SELECT row_id, {_MISSES} AS misses FROM raw")
+def rolling_loglikelihood(spark, sf_dir):
+    """Whole texts in chunks of the decoder's 64 places."""
+    scored = model.rolling_loglikelihood(_byte_rows(spark, sf_dir), model.successor_weights(_NEXT), _NEXT, 0)
+    return scored.select("row_id", long(F.round(-F.col("logp") / 16)).alias("misses"))
+
+
+@query("""WITH c AS (SELECT item_id AS row_id, ascii(right(substr(regexp_replace(text, '[^ -z]', '', 'g'), 1, 20 + item_id % 50), 1)) AS b FROM benchmark),
+g AS (SELECT row_id, list_transform(range(1, 17), lambda i: chr(CAST(b + i AS INTEGER))) AS s FROM c), h AS (SELECT row_id, s, coalesce(list_min(list_filter(range(1, 17), lambda i: s[i] = '7' OR s[i] = '{')), 0) AS hit FROM g)
+SELECT row_id, CAST(CASE WHEN hit = 0 THEN 16 ELSE hit END AS BIGINT) AS n_ids, array_to_string(CASE WHEN hit = 0 THEN s ELSE s[1:hit - 1] END, '') AS text FROM h""")
+def generate_until(spark, sf_dir):
+    """Greedy text after each context, up to 16 bytes or a stop string."""
+    context = F.substring(F.regexp_replace("text", "[^ -z]", ""), F.lit(1), (20 + F.col("item_id") % 50).cast("int"))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), chat.byte_ids(context).alias("ids"))
+    return model.generate_until(rows, model.successor_weights(_NEXT), _NEXT, bpe.Tokenizer([]), ["{", "7"], 16, 0)
+
+
+@query(f"""SELECT item_id AS row_id, s.range AS sample_idx, 'ABCDEFGH' AS text, CAST(0 AS DOUBLE) AS reward, CAST(600 AS BIGINT) AS width, CAST(greatest(least(8, 600 - ({len(reward.PROMPT)} + 3 + strlen(text))), 0) AS BIGINT) AS learnt FROM benchmark, range(2) s""")
+def rollout_scores(spark, sf_dir):
+    """Two completions of each prompt, scored and packed. The assistant's tag is the byte before A."""
+    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("question"), F.lit("7").alias("gold"))
+    rows = model.rollout(prompts, model.successor_weights(_NEXT), _NEXT, bpe.Tokenizer([]), chat.ChatFormat(1, 64, 3), 2, 8, 600)
+    return rows.select("row_id", long("sample_idx").alias("sample_idx"), "text", "reward", long(F.size("ids")).alias("width"), _ones("mask").alias("learnt"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
-from ..operators.pack import prefix_sum
+from ..operators.pack import byte_shards, json_line_bytes, prefix_sum
 
 DOCUMENT = "text string, id string, url string, score double, language_score double, token_count long, dump string"
 
@@ -25,7 +25,13 @@ class Source:
     meta: tuple[str, ...] = ()
 
 
-SOURCES: dict[str, Source] = {}
+_WEB = ("id", "url", "score", "language_score", "token_count", "dump")
+#: Public corpora by name, with the columns that are kept if they exist; paths are below the root that ingest() gets.
+SOURCES: dict[str, Source] = {
+    "fineweb-edu": Source("fineweb-edu/sample-10BT", meta=_WEB),
+    "tinystories": Source("tinystories"),
+    "documents": Source("documents.parquet", meta=("doc_id", "lang", "source")),
+}
 
 
 def register(name: str, source: Source) -> None:
@@ -37,10 +43,10 @@ def present(df: DataFrame, *columns: str) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
-def ingest(spark: SparkSession, source: Source | str, min_chars: int = 200) -> DataFrame:
+def ingest(spark: SparkSession, source: Source | str, min_chars: int = 200, root: str | None = None) -> DataFrame:
     """The source's texts, stripped and not shorter than min_chars, with the meta columns that exist."""
     s = SOURCES[source] if isinstance(source, str) else source
-    raw = spark.read.format(s.format).load(s.path)
+    raw = spark.read.format(s.format).load(s.path if root is None else f"{root.rstrip('/')}/{s.path}")
     out = raw.select(strip(F.col(s.text)).alias("text"), *present(raw, *s.meta))
     return out.filter(F.length("text") >= min_chars)
 
@@ -74,6 +80,12 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
+def write_byte_shards(df: DataFrame, path: str, order: str, limit: int, *columns: str) -> None:
+    """JSON lines in a folder for each limit bytes, in order; each folder is one task's, sorted."""
+    sized = byte_shards(df, json_line_bytes(*columns), order, limit)
+    sized.select(*dict.fromkeys([*columns, order, "shard"])).repartition("shard").sortWithinPartitions("shard", order).drop(*({order} - {*columns})).write.mode("overwrite").partitionBy("shard").json(path)
+
+
 def read_sample_text(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first n rows, stripped; empty ones go but count."""
     return df.filter(F.col(order) < n).withColumn("text", strip(F.col("text"))).filter("text <> ''")

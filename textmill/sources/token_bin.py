@@ -1,10 +1,14 @@
-"""Flat binary token files as a Spark data source: little-endian ids and a metadata file, in order of start_pos."""
+"""Flat binary token files as a Spark data source: little-endian ids, perhaps a byte of mask for each, and a metadata file, in order of start_pos.
+
+The folder has to be one that the driver and all executors mount: Spark hands its own file systems to no Python data source.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -26,84 +30,119 @@ class Part(InputPartition):
     n: int
 
 
+def _folder(path: str) -> str:
+    return urlparse(path).path if path.startswith("file:") else path
+
+
 class TokenBin(DataSource):
-    """format("token_bin"): writes rows (start_pos long, ids array<int>); reads rows (start_pos long, ids array<int>) of up to block ids.
+    """format("token_bin"): writes rows (start_pos long, ids array<int>[, mask array<int>]); reads such rows of up to block ids.
 
-    Options: path (a folder that all executors share), dtype (uint16 or uint32), block, eot_id, vocab_size.
+    Rows of a partition must come in order of start_pos: range-partition by it and sort within partitions. Options: path (a folder that all
+    executors share), dtype (uint16 or uint32), block, eot_id, vocab_size, masked (true: a mask file beside each token file).
     """
 
     @classmethod
     def name(cls) -> str:
         return "token_bin"
 
+    def _masked(self) -> bool:
+        return str(self.options.get("masked", "false")).lower() == "true"
+
     def schema(self) -> str:
-        return "start_pos long, ids array<int>"
+        return "start_pos long, ids array<int>" + ", mask array<int>" * self._masked()
 
     def writer(self, schema, overwrite: bool):
-        return _Writer(dict(self.options), overwrite)
+        return _Writer(dict(self.options), overwrite, self._masked())
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        return _Reader(dict(self.options), self._masked())
+
+
+def _mask_of(file: str) -> str:
+    return file.removesuffix(".bin") + ".mask"
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.options = options["path"], options
+    def __init__(self, options: dict, overwrite: bool, masked: bool):
+        self.path, self.options, self.masked = _folder(options["path"]), options, masked
         self.dtype = np.dtype(options.get("dtype", "uint16")).newbyteorder("<")
         if overwrite and os.path.isdir(self.path):
             for f in os.listdir(self.path):
-                if f.endswith((".bin", ".json")):
+                if f.endswith((".bin", ".mask", ".json")):
                     os.remove(os.path.join(self.path, f))
 
     def write(self, batches):
+        """A batch at a time, as it comes."""
         from pyspark import TaskContext
 
-        rows = sorted((s, ids) for b in batches for s, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        if not rows:
-            return Wrote(None, 0, 0)
-        os.makedirs(self.path, exist_ok=True)
-        c = TaskContext.get()
-        file = f"tokens-{rows[0][0]:016d}-{c.partitionId():05d}-{c.taskAttemptId()}.bin"
-        at = rows[0][0]
-        with open(os.path.join(self.path, file), "wb") as f:
-            for start, ids in rows:
-                if start != at:
-                    raise ValueError("the rows of a partition must follow each other; range-partition by start_pos")
-                f.write(np.asarray(ids, np.int64).astype(self.dtype).tobytes())
-                at += len(ids)
-        return Wrote(file, rows[0][0], at - rows[0][0])
+        c, first, at, out, name = TaskContext.get(), 0, 0, [], None
+        try:
+            for b in batches:
+                for k in range(b.num_rows):
+                    start, ids = b.column(0)[k].as_py(), b.column(1)[k].values.to_numpy(zero_copy_only=False)
+                    if name is None:
+                        first = at = start
+                        os.makedirs(self.path, exist_ok=True)
+                        name = f"tokens-{start:016d}-{c.partitionId():05d}-{c.taskAttemptId()}.bin"
+                        out = [open(os.path.join(self.path, x), "wb") for x in [name, *[_mask_of(name)] * self.masked]]
+                    if start != at:
+                        raise ValueError("the rows of a partition must follow each other; range-partition and sort by start_pos")
+                    if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+                        raise ValueError(f"the id {int(ids.max())} doesn't fit in {self.dtype.name}")
+                    out[0].write(ids.astype(self.dtype).tobytes())
+                    if self.masked:
+                        mask = b.column(2)[k].values.to_numpy(zero_copy_only=False)
+                        if len(mask) != len(ids):
+                            raise ValueError(f"a mask of {len(mask)} for {len(ids)} tokens")
+                        out[1].write(mask.astype(np.uint8).tobytes())
+                    at += len(ids)
+        finally:
+            for f in out:
+                f.close()
+        return Wrote(name, first, at - first)
 
     def commit(self, messages):
         parts = sorted((m.start, m.n, m.file) for m in messages if m and m.file)
         os.makedirs(self.path, exist_ok=True)
-        meta = {"dtype": self.dtype.name, "files": [[f, s, n] for s, n, f in parts], "n_tokens": sum(n for _, n, _ in parts)}
+        meta = {"dtype": self.dtype.name, "masked": self.masked, "files": [[f, s, n] for s, n, f in parts], "n_tokens": sum(n for _, n, _ in parts)}
         meta |= {k: int(self.options[k]) for k in ("eot_id", "vocab_size") if k in self.options}
         with open(os.path.join(self.path, "meta.json"), "w") as f:
             json.dump(meta, f)
 
     def abort(self, messages):
         for m in messages:
-            if m and m.file and os.path.exists(os.path.join(self.path, m.file)):
-                os.remove(os.path.join(self.path, m.file))
+            if m and m.file:
+                for x in (m.file, _mask_of(m.file)):
+                    if os.path.exists(os.path.join(self.path, x)):
+                        os.remove(os.path.join(self.path, x))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.block = options["path"], int(options.get("block", 1 << 16))
+    def __init__(self, options: dict, masked: bool):
+        self.path, self.block, self.masked = _folder(options["path"]), int(options.get("block", 1 << 16)), masked
         with open(os.path.join(self.path, "meta.json")) as f:
             self.meta = json.load(f)
         least = int(options.get("seq_len", 0)) + 1
         if self.meta["n_tokens"] < least:
             raise ValueError(f"{self.meta['n_tokens']} tokens are fewer than {least}")
+        if masked:
+            if not self.meta.get("masked"):
+                raise ValueError("the files have no masks")
+            wide = np.dtype(self.meta["dtype"]).itemsize
+            for f, _, _ in self.meta["files"]:
+                n, m = (os.path.getsize(os.path.join(self.path, x)) for x in (f, _mask_of(f)))
+                if n // wide != m:
+                    raise ValueError(f"{f}: {n // wide} tokens, a mask of {m}")
 
     def partitions(self):
         return [Part(f, s, n) for f, s, n in self.meta["files"]]
 
     def read(self, part: Part):
-        ids = np.memmap(os.path.join(self.path, part.file), dtype=np.dtype(self.meta["dtype"]).newbyteorder("<"), mode="r")
+        kinds = [(part.file, np.dtype(self.meta["dtype"]).newbyteorder("<")), *[(_mask_of(part.file), np.dtype("u1"))] * self.masked]
+        files = [np.memmap(os.path.join(self.path, f), dtype=kind, mode="r") if part.n else np.zeros(0, kind) for f, kind in kinds]
         for at in range(0, part.n, self.block):
-            own = ids[at : at + self.block].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([part.start + at], pa.int64()), pa.array([own], pa.list_(pa.int32()))], ["start_pos", "ids"])
+            cols = [pa.array([x[at : at + self.block].astype(np.int32)], pa.list_(pa.int32())) for x in files]
+            yield pa.RecordBatch.from_arrays([pa.array([part.start + at], pa.int64()), *cols], ["start_pos", "ids", *["mask"] * self.masked])
 
 
 def install(spark: SparkSession) -> None:
