@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: the shared work folder, Arrow text blocks, vectorised hashing.
+"""Shared pieces of the corpus operators: Arrow text blocks, vectorised hashing, Bloom maps.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, hashed over their UTF-8 bytes with
 position-independent polynomials modulo a prime, so a block of text costs a fixed number of NumPy passes
@@ -7,19 +7,19 @@ and no Python loop over words. Hashes are 64 bit and equal on every machine.
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import join_unique, partitions, shared_dir, stored
+
+__all__ = ["join_unique", "partitions", "shared_dir", "stored"]  # for the operators here
+
 BLOCK_BYTES = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -169,59 +169,17 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new path below the folder that spark.checkpoint.dir names; sets a folder only where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="textmill-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/textmill-{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and returns the table read from there: lineage ends here, and the
-    files outlive any executor."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, tag)
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    schema = df.schema
-    for f in schema.fields:
-        f.nullable = True
-    return spark.read.schema(schema).parquet(path)
-
-
 def row_hash(docs: DataFrame) -> Column:
     """The hash of a row's doc_id and text: rows that repeat both have the same."""
     return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def tasks(df: DataFrame, each: int = 128 << 20) -> int:
     """Tasks for a shuffle of what df makes: twice the shuffle partitions, or more where Catalyst expects more than ``each`` bytes a task."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return max(2 * partitions(df.sparkSession), math.ceil(size / each) if size < 1 << 60 else 0)  # beyond it, it is not known
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, n: int | None = None) -> DataFrame:
-    """The inner join of two stored tables on a key that right has once, with the number of left's rows in the column weight; n: left's rows, about.
-
-    Keys with more rows than a task's share are joined by broadcast; as their rows add up to left's, they are at most four for each
-    shuffle partition. All others are shuffled.
-    """
-    n = left.count() if n is None else n
-    share = max(1000, n // (4 * partitions(left.sparkSession)))
-    heavy = F.broadcast(right.filter(F.col(weight) > share))
-    rest = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(weight) <= share), key)
-    return left.join(heavy, key).unionByName(rest)
-
-
 class Bloom:
     """A set of 64-bit hashes in a bit map of a fixed size at most, so it can be broadcast however large the set is: a fuller map lets
     more strangers pass, and what passes is still to be joined with the set."""
