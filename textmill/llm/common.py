@@ -214,6 +214,39 @@ class Bloom:
         return out
 
 
+class BitMap:
+    """The same as an expression: the map is a one-row subquery, which the plan reads as a constant."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        """hashes: one column of longs; n: their number, about."""
+        self.bits = 1 << 10
+        while self.bits < min(16 * n, Bloom.MOST):
+            self.bits *= 2
+        spots = hashes.select(F.explode(F.array(*self._probes(F.col(hashes.columns[0])))).alias("b"))
+        set_ = spots.select(F.shiftright("b", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int")).alias("m"))
+        words = hashes.sparkSession.range(self.bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("m")).unionAll(set_).groupBy("w").agg(F.bit_or("m").alias("m"))
+        self.words = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("words")).scalar()
+
+    def _probes(self, h: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(self.bits).cast("long")) for i in range(Bloom.PROBES)]
+
+    def has(self, h: Column) -> Column:
+        """Whether a hash is in the set, or passes for one that is."""
+        out = F.lit(True)
+        for b in self._probes(h):
+            out &= F.call_function("getbit", F.get(self.words, F.shiftright(b, 6).cast("int")), (b % 64).cast("int")) == 1
+        return out
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose row_hash is not in gone, a stored table of one column without repeats. Rows that the map of gone lets through are not
+    shuffled; the others are joined."""
+    (name,) = gone.columns
+    map_, row = BitMap(gone, gone.count()), row_hash(docs)
+    maybe = docs.filter(map_.has(row))
+    return docs.filter(~map_.has(row)).unionByName(maybe.join(gone.hint("merge"), row_hash(maybe) == gone[name], "left_anti"))
+
+
 _X1, _X2, _X3, _X4, _X5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 

@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_hash, stored
+from .common import BitMap, row_hash, stored, without
 
 K = 5
 SIMILARITY = 0.8
@@ -52,6 +52,11 @@ def _rolled(h: Column) -> Column:
     return F.when(F.size(h) >= K, F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _once(value: Column, name: str) -> Column:
+    """A column of its own out of a generator, which the optimizer doesn't compute again wherever it is named."""
+    return F.inline(F.array(F.struct(value.alias(name))))
+
+
 def simhash(s: Column) -> Column:
     """Bit b is set if more of the shingles (with multiplicity) have it set than not."""
     return F.aggregate(
@@ -105,15 +110,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     items = stored(items.select("item_id", F.size("h").alias("width"), _rolled(F.col("h")).alias("s")).filter(F.size("s") > 0).distinct().withColumn("item", F.xxhash64("item_id", "s")), "items")
     places = stored(items.select("width", F.explode("s").alias("x")).distinct(), "places")
 
-    hashed = docs.select(row_hash(docs).alias("row"), word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= K)
-    laid = hashed.select("row", (F.size("h") - K + 1).alias("n"), F.posexplode(_rolled(F.col("h"))).alias("at", "x"))
+    hashed = docs.select(row_hash(docs).alias("row"), _once(word_hashes(F.col("text")), "h")).select("row", _once(_rolled(F.col("h")), "s"))
+    # the size is a column before the rows are exploded, so that no row carries the array
+    laid = hashed.select("row", F.size("s").alias("n"), "s").select("row", "n", F.posexplode("s").alias("at", "x"))
     hits = laid.join(_maybe_broadcast(places), "x").groupBy("row", "width", "n").agg(F.sort_array(F.collect_set("at")).alias("hits"))
     windows = hits.select("row", F.explode(_starts(F.col("hits"), F.col("n"), F.col("width") - K + 1, similarity)).alias("start"), "width")
     windows = windows.groupBy("row").agg(F.collect_list(F.struct("start", "width")).alias("windows"))
 
-    here = stored(windows, "windows").hint("merge")  # a table that grows with the input
-    joined = docs.select(row_hash(docs).alias("row"), "text").join(here, "row")
-    cut = joined.select("row", "windows", word_hashes(F.col("text")).alias("h")).select("row", "windows", _rolled(F.col("h")).alias("all"))
+    here = stored(windows, "windows")  # a table that grows with the input: its map, of bounded size, picks the texts that are joined with it
+    map_ = BitMap(here.select("row"), here.count())
+    joined = docs.filter(map_.has(row_hash(docs))).select(row_hash(docs).alias("row"), "text").join(here.hint("merge"), "row")
+    cut = joined.select("row", "windows", _once(word_hashes(F.col("text")), "h")).select("row", "windows", _once(_rolled(F.col("h")), "all"))
     cut = cut.select("row", "all", F.inline("windows")).select("row", "width", F.slice("all", F.col("start") + 1, F.col("width") - K + 1).alias("s")).distinct()
     cut = stored(cut.withColumn("content", F.xxhash64("s", "width")), "cut")
     contents = cut.select("content", "width", "s").dropDuplicates(["content"])
@@ -124,7 +131,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     entry = items.select("item", "width", simhash(F.col("s")).alias("item_fp")).dropDuplicates(["item"]).select("item", "width", "item_fp", F.inline(_block_values(F.col("item_fp"))))
     flips = F.when(F.col("block") < len(BLOCKS) - 1, F.array(*map(F.lit, _flips(13)))).otherwise(F.array(*map(F.lit, _flips(12))))
     entry = entry.select("item", "width", "item_fp", "block", F.explode(flips).alias("flip"), "value")
-    entry = entry.select("item", "width", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
+    entry = entry.select("item", "width", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value")).hint("merge")
     near = probe.join(entry, ["width", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("content", "item").distinct()
 
     bags = _weighted(contents.select("content", "s").join(near, "content", "left_semi"), "content")
@@ -145,5 +152,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without an item, with all their columns."""
-    bad = matches(docs, benchmark, similarity).select(F.col("row").alias("_m_row")).distinct()
-    return docs.join(bad, row_hash(docs) == bad["_m_row"], "left_anti")
+    return without(docs, stored(matches(docs, benchmark, similarity).select(F.col("row").alias("_m_row")).distinct(), "bad"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, SpanHasher, blocks, grams, join_unique, mix, per_row, row_hash, seeds, stored, tasks, text_of, words
+from .common import Bloom, SpanHasher, blocks, grams, join_unique, mix, per_row, row_hash, seeds, stored, tasks, text_of, without, words
 from .components import components, groups, local_components
 
 
@@ -379,8 +379,7 @@ def keep_first(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     pairs = stored(join_unique(rows.select("doc_id", "node", "row"), per.select("node", "root", "copies"), "node", "copies").select("doc_id", "node", "row", "root").distinct(), "rows")
     first = pairs.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_rows"))
     gone = join_unique(pairs, stored(first, "firsts"), "root", "n_rows").filter(order != F.col("first")).select(F.col("row").alias(m_row))
-    gone = stored(gone, "gone").hint("merge")  # a table that grows with the input
-    kept = docs.join(gone, row_hash(docs) == gone[m_row], "left_anti")
+    kept = without(docs, stored(gone.distinct(), "gone"))
     # what is left without an id and has one hash is one row's repeats
-    lone = kept.filter("doc_id is null").withColumn(m_row, row_hash(docs)).dropDuplicates([m_row])
+    lone = kept.filter("doc_id is null").withColumn(m_row, row_hash(kept)).dropDuplicates([m_row])
     return kept.filter("doc_id is not null").unionByName(lone.select(*names))
