@@ -16,7 +16,7 @@ import numpy as np
 from .common import SpanHasher, mix
 
 #: Pieces, and bytes of them, that a worker remembers at most; beyond it the memory starts afresh. About 90 bytes a piece with what a growing table copies.
-REMEMBER, REMEMBER_BYTES = 800_000, 1 << 25
+REMEMBER, REMEMBER_BYTES = 400_000, 1 << 24
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x0A]] = True

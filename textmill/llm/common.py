@@ -20,7 +20,8 @@ from ..operators.storage import join_unique, partitions, shared_dir, stored
 
 __all__ = ["join_unique", "partitions", "shared_dir", "stored"]  # for the operators here
 
-BLOCK_BYTES = 1 << 20
+#: Bytes of text in a block: a worker holds some twenty arrays of eight times this size at once.
+BLOCK_BYTES = 1 << 19
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -84,10 +85,12 @@ class SpanHasher:
         self.lanes = []
         value = data.astype(np.uint64) + np.uint64(1)
         for power, inverse in _upto(n + 1):
-            term = value * power[:n]
             prefix = np.zeros(n + 1, dtype=np.uint64)
-            # a term has 39 bits, so the sum of 2**24 of them fits
-            np.cumsum(term if n <= 1 << 24 else _fold(term), out=prefix[1:])
+            term = prefix[1:]
+            np.multiply(value, power[:n], out=term)
+            if n > 1 << 24:  # a term has 39 bits, so the sum of 2**24 of them fits
+                term[:] = _fold(term)
+            np.cumsum(term, out=term)
             self.lanes.append((prefix, inverse))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
