@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import SpanHasher, mix
+from .common import KEPT, SpanHasher, mix
 
 #: Pieces, and bytes of them, that a worker remembers at most; beyond it the memory starts afresh. About 90 bytes a piece with what a growing table copies.
 REMEMBER, REMEMBER_BYTES = 400_000, 1 << 24
@@ -187,10 +187,11 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file; it stays while the worker lives."""
+    """The worker's encoder of a tokenizer file; it stays until a map of another kind begins."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -7,6 +7,9 @@ and no Python loop over words. Hashes are 64 bit and equal on every machine.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 from collections.abc import Iterator
 
@@ -167,6 +170,20 @@ def per_row(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], at[1:]
 
 
+#: What operators keep in a worker between tasks; settle() empties it.
+KEPT: list[dict] = []
+
+
+def settle() -> None:
+    """Gives back to the system what earlier maps of this worker kept or freed. Called where a map begins: workers live on through all stages of a job."""
+    for memory in KEPT:
+        memory.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """True at the first byte of each code point."""
     return (data & 0xC0) != 0x80

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, SpanHasher, blocks, grams, join_unique, mix, per_row, row_hash, seeds, stored, tasks, text_of, without, words
+from .common import Bloom, SpanHasher, blocks, grams, join_unique, mix, per_row, row_hash, seeds, settle, stored, tasks, text_of, without, words
 from .components import components, groups, local_components
 
 
@@ -108,6 +108,7 @@ def embedded(docs: DataFrame, p: JoinParams) -> DataFrame:
     turn = seeds(p.coordinates, 23) | np.uint64(1)
 
     def run(batches):
+        settle()
         for batch in batches:
             nodes, embs = [], []
             for lo, hi, data, off in blocks(text_of(batch)):
@@ -207,6 +208,7 @@ def _brute(p: JoinParams):
     """A spanning forest of the candidates of the buckets at hand: an edge for each set at most, however many buckets it is in."""
 
     def run(batches):
+        settle()
         for t in groups(batches):
             path, node = t.column(0).to_numpy(), t.column(1).to_numpy()
             a, b = _agreeing(_embs(t.column(2), p.coordinates), path, p.agreement())
@@ -292,6 +294,7 @@ def _verify(p: JoinParams):
     up, down = p.similarity
 
     def run(batches):
+        settle()
         for t in groups(batches, 3):
             comp, bi, bj, nb, node, copies = (t.column(i).to_numpy() for i in range(6))
             raw = t.column(6).to_pylist()
@@ -324,6 +327,7 @@ def exact_sets(docs: DataFrame, wanted: DataFrame, p: JoinParams) -> DataFrame:
     rows = Bloom(wanted.select("w_row"), wanted.count())
 
     def run(batches):
+        settle()
         for batch in batches:
             own = batch.filter(pa.array(rows.has(batch.column(0).to_numpy())))
             nodes, raw = [], []

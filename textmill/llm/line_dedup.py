@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Bloom, SpanHasher, blocks, code_points, join_unique, mix, row_hash, stored, tasks, text_of
+from .common import SPACE, Bloom, SpanHasher, blocks, code_points, join_unique, mix, row_hash, settle, stored, tasks, text_of
 from .components import components, groups, local_components
 
 
@@ -197,6 +197,7 @@ def _keys(p: LineParams, buckets: int):
     """(bucket, run): the keys of the different lines, in runs of one bucket: all keys, then all line hashes, then all entered flags."""
 
     def run(batches):
+        settle()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen, n = np.zeros(0, np.int64), 0
 
@@ -233,6 +234,7 @@ def _meet(p: LineParams):
     """The members of the keys with an entered line and another, and their blocks; a partition has whole buckets."""
 
     def run(batches):
+        settle()
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for raw in batch.column(1).to_pylist():
@@ -269,6 +271,7 @@ def _texts(p: LineParams, rows: Bloom, hashes: Bloom):
     """(h, line_text) of the lines whose row and hash are in the maps."""
 
     def run(batches):
+        settle()
         for batch in batches:
             for part in range(0, batch.num_rows, 4096):
                 own = batch.slice(part, 4096)
@@ -313,6 +316,7 @@ def _verify(p: LineParams):
     of the others, and a line of its component. Each pair counts under one key and in one pair of blocks."""
 
     def run(batches):
+        settle()
         for t in groups(batches, 3):
             key, bi, bj, h, entered, block, doc, row, line = (t.column(i).to_numpy(zero_copy_only=False) for i in range(9))
             copies = t.column(9).to_numpy()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import default_path, encoder
-from .common import blocks, stored, text_of
+from .common import blocks, settle, stored, text_of
 
 CAPACITY = 1024
 #: Pieces in a partition, about; what one task packs at a time.
@@ -116,6 +116,7 @@ _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 def _pack(level: int, capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        settle()
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         b, at, fill = best_fit_decreasing(pdf.length.to_numpy(), capacity)
         part = int(pdf.part.iloc[0])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, blocks, code_points, grams, mix, per_row, text_of, words
+from .common import SpanHasher, blocks, code_points, grams, mix, per_row, settle, text_of, words
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -63,6 +63,7 @@ def count_grams(docs: DataFrame, trusted: set, p: QualityParams) -> DataFrame:
     """(bucket, raw, target) over all documents; trusted: at most p.trusted_rows ids."""
 
     def count(batches):
+        settle()
         raw, target = np.zeros(p.buckets, np.int64), np.zeros(p.buckets, np.int64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -175,6 +176,7 @@ def judge(docs: DataFrame, ratio: np.ndarray, p: QualityParams = QualityParams()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # p.buckets floats
 
     def run(batches):
+        settle()
         for batch in batches:
             out = figures(text_of(batch), shared.value, p)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out.values())], ["doc_id", *out])
@@ -196,6 +198,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityPara
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches):
+        settle()
         for batch in batches:
             texts = text_of(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]))
             yield batch.filter(pa.array(figures(texts, ratio.value, p)["kept"]))
