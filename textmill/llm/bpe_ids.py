@@ -112,9 +112,9 @@ class PieceTable:
     def differing(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Which of the pieces, that cover data one after another, are not the bytes of their entries."""
         out = self.raw.length[entry] != end - start
-        first = np.where(out, 0, self.raw.first[entry].astype(np.int64) - start)
+        first = np.where(out, 0, self.raw.first[entry] - start.astype(np.int32))
         at = np.repeat(first, end - start)
-        at += np.arange(len(data))
+        at += np.arange(len(data), dtype=np.int32)
         if out.any():
             at[np.repeat(out, end - start)] = 0
         return out | np.logical_or.reduceat(self.raw.pool[at] != data, start)
