@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
+from . import conversations, decontamination, history, jaccard_join, licenses, line_dedup, packing, pii, quality_llr, resharding, token_store, toxicity, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,27 @@ ORACLE["op9_warc_bundles"] = warc_bundles.ORACLE_SQL
 @query
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_dimension_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.document_history(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_dimension_history"] = history.ORACLE_SQL
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+ORACLE["op12_conversation_repair"] = conversations.ORACLE_SQL
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_license_scan"] = licenses.ORACLE_SQL
