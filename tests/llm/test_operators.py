@@ -74,7 +74,7 @@ def brute_base(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     kinds = {
         "email": (EMAIL, lambda s: True),
-        "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(len(x.lstrip("0")) < 4 and int(x[-4:]) <= 255 for x in s.split("."))),
         "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 14 <= len(digits(s)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits(s)))) % 10 == 0),
         "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 10 <= len(digits(s)) <= 15),
     }
@@ -85,6 +85,7 @@ def brute_base(text):
 def test_pii_base_spans_are_the_patterns(spark, docs):
     r = np.random.default_rng(8)
     drawn = ["".join(r.choice(list("0123456789.+-() @ab"), int(r.integers(1, 400)), p=[*[0.07] * 10, 0.1, 0.02, 0.04, 0.02, 0.02, 0.04, 0.02, 0.02, 0.02])) for _ in range(300)]
+    drawn += ["0" * 5000 + ".1.2.3", "1.2." + "0" * 9000 + "7.255", "9" * 5000 + ".1.2.3", "0" * 6000, "+" + "0" * 6000, "1 " * 3000, "+1 " + "0-" * 5000, "1.2.3." + "0" * 5000]
     drawn += ["1.2.3.4.5.6.7.8.9", "1.2.3 1.2.3.4", "000.1.2.3", "99999.1.1.1", "12.1.1.1.", "1..2.3.4.5", "4111 1111-1111 1111", "+4111 1111 1111 1111", "+1-2-3-4-5-6-7-8-9-0"]
     for t in [*(r.text or "" for r in docs.select("text").collect()), *drawn]:
         assert pii.base_spans(t) == brute_base(t)

@@ -14,7 +14,7 @@ values (null equals null) are versions.
 No Python runs on the executors, nothing is broadcast, and nothing goes to the driver.
 
 Defined results: changes without a key or start concern nothing and are left out; changes that arrive in the same place take the greatest value as the
-last-arrived, null before all others, so repeated rows count once; empty tables give an empty result; other columns are not read.
+last-arrived, null before all others and a delete before what is present, so repeated rows count once; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
