@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _plain(m[0])) <= 19 and luhn(d):
