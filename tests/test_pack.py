@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +212,81 @@ def test_ema_is_the_fold(spark):
         want[g] = 0.9 * want[g] + 0.1 * v if g in want else v
     got = {r.g: r.ema for r in objectives.ema(spark.createDataFrame(rows, "g int, i int, v double").repartition(3), "v", "i", "g", 0.9).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+
+
+@pytest.fixture
+def token_files(spark, tmp_path):
+    """12,000 ids in four files of unequal sizes, with masks."""
+    token_bin.install(spark)
+    path = str(tmp_path / "bins")
+    rows = spark.range(400).selectExpr("id * 30 AS start_pos", "transform(sequence(0, 29), i -> cast(id * 30 + i AS int)) AS ids", "transform(sequence(0, 29), i -> cast((id * 30 + i) % 3 = 0 AS int)) AS mask")
+    rows.repartitionByRange(4, "start_pos").sortWithinPartitions("start_pos").write.format("token_bin").mode("overwrite").options(path=path, masked="true").save()
+    assert len(token_bin.metadata(path)["files"]) == 4
+    return path
+
+
+def asked_ids(path, filters, **options):
+    """The filters that are left to Spark, and the ids that the planned partitions read."""
+    reader = token_bin.TokenBin({"path": path, **options}).reader(None)
+    left = list(reader.pushFilters(filters))
+    parts = reader.partitions()
+    got = [i for p in parts for b in reader.read(p) for row in b.column(1).to_pylist() for i in row]
+    assert len(got) == sum(e - s for p in parts for s, e in p.ranges)
+    return left, got
+
+
+def test_pushed_filters_read_only_their_ranges(spark, token_files):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, StringContains
+
+    pos, how = ("start_pos",), {"block": 16}
+    starts = sorted(r.start_pos for r in spark.read.format("token_bin").options(path=token_files, **how).load().collect())
+    assert len(starts) > 700 and asked_ids(token_files, [], **how)[1] == list(range(12_000))
+    rows = lambda keep: [i for s, e in zip(starts, [*starts[1:], 12_000], strict=True) if keep(s) for i in range(s, e)]
+    cases = [
+        ([GreaterThan(pos, 5000), LessThan(pos, 5100)], lambda s: 5000 < s < 5100), ([GreaterThanOrEqual(pos, starts[9]), LessThanOrEqual(pos, starts[300])], lambda s: starts[9] <= s <= starts[300]),
+        ([In(pos, (starts[3], starts[4], starts[500], 7, None))], lambda s: s in (starts[3], starts[4], starts[500])), ([EqualTo(pos, starts[8]), IsNotNull(pos)], lambda s: s == starts[8]),
+        ([In(pos, (starts[3], starts[400])), GreaterThan(pos, 4000)], lambda s: s == starts[400] > 4000), ([GreaterThan(pos, 20_000)], lambda s: False), ([EqualTo(pos, 1)], lambda s: False),
+    ]
+    for filters, keep in cases:
+        left, got = asked_ids(token_files, filters, **how)
+        assert not left and got == rows(keep)
+    other = StringContains(("ids",), "x")
+    assert asked_ids(token_files, [other], **how)[0] == [other]
+    empty = spark.read.format("token_bin").options(path=token_files, **how).load().filter("start_pos > 20000")
+    assert empty.count() == 0
+
+
+def test_partitions_are_ranges_of_bytes(token_files):
+    reader = token_bin.TokenBin({"path": token_files, "block": 100, "split": 1000}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) >= 12 and all(sum(e - s for s, e in p.ranges) <= 1000 for p in parts)
+    files = {f: (s, s + n) for f, s, n in reader.meta["files"]}
+    assert all(files[p.file][0] <= s < e <= files[p.file][1] for p in parts for s, e in p.ranges)
+
+
+def test_windows_read_the_rows_that_they_touch(spark, token_files):
+    offsets, length, block = [0, 17, 2990, 2999, 3000, 7771, 11_959], 40, 16
+    starts = token_bin.row_starts(token_files, offsets, length, block)
+    rows = spark.read.format("token_bin").options(path=token_files, block=block).load().filter(F.col("start_pos").isin(starts))
+    assert sum(len(r.ids) for r in rows.collect()) <= len(offsets) * (length + 1 + 2 * block)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert " Filter " not in plan  # Spark has nothing left to sift
+    at = spark.createDataFrame(list(enumerate(offsets)), "window long, offset long")
+    for got in (pack.windows_at(rows, at, length), token_bin.windows(at, token_files, length)):
+        found = {r.window: (r.x, r.y) for r in got.collect()}
+        assert found == {w: (list(range(o, o + length)), list(range(o + 1, o + length + 1))) for w, o in enumerate(offsets)}
+
+
+def test_windows_by_byte_ranges_handle_ends_nulls_and_masks(spark, token_files):
+    offsets = spark.createDataFrame([(0, 11_989), (1, 11_990), (2, -1), (3, None), (None, 5), (4, 5)], "window long, offset long")
+    got = sorted((tuple(r) for r in token_bin.windows(offsets, token_files, 10, masked=True).collect()), key=repr)
+    want = [(w, list(range(o, o + 10)), list(range(o + 1, o + 11)), [int(i % 3 == 0) for i in range(o + 1, o + 11)]) for w, o in ((0, 11_989), (4, 5), (None, 5))]
+    assert got == sorted(want, key=repr)
+    assert token_bin.windows(offsets.limit(0), token_files, 10).count() == 0
+
+
+def test_a_cut_file_is_an_error(spark, token_files):
+    file = next(Path(token_files).glob("*.bin"))
+    file.write_bytes(file.read_bytes()[:-2])
+    with pytest.raises(Exception, match="too early|a mask of"):
+        spark.read.format("token_bin").options(path=token_files).load().count()

@@ -594,6 +594,37 @@ def token_windows(spark, sf_dir):
     return pack.windows_at(stream, offsets, _LEN).select("window", sum_of("x").alias("x_sum"), sum_of("y").alias("y_sum"), long(F.size("x")).alias("n"))
 
 
+def _token_files(spark, sf_dir, masked: bool = False) -> tuple[str, int]:
+    """The stream as token files, a file for each task, and its tokens."""
+    stream, path = _stream(spark, sf_dir), shared_dir(spark, "stream-bins")
+    token_bin.install(spark)
+    rows = stream.select("start_pos", "ids", *[F.transform("ids", lambda x: (x > 3).cast("int")).alias("mask")] * masked)
+    rows.repartitionByRange(8, "start_pos").sortWithinPartitions("start_pos").write.format("token_bin").mode("overwrite").option("path", path).option("masked", str(masked)).option("dtype", "uint32").option("eot_id", 0).save()
+    return path, token_bin.metadata(path)["n_tokens"]
+
+
+@query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT range AS win, {_DRAW.format(seed=1, i='range', n=f'n - {_LEN} - 1')} AS off FROM range(64), t)
+SELECT win AS "window", CAST(sum(id) FILTER (pos < off + {_LEN}) AS BIGINT) AS x_sum, CAST(sum(id) FILTER (pos > off) AS BIGINT) AS y_sum, count(*) - 1 AS n FROM o JOIN st ON pos BETWEEN off AND off + {_LEN} GROUP BY win""")
+def token_file_windows(spark, sf_dir):
+    """The windows of 64 offsets from token files, of which the pushed filter reads the rows that the windows touch."""
+    path, total = _token_files(spark, sf_dir)
+    offsets, block = pack.drawn_offsets(spark, 64, total, _LEN, 1), 512
+    starts = token_bin.row_starts(path, [r.offset for r in offsets.collect()], _LEN, block)
+    rows = spark.read.format("token_bin").option("path", path).option("block", block).load().filter(F.col("start_pos").isin(starts))
+    sum_of = lambda c: long(F.aggregate(c, F.lit(0), lambda a, x: a + x))
+    return pack.windows_at(rows, offsets, _LEN).select("window", sum_of("x").alias("x_sum"), sum_of("y").alias("y_sum"), long(F.size("x")).alias("n"))
+
+
+@query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT win, {_DRAW.format(seed=3, i='win', n=f'n - {_LEN} - 1')} AS off FROM (SELECT unnest(range(0, n // {_LEN})) AS win, n FROM t))
+SELECT win AS "window", CAST(sum(id) FILTER (pos < off + {_LEN}) AS BIGINT) AS x_sum, CAST(sum(CASE WHEN id > 3 THEN id ELSE 0 END) FILTER (pos > off) AS BIGINT) AS y_masked FROM o JOIN st ON pos BETWEEN off AND off + {_LEN} GROUP BY win""")
+def epoch_windows(spark, sf_dir):
+    """As many random windows as the corpus has room for, with their masks, each read from the files by its own byte range."""
+    path, total = _token_files(spark, sf_dir, masked=True)
+    add = lambda c: long(F.aggregate(c, F.lit(0), lambda a, x: a + x))
+    got = token_bin.windows(pack.drawn_offsets(spark, total // _LEN, total, _LEN, 3), path, _LEN, masked=True)
+    return got.select("window", add("x").alias("x_sum"), add(F.zip_with("y", "m", lambda y, m: y * m)).alias("y_masked"))
+
+
 @query(f"""WITH {_STREAM}, t AS (SELECT count(*) AS n FROM st), o AS (SELECT range AS win, {_DRAW.format(seed=2, i='range', n=f'n - {_LEN} - 1')} AS off FROM range(64), t)
 SELECT win AS "window", CAST(sum(id) FILTER (pos > off AND id > 3) AS BIGINT) AS y_masked, CAST(count(*) FILTER (pos > off AND id > 3) AS BIGINT) AS m_sum FROM o JOIN st ON pos BETWEEN off AND off + {_LEN} GROUP BY win""")
 def masked_windows(spark, sf_dir):

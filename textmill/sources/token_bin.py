@@ -1,10 +1,13 @@
 """Flat binary token files as a Spark data source: little-endian ids, perhaps a byte of mask for each, and a metadata file, in order of start_pos.
 
+Reading takes only the byte ranges that are asked for: filters on start_pos are pushed down to the rows (of block ids) that satisfy them, and a partition has
+ranges of split ids in all, whether they are a part of a file or scattered over it. windows() reads exactly the bytes of each of any number of windows.
 The folder has to be one that the driver and all executors mount: Spark hands its own file systems to no Python data source.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 from dataclasses import dataclass
@@ -12,8 +15,11 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 
 @dataclass
@@ -25,9 +31,11 @@ class Wrote(WriterCommitMessage):
 
 @dataclass
 class Part(InputPartition):
+    """Ranges of positions of one file, each from the start of a row to the end of one."""
+
     file: str
     start: int
-    n: int
+    ranges: list[tuple[int, int]]
 
 
 def _folder(path: str) -> str:
@@ -38,7 +46,8 @@ class TokenBin(DataSource):
     """format("token_bin"): writes rows (start_pos long, ids array<int>[, mask array<int>]); reads such rows of up to block ids.
 
     Rows of a partition must come in order of start_pos: range-partition by it and sort within partitions. Options: path (a folder that all
-    executors share), dtype (uint16 or uint32), block, eot_id, vocab_size, masked (true: a mask file beside each token file).
+    executors share), dtype (uint16 or uint32), block, split (ids of a partition, about), eot_id, vocab_size, masked (true: a mask file beside each token file).
+    A row starts at each block ids from the start of its file.
     """
 
     @classmethod
@@ -117,33 +126,167 @@ class _Writer(DataSourceArrowWriter):
                         os.remove(os.path.join(self.path, x))
 
 
+def metadata(path: str) -> dict:
+    """The folder's metadata; files: (name, first position, ids) in order."""
+    with open(os.path.join(_folder(path), "meta.json")) as f:
+        return json.load(f)
+
+
+def _kind(meta: dict) -> np.dtype:
+    return np.dtype(meta["dtype"]).newbyteorder("<")
+
+
+def _ids(path: str, kind: np.dtype, first: int, n: int) -> np.ndarray:
+    """n ids of a file from its first-th on: one read of their bytes."""
+    out = np.fromfile(path, dtype=kind, count=n, offset=first * kind.itemsize) if n else np.zeros(0, kind)
+    if len(out) < n:
+        raise ValueError(f"{path} ends {n - len(out)} tokens too early")
+    return out
+
+
+class _Asked:
+    """What the filters on start_pos leave: bounds, and perhaps a set of values."""
+
+    def __init__(self):
+        self.low, self.high, self.values = 0, 1 << 62, None
+
+    def take(self, f: Filter) -> bool:
+        """Whether the filter is one that the reader applies by itself."""
+        if getattr(f, "attribute", None) != ("start_pos",):
+            return False
+        if isinstance(f, IsNotNull):
+            return True
+        if isinstance(f, In):
+            self._among(x for x in f.value if x is not None)
+        elif isinstance(f, EqualTo) and f.value is not None:
+            self._among([f.value])
+        elif isinstance(f, GreaterThan) and f.value is not None:
+            self.low = max(self.low, f.value + 1)
+        elif isinstance(f, GreaterThanOrEqual) and f.value is not None:
+            self.low = max(self.low, f.value)
+        elif isinstance(f, LessThan) and f.value is not None:
+            self.high = min(self.high, f.value - 1)
+        elif isinstance(f, LessThanOrEqual) and f.value is not None:
+            self.high = min(self.high, f.value)
+        else:
+            return False
+        return True
+
+    def _among(self, values) -> None:
+        self.values = set(values) if self.values is None else self.values & set(values)
+
+    def ranges(self, start: int, n: int, block: int) -> list[tuple[int, int]]:
+        """The ranges of positions of a file's rows that are asked for, neighbours as one."""
+        if self.values is None:
+            first = max(0, -(-(self.low - start) // block))
+            end = min(-(-n // block), (self.high - start) // block + 1)
+            return [(start + first * block, min(start + n, start + end * block))] if first < end else []
+        out: list[tuple[int, int]] = []
+        for v in sorted(v for v in self.values if start <= v < start + n and self.low <= v <= self.high and not (v - start) % block):
+            end = min(start + n, v + block)
+            if out and out[-1][1] == v:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((v, end))
+        return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, masked: bool):
         self.path, self.block, self.masked = _folder(options["path"]), int(options.get("block", 1 << 16)), masked
-        with open(os.path.join(self.path, "meta.json")) as f:
-            self.meta = json.load(f)
+        self.split = max(self.block, int(options.get("split", 1 << 24)))
+        self.meta, self.asked = metadata(self.path), _Asked()
         least = int(options.get("seq_len", 0)) + 1
         if self.meta["n_tokens"] < least:
             raise ValueError(f"{self.meta['n_tokens']} tokens are fewer than {least}")
         if masked:
             if not self.meta.get("masked"):
                 raise ValueError("the files have no masks")
-            wide = np.dtype(self.meta["dtype"]).itemsize
+            wide = _kind(self.meta).itemsize
             for f, _, _ in self.meta["files"]:
                 n, m = (os.path.getsize(os.path.join(self.path, x)) for x in (f, _mask_of(f)))
                 if n // wide != m:
                     raise ValueError(f"{f}: {n // wide} tokens, a mask of {m}")
 
+    def pushFilters(self, filters):
+        return [f for f in filters if not self.asked.take(f)]
+
     def partitions(self):
-        return [Part(f, s, n) for f, s, n in self.meta["files"]]
+        """Each of about split ids; a long range is cut at rows."""
+        out, step = [], self.split // self.block * self.block
+        for file, start, n in self.meta["files"]:
+            held: list[tuple[int, int]] = []
+            for first, end in self.asked.ranges(start, n, self.block):
+                for at in range(first, end, step):
+                    held.append((at, min(end, at + step)))
+                    if sum(b - a for a, b in held) >= self.split:
+                        out.append(Part(file, start, held))
+                        held = []
+            if held:
+                out.append(Part(file, start, held))
+        return out
 
     def read(self, part: Part):
-        kinds = [(part.file, np.dtype(self.meta["dtype"]).newbyteorder("<")), *[(_mask_of(part.file), np.dtype("u1"))] * self.masked]
-        files = [np.memmap(os.path.join(self.path, f), dtype=kind, mode="r") if part.n else np.zeros(0, kind) for f, kind in kinds]
-        for at in range(0, part.n, self.block):
-            cols = [pa.array([x[at : at + self.block].astype(np.int32)], pa.list_(pa.int32())) for x in files]
-            yield pa.RecordBatch.from_arrays([pa.array([part.start + at], pa.int64()), *cols], ["start_pos", "ids", *["mask"] * self.masked])
+        if not isinstance(part, Part):  # nothing is asked for
+            return
+        kinds = [(part.file, _kind(self.meta)), *[(_mask_of(part.file), np.dtype("u1"))] * self.masked]
+        names = ["start_pos", "ids", *["mask"] * self.masked]
+        for first, end in part.ranges:
+            for at in range(first, end, self.block * 16):  # sixteen rows at once
+                n = min(end - at, self.block * 16)
+                starts = np.arange(0, n, self.block)
+                offsets = pa.array(np.append(starts, n), pa.int32())
+                cols = [pa.ListArray.from_arrays(offsets, pa.array(_ids(os.path.join(self.path, f), kind, at - part.start, n).astype(np.int32))) for f, kind in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(starts + at, pa.int64()), *cols], names)
+
+
+def row_starts(path: str, offsets: list[int], length: int, block: int = 1 << 16) -> list[int]:
+    """The start_pos of the rows that windows of length + 1 ids from these offsets touch: a filter on them reads no other bytes."""
+    files = metadata(path)["files"]
+    first = [s for _, s, _ in files]
+    out: set[int] = set()
+    for off in offsets:
+        k = max(0, bisect.bisect_right(first, off) - 1)
+        while k < len(files) and files[k][1] <= off + length:
+            _, s, n = files[k]
+            low, high = max(off, s), min(off + length, s + n - 1)
+            out.update(range(s + (low - s) // block * block, high + 1, block))
+            k += 1
+    return sorted(out)
+
+
+def windows(offsets: DataFrame, path: str, length: int, masked: bool = False) -> DataFrame:
+    """(window, x, y[, m]) of (window, offset): each task reads the bytes of its own windows of length + 1 ids, and nothing else; there is no join, no shuffle and
+    no bound on the number of windows. Windows that begin before the first or end after the last token are left out, as are null offsets. m goes with y."""
+    folder = _folder(path)
+    meta = metadata(folder)
+
+    def run(batches):
+        files, first = meta["files"], [s for _, s, _ in meta["files"]]
+
+        def cut(off: int, kind: np.dtype, name) -> np.ndarray:
+            k, parts, left = max(0, bisect.bisect_right(first, off) - 1), [], length + 1
+            while left and k < len(files):
+                file, s, n = files[k]
+                take = max(0, min(left, s + n - off))
+                parts.append(_ids(os.path.join(folder, name(file)), kind, off - s, take))
+                off, left, k = off + take, left - take, k + 1
+            return np.concatenate(parts).astype(np.int32)
+
+        for batch in batches:
+            at = [(w, o) for w, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if o is not None and 0 <= o <= meta["n_tokens"] - length - 1]
+            ids = np.array([cut(o, _kind(meta), str) for _, o in at], np.int32).reshape(-1, length + 1)
+            rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * length + 1, length, dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1)))
+            cols = [pa.array([w for w, _ in at], pa.int64()), rows(ids[:, :-1]), rows(ids[:, 1:])]
+            if masked:
+                cols.append(rows(np.array([cut(o, np.dtype("u1"), _mask_of) for _, o in at], np.int32).reshape(-1, length + 1)[:, 1:]))
+            yield pa.RecordBatch.from_arrays(cols, ["window", "x", "y", *["m"] * masked])
+
+    asked = offsets.select(F.col("window").cast("long").alias("window"), F.col("offset").cast("long").alias("offset"))
+    return asked.mapInArrow(run, "window long, x array<int>, y array<int>" + ", m array<int>" * masked)
 
 
 def install(spark: SparkSession) -> None:
+    """Registers the source, and lets the session push filters into Python sources."""
     spark.dataSource.register(TokenBin)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
