@@ -1,3 +1,7 @@
+import random
+import time
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -25,17 +29,84 @@ def test_pretokens_as_the_regex_module(spark, docs):
     assert got[1] == regex.findall(bpe.PATTERN, TEXT[1])
 
 
-def test_fast_training_is_the_naive_one(docs):
-    hist = {r.chunk: r.freq for r in bpe.histogram(docs).collect()}
-    assert bpe.train_fast(hist, 330) == bpe.train_naive(hist, 330)
-    assert bpe.train_fast({"aaa": 1}, 400) == bpe.train_naive({"aaa": 1}, 400)
+def table(spark, hist):
+    return spark.createDataFrame(list(hist.items()), "chunk string, freq long")
 
 
-def test_training_leaves_no_pretoken_out(spark, docs):
+def test_training_is_the_naive_one(spark, docs):
     hist = {r.chunk: r.freq for r in bpe.histogram(docs).collect()}
-    assert len(hist) > 2
-    assert bpe.train(docs, 266, max_words=2).merges == bpe.train_naive(hist, 266)
-    assert bpe.train(spark.createDataFrame([("aaa b",)], "text string"), 400, max_words=1).merges == bpe.train_naive({"aaa": 1, " b": 1}, 400)
+    assert bpe.train(docs, 300).merges == bpe.train_naive(hist, 300)
+    for small in ({"aaaaaaa": 3, "aa": 1, "abab": 2, "ba": 5, "x": 9}, {"x": 4}, {}):
+        assert [p for r in bpe.merge_rounds(table(spark, small), 400) for p in r] == bpe.train_naive(small, 400)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_training_equals_the_definition_whatever_the_guesses(spark, seed):
+    """Ties, runs of one letter, words that no guess sees, and words that are written anew: the merges are the same."""
+    rng = random.Random(seed)
+    hist = {"".join(rng.choice("aabbc é") for _ in range(rng.randrange(1, 14))): rng.choice([1, 1, 2, 3, 50]) for _ in range(300)}
+    for vocab, how in ((290, {"frequent": 40, "ahead": 40, "most": 16}), (261, {"frequent": 0})):
+        rounds = list(bpe.merge_rounds(table(spark, hist), vocab, **how))
+        assert all(rounds) and [p for r in rounds for p in r] == bpe.train_naive(hist, vocab)
+
+
+def test_training_takes_a_tenth_of_the_rounds(spark):
+    """Of 200 merges over the table's documents, with guesses from half of the different words; from all of them, rounds double."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    hist = bpe.histogram(docs).persist()
+    words = {r.chunk: r.freq for r in hist.collect()}
+    rounds = list(bpe.merge_rounds(hist, 456, frequent=len(words) // 2))
+    assert [p for r in rounds for p in r] == bpe.train_naive(words, 456)
+    assert len(rounds) <= 20
+    assert list(map(len, bpe.merge_rounds(hist, 456, frequent=2 * len(words)))) == [64, 128, 8]
+
+
+def test_changes_are_those_of_all_words(spark):
+    """The pass over the words against counting every pair anew after each merge."""
+    rng = random.Random(7)
+    hist = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 12))): rng.randrange(1, 9) for _ in range(200)}
+    merges = bpe.train_naive(hist, 270)
+    words = spark.createDataFrame([(n, list(c.encode())) for c, n in hist.items()], "freq long, ids array<int>").repartition(3)
+    got = {(r.t, r.a, r.b): r.d for r in bpe._changes(words, merges[:4], merges[4:], memory=5).collect()}
+
+    def totals(k):
+        out, rank = Counter(), {p: 256 + i for i, p in enumerate(merges[:k])}
+        for c, n in hist.items():
+            ids = bpe.merge_by_rank(list(c.encode()), rank)
+            for p in zip(ids, ids[1:]):
+                out[p] += n
+        return out
+
+    want = {}
+    for t in range(len(merges) - 4):
+        before, after = totals(4 + t), totals(5 + t)
+        want |= {(t, *p): after[p] - before[p] for p in before | after if after[p] != before[p]}
+    assert got == want
+
+
+def naive_ids(ids, merges):
+    for i, p in enumerate(merges):
+        ids = bpe.merged(tuple(ids), p, 256 + i)
+    return list(ids)
+
+
+def test_encoding_is_the_merges_in_order(docs, tok):
+    rng = random.Random(1)
+    for _ in range(300):
+        chunk = "".join(rng.choice("theca ts odné日") for _ in range(rng.randrange(0, 60)))
+        assert tok.encode_chunk(chunk) == naive_ids(chunk.encode(), tok.merges)
+    runs = bpe.Tokenizer([(97, 97), (256, 256), (256, 97), (257, 98)])
+    for n in range(40):
+        assert runs.encode_chunk("a" * n + "b") == naive_ids(b"a" * n + b"b", runs.merges)
+
+
+def test_a_megabyte_is_encoded_in_seconds(docs, tok):
+    rng = random.Random(2)
+    chunk = "".join(rng.choice(["the", "cat", "sat", "on", "dog", "mat", "log"]) for _ in range(350_000))[:1_000_000]
+    began = time.perf_counter()
+    ids = tok.encode_chunk(chunk)
+    assert time.perf_counter() - began < 20
+    assert tok.decode(ids) == chunk and tok.encode_chunk(chunk[:2000]) == naive_ids(chunk[:2000].encode(), tok.merges)
 
 
 def test_pair_counts(spark):

@@ -1,8 +1,7 @@
 """Byte-level BPE: pre-tokens and pair counts as plans, training on the histogram of different pre-tokens, encoding of different pre-tokens.
 
-The corpus is only ever touched by the histogram (partial aggregation before its one shuffle) and by the final join; the merge
-loop is sequential. It runs on the driver while there are at most max_words different pre-tokens, and beyond that over a table of all of
-them, of which only each best pair comes to the driver.
+The corpus is only ever touched by the histogram (partial aggregation before its one shuffle) and by the final join. Training goes over the table of different
+pre-tokens in rounds that find many merges each (merge_rounds); encoding costs n log n for a pre-token of n bytes (merge_by_rank).
 """
 
 from __future__ import annotations
@@ -11,11 +10,13 @@ import codecs
 import heapq
 import json
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
@@ -97,42 +98,84 @@ def train_naive(hist: dict[str, int], vocab: int) -> list[Pair]:
     return merges
 
 
-def train_fast(hist: dict[str, int], vocab: int) -> list[Pair]:
-    """The same merges: pair totals and an index of the words of each pair are kept up, and a heap with stale entries finds the best."""
-    words = [[tuple(c.encode()), n] for c, n in hist.items()]
-    total: dict[Pair, int] = defaultdict(int)
-    where: dict[Pair, set[int]] = defaultdict(set)
-    for i, (w, n) in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            total[p] += n
-            where[p].add(i)
-    heap = [(-n, p) for p, n in total.items()]
+def merge_by_rank(ids: list[int], rank: dict[Pair, int]) -> list[int]:
+    """ids with the merges of rank (pair to new id, later merges with higher ids) done in order, each from the left.
+
+    The ids are a chain, and a heap has the mergeable pairs by (rank, place): n ids cost n log n, however many merges there are.
+    """
+    n, ids = len(ids), list(ids)
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
     heapq.heapify(heap)
-    merges: list[Pair] = []
-    while len(merges) < vocab - 256 and heap:
-        n, pair = heapq.heappop(heap)
-        if -n != total.get(pair, 0) or not n:
+    while heap:
+        new, i = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or rank.get((ids[i], ids[j])) != new:  # one of the two has been merged since
             continue
-        new = 256 + len(merges)
-        merges.append(pair)
-        touched: set[Pair] = set()
-        for i in where.pop(pair, ()):
-            w, freq = words[i]
-            now = merged(w, pair, new)
-            if now == w:
+        ids[i], ids[j] = new, -1  # -1 is in no pair
+        k, h = after[j], before[i]
+        after[i], after[j] = k, -1
+        if k >= 0:
+            before[k] = i
+            if (r := rank.get((new, ids[k]))) is not None:
+                heapq.heappush(heap, (r, i))
+        if h >= 0 and (r := rank.get((ids[h], new))) is not None:
+            heapq.heappush(heap, (r, h))
+    return [x for x in ids if x >= 0]
+
+
+class Symbols:
+    """The ids of many weighted words, each word a chain, and the places of each pair: a merge costs as much as it changes."""
+
+    def __init__(self, words: Iterable[tuple[int, list[int]]]):
+        self.id: list[int] = []
+        self.weight: list[int] = []
+        self.after: list[int] = []
+        self.before: list[int] = []
+        self.total: dict[Pair, int] = defaultdict(int)
+        self.places: dict[Pair, set[int]] = defaultdict(set)
+        for freq, ids in words:
+            first, n = len(self.id), len(ids)
+            self.id += ids
+            self.weight += [freq] * n
+            self.after += [*range(first + 1, first + n), -1][:n]
+            self.before += [-1, *range(first, first + n - 1)][:n]
+        for i, j in enumerate(self.after):
+            if j >= 0:
+                self._set(i, j, 1, self.total)
+
+    def _set(self, i: int, j: int, sign: int, change: dict[Pair, int]) -> None:
+        pair = self.id[i], self.id[j]
+        change[pair] += sign * self.weight[i]
+        (self.places[pair].add if sign > 0 else self.places[pair].discard)(i)
+
+    def merge(self, pair: Pair, new: int) -> dict[Pair, int]:
+        """Merges a pair wherever it stands, and returns how the pairs' totals change."""
+        change: dict[Pair, int] = defaultdict(int)
+        for i in sorted(self.places.get(pair, ())):
+            j = self.after[i]
+            if j < 0 or (self.id[i], self.id[j]) != pair:  # the place before it took this one
                 continue
-            for p in zip(w, w[1:], strict=False):
-                total[p] -= freq
-                touched.add(p)
-            for p in zip(now, now[1:], strict=False):
-                total[p] += freq
-                where[p].add(i)
-                touched.add(p)
-            words[i][0] = now
-        for p in touched:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], p))
-    return merges
+            h, k = self.before[i], self.after[j]
+            for x, y in ((h, i), (i, j), (j, k)):
+                if x >= 0 <= y:
+                    self._set(x, y, -1, change)
+            self.id[i], self.id[j], self.after[i], self.after[j] = new, -1, k, -1
+            if k >= 0:
+                self.before[k] = i
+            for x, y in ((h, i), (i, k)):
+                if x >= 0 <= y:
+                    self._set(x, y, 1, change)
+        self.places.pop(pair, None)
+        for p, n in change.items():
+            self.total[p] += n
+            if not self.total[p]:
+                del self.total[p]
+        return {p: n for p, n in change.items() if n}
+
+    def best(self) -> Pair | None:
+        """The most frequent pair, ties to the lowest."""
+        return max(self.total, key=lambda p: (self.total[p], -p[0], -p[1]), default=None)
 
 
 @dataclass
@@ -162,15 +205,7 @@ class Tokenizer:
         return 256 + len(self.merges) + len(self.specials)
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        ids = tuple(chunk.encode())
-        if not self.rank:
-            return list(ids)
-        while len(ids) > 1:
-            low = min((self.rank.get(p, 1 << 40), p) for p in zip(ids, ids[1:], strict=False))
-            if low[0] == 1 << 40:
-                break
-            ids = merged(ids, low[1], low[0])
-        return list(ids)
+        return merge_by_rank(list(chunk.encode()), self.rank) if self.rank else list(chunk.encode())
 
     def token_bytes(self, i: int) -> bytes:
         if i in self.bytes:
@@ -191,37 +226,163 @@ class Tokenizer:
         return cls([(a, b) for a, b, _ in sorted(triples, key=lambda t: t[2])], dict(own.get("special_tokens", {})) if isinstance(own, dict) else {})
 
 
-def _merge_in(words: DataFrame, pair: Pair, new: int) -> DataFrame:
-    """(freq, ids) with the pair merged, equal rows as they are."""
+def _rows_with(batch: pa.RecordBatch, pairs: np.ndarray) -> np.ndarray:
+    """Which rows of (freq, ids) have one of the pairs, given as ascending a << 32 | b."""
+    lists = batch.column(1)
+    ids, at = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    ids = ids[: at[-1]]
+    found = np.isin(ids[:-1] << 32 | ids[1:], pairs) if len(ids) > 1 else np.zeros(0, bool)
+    found[at[1:-1][(at[1:-1] > 0) & (at[1:-1] <= len(found))] - 1] = False  # the last id of a row and the first of the next
+    have = np.zeros(len(batch), bool)
+    have[np.searchsorted(at, np.flatnonzero(found), "right") - 1] = True
+    return have
+
+
+def _keys(pairs: Iterable[Pair]) -> np.ndarray:
+    return np.sort(np.array([a << 32 | b for a, b in pairs], np.int64))
+
+
+def _guess(frequent: DataFrame, counts: DataFrame, merges: list[Pair], first: Pair, n: int, pairs: int = 20_000) -> list[Pair]:
+    """first, and the merges that would follow it if each pair stood in all words among the same neighbours as in the frequent ones.
+
+    The most frequent pairs start from their totals over all words; what a merge does to its neighbours is scaled by how often the frequent words
+    have the pair. One task does it, over a bounded number of words and pairs; the driver gets n pairs.
+    """
 
     def run(batches):
+        rank, rows, total = {p: 256 + i for i, p in enumerate(merges)}, [], {}
+        for b in batches:
+            for pair, f, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if pair:
+                    total[tuple(ids)] = float(f)
+                else:
+                    rows.append((f, merge_by_rank(ids, rank)))
+        words, out, pair = Symbols(rows), [], first
+        best = [(-x, p) for p, x in total.items()]
+        heapq.heapify(best)
+        while len(out) < n:
+            seen = words.total.get(pair, 0)
+            scale = total.pop(pair, float(seen)) / max(seen, 1)
+            for p, d in words.merge(pair, 256 + len(merges) + len(out)).items():
+                if p != pair and (p in total or d > 0):
+                    total[p] = total.get(p, 0.0) + d * scale
+                    heapq.heappush(best, (-total[p], p))
+            out.append((len(out), *pair))
+            while best and total.get(best[0][1]) != -best[0][0]:
+                heapq.heappop(best)
+            if not best or best[0][0] >= 0:
+                break
+            pair = heapq.heappop(best)[1]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*out, strict=True)], ["t", "a", "b"])
+
+    top = counts.orderBy(F.col("cnt").desc(), "a", "b").limit(pairs)
+    both = frequent.select(F.lit(False).alias("pair"), "freq", "ids").unionByName(top.select(F.lit(True).alias("pair"), F.col("cnt").alias("freq"), F.array("a", "b").alias("ids")))
+    return [(r.a, r.b) for r in sorted(both.coalesce(1).mapInArrow(run, "t int, a int, b int").collect())]
+
+
+def _changes(words: DataFrame, merges: list[Pair], guess: list[Pair], memory: int = 300_000) -> DataFrame:
+    """(t, a, b, d): how each guessed merge would change each pair's total, after the merges and the guesses before it. Only words that have one of the
+    pairs are taken up; each batch of them is indexed by pair."""
+    known, asked = _keys(merges), _keys([*merges, *guess])
+
+    def run(batches):
+        rank, out = {p: 256 + i for i, p in enumerate(merges)}, defaultdict(int)
+
+        def rows():
+            cols = list(zip(*((*k, d) for k, d in out.items() if d), strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["t", "a", "b", "d"])
+
+        for batch in batches:
+            some = batch.filter(pa.array(_rows_with(batch, asked)))
+            older = _rows_with(some, known) if len(some) else ()
+            words = Symbols((f, merge_by_rank(ids, rank) if old else ids) for f, ids, old in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), older, strict=True))
+            for t, pair in enumerate(guess):
+                for p, d in words.merge(pair, 256 + len(merges) + t).items():
+                    out[(t, *p)] += d
+            if len(out) > memory:
+                yield rows()
+                out.clear()
+        yield rows()
+
+    parts = words.mapInArrow(run, "t int, a int, b int, d long")
+    return parts.groupBy("t", "a", "b").agg(F.sum("d").alias("d")).filter("d <> 0")
+
+
+def _merged_words(words: DataFrame, merges: list[Pair]) -> DataFrame:
+    """(freq, ids) with the merges done; words of one id go."""
+    known = _keys(merges)
+
+    def run(batches):
+        rank = {p: 256 + i for i, p in enumerate(merges)}
         for batch in batches:
-            ids = [merged(tuple(w), pair, new) for w in batch.column(1).to_pylist()]
+            ids = [merge_by_rank(w, rank) if old else w for w, old in zip(batch.column(1).to_pylist(), _rows_with(batch, known), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["freq", "ids"])
 
-    return words.mapInArrow(run, "freq long, ids array<int>")
+    return words.mapInArrow(run, "freq long, ids array<int>").filter(F.size("ids") > 1)
+
 
+def _right(counts: DataFrame, changes: DataFrame, guess: list[Pair]) -> int:
+    """How many of the guessed merges are the best pair each at its turn, over all words.
 
-def train_spread(hist: DataFrame, vocab: int) -> list[Pair]:
-    """The same merges over a table (chunk, freq) of any size: each merge is one count and one pass over the words that still have a pair."""
+    A pair's total is a step function of the merges done. The driver gets the totals of the guessed pairs at their turns; a row of any other step
+    then says by itself the first turn at which its pair would have been better.
+    """
+    n, w = len(guess), Window.partitionBy("a", "b").orderBy("t")
+    steps = counts.select(F.lit(-1).alias("t"), "a", "b", F.col("cnt").alias("d")).unionByName(changes)
+    held = steps.select("a", "b", (F.col("t") + 1).alias("first"), F.coalesce(F.lead("t").over(w) + 1, F.lit(n)).alias("end"), F.sum("d").over(w).alias("cnt"))
+    held = stored(held.filter("cnt > 0 and first < end"), "steps")
+    turn = {p: t for t, p in enumerate(guess)}
+    own = held.join(F.broadcast(counts.sparkSession.createDataFrame([(t, *p) for p, t in turn.items()], "t int, a int, b int")), ["a", "b"]).filter("first <= t and t < end")
+    total = {r.t: r.cnt for r in own.select("t", "cnt").collect()}
+    n = next((t for t, p in enumerate(guess) if t not in total or turn[p] != t), n)  # a guess that stands nowhere
+    at, a, b = (F.lit(list(x)) for x in ([total[t] for t in range(n)], *zip(*guess[:n], strict=True)))
+
+    def better(t: Column) -> Column:
+        lower = (F.col("a") < F.get(a, t)) | ((F.col("a") == F.get(a, t)) & (F.col("b") < F.get(b, t)))
+        return (F.col("cnt") > F.get(at, t)) | ((F.col("cnt") == F.get(at, t)) & lower)
+
+    able = held.filter((F.col("cnt") >= min(total[t] for t in range(n))) & (F.col("first") < n))
+    wrong = able.select(F.array_min(F.filter(F.sequence("first", F.least(F.col("end"), F.lit(n)) - 1), better)).alias("t")).agg(F.min("t")).first()[0]
+    return n if wrong is None else wrong
+
+
+def merge_rounds(hist: DataFrame, vocab: int, frequent: int = 200_000, ahead: int = 64, most: int = 1024) -> Iterator[list[Pair]]:
+    """The merges of a table (chunk, freq) of any size, in order, some of them a round.
+
+    Each round guesses the next merges from the most frequent words, counts in one pass over all words how they would change the pairs' totals, and keeps the
+    guesses up to the first that another pair beats. So the merges are those of all words; the guess decides only how many a round finds. Its
+    first one is the best pair of the table of totals, so no round finds none. The totals are a table that the accepted changes are added to; the words are
+    written anew after ``most`` merges, and taken as merged till then. Neither comes to the driver, which gets the guessed pairs and their totals.
+
+    frequent: words that guesses are made from (of 256 bytes at most); ahead: the first number of guesses, which doubles as long as they are right.
+    """
     words = stored(hist.filter(F.octet_length("chunk") > 1).select("freq", bytes_of(F.col("chunk")).alias("ids")), "words")
+    usual = stored(words.filter(F.size("ids") <= 256).orderBy(F.col("freq").desc(), "ids").limit(frequent), "frequent")
+    counts = stored(id_pair_counts(words), "pairs")
     merges: list[Pair] = []
-    while len(merges) < vocab - 256:
-        best = best_pair(id_pair_counts(words)).first()
+    written = 0
+    while (left := vocab - 256 - len(merges)) > 0:
+        best = best_pair(counts).first()
         if best.cnt is None:
-            break
-        merges.append((best.a, best.b))
-        if len(merges) < vocab - 256:
-            words = stored(_merge_in(words, merges[-1], 255 + len(merges)).filter(F.size("ids") > 1), "words")
-    return merges
-
-
-def train(docs: DataFrame, vocab: int, max_words: int = 1_000_000) -> Tokenizer:
-    """Counts pre-tokens in Spark, then merges: on the driver up to max_words different ones, else over their table. No pre-token is left out."""
+            return
+        guess = _guess(usual, counts, merges, (best.a, best.b), min(ahead, left))
+        changes = stored(_changes(words, merges, guess), "changes")
+        n = _right(counts, changes, guess)
+        merges += guess[:n]
+        yield guess[:n]
+        if n == left:
+            return
+        done = changes.filter(F.col("t") < n).select("a", "b", F.col("d").alias("cnt"))
+        counts = stored(counts.select("a", "b", "cnt").unionByName(done).groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"), "pairs")
+        if len(merges) - written >= most:
+            words, written = stored(_merged_words(words, merges), "words"), len(merges)
+        ahead = min(most, max(16, 2 * n))
+
+
+def train(docs: DataFrame, vocab: int, frequent: int = 200_000) -> Tokenizer:
+    """Counts pre-tokens in Spark, and merges over their table. No pre-token is left out, and the plan is the same at every size."""
     hist = stored(histogram(docs), "pretokens")
-    if hist.count() > max_words:
-        return Tokenizer(train_spread(hist, vocab))
-    return Tokenizer(train_fast({r.chunk: r.freq for r in hist.collect()}, vocab))
+    return Tokenizer([p for some in merge_rounds(hist, vocab, frequent) for p in some])
 
 
 #: Texts that a trained tokenizer must give back as they were.
