@@ -82,3 +82,9 @@ def test_bands_must_divide():
 def test_anchors_on_the_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("doc_id", "doc_idx")
     assert dedup.dedup(docs).count() == 186
+
+
+def test_exact_dedup_of_nulls_and_repeats(spark):
+    rows = [(5, "a"), (1, "b"), (5, "b"), (5, "b"), (2, None), (3, None), (None, None), (None, "b"), (None, "c"), (None, "c"), (7, "d"), (7, "d"), (8, "")]
+    got = sorted(((r.doc_idx, r.text) for r in dedup.exact_dedup(spark.createDataFrame(rows, "doc_idx long, text string")).collect()), key=repr)
+    assert got == sorted([(5, "a"), (1, "b"), (2, None), (None, "c"), (None, "c"), (7, "d"), (7, "d"), (8, "")], key=repr)

@@ -290,3 +290,15 @@ def test_a_cut_file_is_an_error(spark, token_files):
     file.write_bytes(file.read_bytes()[:-2])
     with pytest.raises(Exception, match="too early|a mask of"):
         spark.read.format("token_bin").options(path=token_files).load().count()
+
+
+def test_prefix_sums_leave_null_orders_out(spark):
+    rows = spark.createDataFrame([(None, 100), (0, 5), (1, None), (2, 7), (None, 9), (5000, 1)], "i long, v long")
+    got = sorted((r.i, r.before) for r in pack.prefix_sum(rows, F.col("v"), "i", "before").collect())
+    assert got == [(0, 0), (1, 5), (2, 5), (5000, 12)]
+    assert [r.i for r in pack.budget_cut(rows, F.col("v"), "i", 6).orderBy("i").collect()] == [0, 1, 2]
+
+
+def test_spans_have_any_length(spark, token_files):
+    asked = spark.createDataFrame([(0, 5, 0), (1, 5, 3), (2, 2990, 4000), (3, 11_999, 1), (4, 11_999, 2), (5, None, 3), (6, 3, None)], "key long, offset long, n long")
+    assert {r.key: r.ids for r in token_bin.spans(asked, token_files).collect()} == {0: [], 1: [5, 6, 7], 2: list(range(2990, 6990)), 3: [11_999]}

@@ -173,8 +173,12 @@ def dedup_stats(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The first row of each different text: only ids and digests are shuffled."""
-    keyed = docs.select("doc_idx", F.md5(F.col("text")).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min("doc_idx").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = join_unique(keyed, stored(first, "copies"), "digest", "n", docs.count()).filter("doc_idx <> first").select("doc_idx")
-    return docs.join(again, "doc_idx", "left_anti")
+    """The first row of each different text, null texts being equal; a null id comes last. Rows that repeat text and id all stay if they are first.
+
+    Ids and digests alone are shuffled to find the rows that go; they are known by both.
+    """
+    own = {"_d": F.coalesce(F.md5("text"), F.lit("")), "_i": F.coalesce(F.col("doc_idx").cast("long"), F.lit(0).cast("long")), "_n": F.col("doc_idx").isNull()}
+    keyed = docs.select("doc_idx", *(c.alias(k) for k, c in own.items()))
+    first = keyed.groupBy("_d").agg(F.min("doc_idx").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    again = join_unique(keyed, stored(first, "copies"), "_d", "n", docs.count()).filter("not doc_idx <=> first").select(*own)
+    return docs.withColumns(own).join(again.distinct(), list(own), "left_anti").drop(*own)

@@ -20,9 +20,9 @@ _UNIT = float(1 << 53)
 def prefix_sum(df: DataFrame, value: Column, order: str, name: str, width: int = RANGE) -> DataFrame:
     """df with name: the sum of value over the rows before, by order (a dense integer, such as a document index).
 
-    The totals of ranges of width indexes are summed over a table a width-th as long, itself in two levels.
+    A null value counts as 0. Rows with a null order stand nowhere: they are left out, and count into no sum. The totals of ranges of width indexes are summed over a table a width-th as long, itself in two levels.
     """
-    rows = df.withColumn("_v", value.cast("long")).withColumn("_r", F.floor(F.col(order) / width).cast("long"))
+    rows = df.filter(F.col(order).isNotNull()).withColumn("_v", F.coalesce(value.cast("long"), F.lit(0).cast("long"))).withColumn("_r", F.floor(F.col(order) / width).cast("long"))
     sums = rows.groupBy("_r").agg(F.sum("_v").alias("_s")).withColumn("_q", F.floor(F.col("_r") / width).cast("long"))
     tops = sums.groupBy("_q").agg(F.sum("_s").alias("_t"))
     top = tops.select("_q", F.coalesce(F.sum("_t").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))

@@ -401,8 +401,15 @@ def best_pair(spark, sf_dir):
     return bpe.best_pair(bpe.pair_counts(bpe.histogram(documents(spark, sf_dir))))
 
 
+_trained: dict[tuple[str, str], list[bpe.Pair]] = {}
+
+
 def _tokenizer(spark, sf_dir) -> bpe.Tokenizer:
-    return bpe.train(documents(spark, sf_dir), _VOCAB)
+    """Trained once for an application and folder."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _trained:
+        _trained[at] = bpe.train(documents(spark, sf_dir), _VOCAB).merges
+    return bpe.Tokenizer(list(_trained[at]))
 
 
 @query()
@@ -558,6 +565,26 @@ def pack_corpus(spark, sf_dir):
     return out
 
 
+@query(f"SELECT doc_id, {_COIN.format('CAST(doc_id AS VARCHAR)', int(0.1 * (1 << 32)))} AS split, md5(text) AS digest, true AS ended FROM documents")
+def trained_corpus(spark, sf_dir):
+    """The whole way: a vocabulary trained on the corpus, which is encoded, ended, split and written as token files; then each document is read back by its own range and decoded."""
+    tok, docs, path = _tokenizer(spark, sf_dir), documents(spark, sf_dir), shared_dir(spark, "trained")
+    end = tok.end_id
+    token_bin.install(spark)
+    rows = stored(pack.pack_corpus(bpe.encode_documents(docs, tok), F.col("ids"), "doc_id", pack.hash_split(F.col("doc_id"), 0.1), end), "corpus")
+    out = None
+    for name in sorted(r.split for r in rows.select("split").distinct().collect()):
+        own = rows.filter(F.col("split") == name)
+        to = f"{path}/{name}"
+        own.select("start_pos", "ids").repartitionByRange("start_pos").sortWithinPartitions("start_pos").write.format("token_bin").mode("overwrite").options(path=to, dtype=pack.token_dtype(tok.vocab_size), eot_id=end, vocab_size=tok.vocab_size).save()
+        back = token_bin.spans(own.select(F.col("doc_id").alias("key"), F.col("start_pos").alias("offset"), F.size("ids").alias("n")), to)
+        ended = F.get("ids", F.size("ids") - 1) == end
+        plain = bpe.decode_documents(back.select(F.col("key").alias("doc_id"), F.slice("ids", F.lit(1), F.size("ids") - 1).alias("ids")), tok)
+        one = plain.join(back.select(F.col("key").alias("doc_id"), ended.alias("ended")), "doc_id").select("doc_id", F.lit(name).alias("split"), F.md5("text").alias("digest"), "ended")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""WITH enc AS (SELECT conv_id, CAST(sum(strlen(text) + 2) AS BIGINT) AS n_ids, CAST(sum(CASE WHEN role = 'assistant' THEN strlen(text) + 1 ELSE 0 END) AS BIGINT) AS n_learnt FROM conversations GROUP BY conv_id)
 SELECT CAST(sum(n_ids + 1) AS BIGINT) AS tokens, CAST(sum(n_learnt) AS BIGINT) AS learnt, count(*) AS ends FROM enc WHERE n_ids <= 1024""")
 def masked_token_files(spark, sf_dir):

@@ -255,31 +255,51 @@ def row_starts(path: str, offsets: list[int], length: int, block: int = 1 << 16)
     return sorted(out)
 
 
-def windows(offsets: DataFrame, path: str, length: int, masked: bool = False) -> DataFrame:
-    """(window, x, y[, m]) of (window, offset): each task reads the bytes of its own windows of length + 1 ids, and nothing else; there is no join, no shuffle and
-    no bound on the number of windows. Windows that begin before the first or end after the last token are left out, as are null offsets. m goes with y."""
+def _cutter(path: str):
+    """(meta, read): read(first position, n, mask) takes n ids, or their masks, from as many files as they lie in."""
     folder = _folder(path)
     meta = metadata(folder)
+    files, first = meta["files"], [s for _, s, _ in meta["files"]]
+
+    def read(off: int, n: int, mask: bool = False) -> np.ndarray:
+        kind, name = (np.dtype("u1"), _mask_of) if mask else (_kind(meta), str)
+        k, parts = max(0, bisect.bisect_right(first, off) - 1), [np.zeros(0, np.int32)]
+        while n and k < len(files):
+            file, s, m = files[k]
+            take = max(0, min(n, s + m - off))
+            parts.append(_ids(os.path.join(folder, name(file)), kind, off - s, take).astype(np.int32))
+            off, n, k = off + take, n - take, k + 1
+        return np.concatenate(parts)
+
+    return meta, read
+
+
+def spans(asked: DataFrame, path: str) -> DataFrame:
+    """(key, ids) of (key, offset, n): each task reads the bytes of its own spans, whatever their number. Spans that the stream doesn't hold whole and null
+    ones are left out."""
+    meta, read = _cutter(path)
 
     def run(batches):
-        files, first = meta["files"], [s for _, s, _ in meta["files"]]
+        for batch in batches:
+            rows = [(k, o, n) for k, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if o is not None and n is not None and 0 <= o <= o + n <= meta["n_tokens"]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), pa.array([read(o, n) for _, o, n in rows], pa.list_(pa.int32()))], ["key", "ids"])
+
+    return asked.select(*(F.col(c).cast("long").alias(c) for c in ("key", "offset", "n"))).mapInArrow(run, "key long, ids array<int>")
 
-        def cut(off: int, kind: np.dtype, name) -> np.ndarray:
-            k, parts, left = max(0, bisect.bisect_right(first, off) - 1), [], length + 1
-            while left and k < len(files):
-                file, s, n = files[k]
-                take = max(0, min(left, s + n - off))
-                parts.append(_ids(os.path.join(folder, name(file)), kind, off - s, take))
-                off, left, k = off + take, left - take, k + 1
-            return np.concatenate(parts).astype(np.int32)
 
+def windows(offsets: DataFrame, path: str, length: int, masked: bool = False) -> DataFrame:
+    """(window, x, y[, m]) of (window, offset): each task reads the bytes of its own windows of length + 1 ids, and nothing else; there is no join, no shuffle and
+    no bound on the number of windows. Windows that begin before the first or end after the last token are left out, as are null offsets. m goes with y."""
+    meta, read = _cutter(path)
+
+    def run(batches):
         for batch in batches:
             at = [(w, o) for w, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if o is not None and 0 <= o <= meta["n_tokens"] - length - 1]
-            ids = np.array([cut(o, _kind(meta), str) for _, o in at], np.int32).reshape(-1, length + 1)
+            ids = np.array([read(o, length + 1) for _, o in at], np.int32).reshape(-1, length + 1)
             rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * length + 1, length, dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1)))
             cols = [pa.array([w for w, _ in at], pa.int64()), rows(ids[:, :-1]), rows(ids[:, 1:])]
             if masked:
-                cols.append(rows(np.array([cut(o, np.dtype("u1"), _mask_of) for _, o in at], np.int32).reshape(-1, length + 1)[:, 1:]))
+                cols.append(rows(np.array([read(o, length + 1, True) for _, o in at], np.int32).reshape(-1, length + 1)[:, 1:]))
             yield pa.RecordBatch.from_arrays(cols, ["window", "x", "y", *["m"] * masked])
 
     asked = offsets.select(F.col("window").cast("long").alias("window"), F.col("offset").cast("long").alias("offset"))
