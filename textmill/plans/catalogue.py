@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward
 from ..operators.storage import shared_dir, stored
 from ..sources import registry, token_bin
+from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,6 +250,18 @@ def shard_scan(spark, sf_dir):
     return registry.read_shards(spark, path).select("id", "text")
 
 
+@query("SELECT doc_id, CAST(length(trim(text)) AS BIGINT) AS chars FROM documents WHERE length(trim(text)) >= 200")
+def resumed_ingest(spark, sf_dir):
+    """Byte-rotated shards of the documents, taken in by a streaming query that is started three times, each time with more shards in its folder."""
+    base = shared_dir(spark, "ingest")
+    docs, schema = documents(spark, sf_dir).select("doc_id", "text"), "doc_id long, text string"
+    half = docs.agg(F.max("doc_id")).first()[0] // 2
+    for k, part in enumerate((docs.filter(F.col("doc_id") <= half), docs.filter(F.col("doc_id") > half), docs.limit(0))):
+        registry.write_byte_shards(part, f"{base}/in/{k}", "doc_id", 1 << 20, "doc_id", "text")
+        streams.ingest_stream(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out").select("doc_id", long(F.length("text")).alias("chars"))
+
+
 @query("""SELECT b // 100000 AS shard, count(*) AS docs, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT strlen(text) + 1 AS n, CAST(coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM documents) GROUP BY 1""")
 def byte_shards(spark, sf_dir):
     """Shards that turn over by bytes, in order."""

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import strip
 from ..operators.bpe import StreamDecoder, Tokenizer
 from ..operators.quality import QualityConfig, check_documents
+from ..sources import shard_stream
 
 
 def filter_stream(docs: DataFrame, out: str, checkpoint: str, cfg: QualityConfig = QualityConfig()) -> StreamingQuery:
@@ -20,6 +22,20 @@ def filter_stream(docs: DataFrame, out: str, checkpoint: str, cfg: QualityConfig
     return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_stream(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, min_chars: int = 200, budget: int | None = None) -> StreamingQuery:
+    """Writes what is new in a folder of JSON-line shards to Parquet files: text stripped, rows of fewer than min_chars characters left out.
+
+    schema: the columns, text among them; lines that are no JSON have a null text and go. Offsets are (shard, byte), so a query that is stopped and started
+    again on its checkpoint loses and repeats no row; the budget ends it at the line that reaches it.
+    """
+    shard_stream.install(spark)
+    lines = spark.readStream.format("shard_lines").option("path", path)
+    lines = (lines if budget is None else lines.option("budget", budget)).load()
+    rows = lines.select("shard", "byte", F.from_json("line", schema).alias("row")).select("shard", "byte", "row.*").withColumn("text", strip(F.col("text")))
+    long_ = rows.filter(F.length("text") >= min_chars)
+    return long_.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def dedup_stream(docs: DataFrame, out: str, checkpoint: str, key: str = "text") -> StreamingQuery:
     """Writes documents whose text an earlier micro-batch or row has not had: an anti join with what is written, by digest."""
 
