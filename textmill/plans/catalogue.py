@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward
+from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward, temporal
 from ..operators.storage import shared_dir, stored
 from ..sources import registry, token_bin
 from ..streaming import streams
@@ -1088,3 +1088,51 @@ def rollout_scores(spark, sf_dir):
     prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("question"), F.lit("7").alias("gold"))
     rows = model.rollout(prompts, model.successor_weights(_NEXT), _NEXT, bpe.Tokenizer([]), chat.ChatFormat(1, 64, 3), 2, 8, 600)
     return rows.select("row_id", long("sample_idx").alias("sample_idx"), "text", "reward", long(F.size("ids")).alias("width"), _ones("mask").alias("learnt"))
+
+
+# ---------------------------------------------------------------- timed rows
+
+_GAP, _DELAY = 1800, 7200
+
+
+@query("""SELECT c.click_id, s.sale_id FROM clicks c ASOF LEFT JOIN (SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY client_id, sold_at) s
+ON c.client_id = s.client_id AND c.ts >= s.sold_at""")
+def clicks_last_sale(spark, sf_dir):
+    """Each click with its client's last sale at or before it."""
+    clicks, sales = table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales")
+    return temporal.asof_join(clicks.select("click_id", "client_id", "ts"), sales, "client_id", "ts", "sold_at", ["sale_id"], "sale_id").select("click_id", "sale_id")
+
+
+_SESSIONS = f"""t AS (SELECT client_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, click_id) AS i FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL{{late}}),
+f AS (SELECT client_id, t, i, CASE WHEN t - lag(t) OVER (PARTITION BY client_id ORDER BY i) <= {_GAP * 1_000_000} THEN 0 ELSE 1 END AS fresh FROM t),
+g AS (SELECT client_id, t, sum(fresh) OVER (PARTITION BY client_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+s AS (SELECT client_id, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM g GROUP BY client_id, run)"""
+_IN_TIME = f" AND epoch_us(arrived_at) - epoch_us(ts) <= {_DELAY * 1_000_000}"
+
+
+@query(f"WITH {_SESSIONS.format(late='')} SELECT client_id, first_us, last_us, n FROM s")
+def click_sessions(spark, sf_dir):
+    """Runs of a client's clicks with half an hour between them at most."""
+    got = temporal.sessions(table(spark, sf_dir, "clicks"), "client_id", "ts", _GAP)
+    return got.select("client_id", temporal.micros(F.col("first")).alias("first_us"), temporal.micros(F.col("last")).alias("last_us"), "n")
+
+
+@query(f"""WITH {_SESSIONS.format(late=_IN_TIME)} SELECT client_id, first_us, last_us, n, false AS late FROM s WHERE last_us + {_GAP * 1_000_000} <= (SELECT max(t) // 1000 * 1000 FROM t) - {_DELAY * 1_000_000}
+UNION ALL SELECT client_id, epoch_us(ts), epoch_us(ts), 1, true FROM clicks WHERE NOT coalesce(client_id IS NOT NULL{_IN_TIME}, false)""")
+def click_session_stream(spark, sf_dir):
+    """The same of a stream: the sessions that are closed once all clicks have arrived, in three starts on one checkpoint, and the late clicks."""
+    clicks, base = table(spark, sf_dir, "clicks"), shared_dir(spark, "sessions")
+    low, high = clicks.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    third = (high - low) / 3
+    for k in range(3):
+        since = F.lit(True) if k == 0 else F.col("arrived_at") >= F.lit(low + k * third)
+        until = F.lit(True) if k == 2 else F.col("arrived_at") < F.lit(low + (k + 1) * third)
+        part = clicks.filter(F.coalesce(since & until, F.lit(k == 2)))
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(clicks.schema).parquet(f"{base}/in")
+        for q in streams.session_stream(stream, "client_id", "ts", "arrived_at", _GAP, _DELAY, f"{base}/out", f"{base}/late", f"{base}/state"):
+            q.awaitTermination()
+    us = temporal.micros
+    closed = spark.read.parquet(f"{base}/out").select("client_id", us(F.col("first")).alias("first_us"), us(F.col("last")).alias("last_us"), "n", F.lit(False).alias("late"))
+    late = spark.read.schema(clicks.schema).parquet(f"{base}/late").select("client_id", us(F.col("ts")).alias("first_us"), us(F.col("ts")).alias("last_us"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("late"))
+    return closed.unionByName(late)

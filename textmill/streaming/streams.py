@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import strip
 from ..operators.bpe import StreamDecoder, Tokenizer
 from ..operators.quality import QualityConfig, check_documents
+from ..operators.temporal import micros
 from ..sources import shard_stream
 
 
@@ -36,6 +37,22 @@ def ingest_stream(spark: SparkSession, path: str, schema: str, out: str, checkpo
     return long_.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def session_stream(events: DataFrame, key: str, time: str, arrived: str, gap: int, delay: int, out: str, late: str, checkpoint: str) -> list[StreamingQuery]:
+    """Sessions of a stream of events as they close, and the rows that came too late for them, each in a folder of Parquet files.
+
+    A row is late if it arrived more than delay seconds after its time, which depends on the row alone, whatever comes with it. All others are at or
+    after the watermark of every row that arrived before them, so none is dropped, and the sessions that are written are those of a batch over the rows that
+    are not late, in any order of arrival. Rows with a null key, time or arrival are late.
+    """
+    at = F.col(time).cast("timestamp")
+    known = F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(arrived).isNotNull()
+    in_time = F.coalesce(known & (micros(F.col(arrived)) - micros(F.col(time)) <= delay * 1_000_000), F.lit(False))
+    rows = events.filter(in_time).select(F.col(key).alias(key), at.alias("_at")).withWatermark("_at", f"{delay} seconds")
+    closed = rows.groupBy(key, F.session_window("_at", f"{gap} seconds").alias("_s")).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count(F.lit(1)).alias("n")).drop("_s")
+    write = lambda df, to, name: df.writeStream.format("parquet").option("path", to).option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append").trigger(availableNow=True).start()
+    return [write(closed, out, "sessions"), write(events.filter(~in_time), late, "late")]
+
+
 def dedup_stream(docs: DataFrame, out: str, checkpoint: str, key: str = "text") -> StreamingQuery:
     """Writes documents whose text an earlier micro-batch or row has not had: an anti join with what is written, by digest."""
 
