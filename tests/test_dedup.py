@@ -88,3 +88,26 @@ def test_exact_dedup_of_nulls_and_repeats(spark):
     rows = [(5, "a"), (1, "b"), (5, "b"), (5, "b"), (2, None), (3, None), (None, None), (None, "b"), (None, "c"), (None, "c"), (7, "d"), (7, "d"), (8, "")]
     got = sorted(((r.doc_idx, r.text) for r in dedup.exact_dedup(spark.createDataFrame(rows, "doc_idx long, text string")).collect()), key=repr)
     assert got == sorted([(5, "a"), (1, "b"), (2, None), (None, "c"), (None, "c"), (7, "d"), (7, "d"), (8, "")], key=repr)
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "random", "ring", "none", "repeats"])
+def test_components_of_any_shape(spark, shape):
+    rng = random.Random(1)
+    edges = {
+        "star": [(7, i) for i in range(100, 8100)], "chain": [(i, i + 1) for i in range(3000)], "random": [(rng.randrange(900), rng.randrange(900)) for _ in range(600)],
+        "ring": [(i, (i + 1) % 500) for i in range(500)] + [(1000, 1001)], "none": [], "repeats": [(5, 6), (6, 5), (5, 5), (5, 6), (9, 9)],
+    }[shape]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r.doc_idx: r.component for r in dedup.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for x in list(root)}

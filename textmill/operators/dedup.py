@@ -125,21 +125,41 @@ def confirmed_edges(edges: DataFrame, sigs: DataFrame, threshold: float = 0.8) -
     return both.filter(F.col("estimate") >= threshold).select("src", "dst", "estimate")
 
 
+def _counted(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _mapped(rows: DataFrame, roots: DataFrame, key: str, to: str) -> DataFrame:
+    """Stored rows with what roots (node, root) has for key, in a column; keys that very many rows have are joined apart."""
+    own = stored(roots.select(F.col("node").alias(key), F.col("root").alias(to)).join(_counted(rows, key), key), "mapped")
+    return join_unique(rows, own, key, "_n").drop("_n")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(doc_idx, component): the smallest document of each component, for documents with an edge.
 
-    Labels spread along edges and jump to their label's label until none changes; each round is a stored table.
+    Each round maps every node to that of itself and its neighbours whose hash is the smallest, and contracts the graph to what they are mapped to. Hashes have no order
+    that a chain of documents could follow, so a round leaves a constant share of the nodes at most in expectation, and stars vanish at once. Every round is a
+    stored table; a node with very many edges is aggregated before the shuffle and joined apart.
     """
-    both = stored(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionAll(edges.select("dst", "src")).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        now = stored(spread.join(jump, "label").select("u", "old", F.least("label", "further").alias("label")), "labels")
-        labels = now.select("u", "label")
-        if not now.filter("label <> old").limit(1).count():
-            return labels.select(F.col("u").alias("doc_idx"), F.col("label").alias("component"))
+    pairs = lambda df, u, v: df.filter(F.col(u) != F.col(v)).select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
+    left, maps = stored(pairs(edges, "src", "dst"), "edges"), []
+    while left.limit(1).count():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(left.select("b", "a"))
+        hashed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        near = both.groupBy("node").agg(F.min(hashed("to")).alias("to"))
+        low = stored(near.select("node", F.least("to", hashed("node"))["id"].alias("root")), "roots")
+        maps.append(low)
+        ends = _mapped(stored(_mapped(left, low, "a", "ra"), "half"), low, "b", "rb")
+        left = stored(pairs(ends, "ra", "rb"), "edges")
+    if not maps:
+        return left.select(F.col("a").alias("doc_idx"), F.col("b").alias("component"))
+    out = maps[0]
+    for low in maps[1:]:
+        on = _mapped(out, low, "root", "further").select("node", F.col("further").alias("root"))
+        out = stored(on.unionByName(out.join(low.select(F.col("node").alias("root")), "root", "left_anti")), "roots")
+    first = out.groupBy("root").agg(F.least(F.min("node"), F.min("root")).alias("component")).select(F.col("root").alias("node"), F.col("component").alias("root"))
+    return _mapped(out, first, "root", "component").select(F.col("node").alias("doc_idx"), "component")
 
 
 def clusters(sigs: DataFrame, bands: int = 16, num_perm: int = 128, threshold: float = 0.8) -> DataFrame:
@@ -159,8 +179,8 @@ def dedup(docs: DataFrame, num_perm: int = 128, bands: int = 16, threshold: floa
     sigs = stored(signatures(docs, num_perm, seed), "signatures")
     near = stored(clusters(sigs, bands, num_perm, threshold), "clusters")
     weights = docs.select("doc_idx", weight.alias("chars")) if weight is not None else sigs.select("doc_idx", "chars")
-    best = winners(near.join(weights, "doc_idx"))
-    losers = near.join(best, "component").filter("doc_idx <> winner").select("doc_idx")
+    best = stored(winners(near.join(weights, "doc_idx")), "winners")
+    losers = join_unique(near, best, "component", "members").filter("doc_idx <> winner").select("doc_idx")
     return docs.join(losers, "doc_idx", "left_anti")
 
 
