@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward, temporal
+from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward, sketches, temporal
 from ..operators.storage import shared_dir, stored
 from ..sources import registry, token_bin
 from ..streaming import streams
@@ -1090,6 +1090,21 @@ def rollout_scores(spark, sf_dir):
     return rows.select("row_id", long("sample_idx").alias("sample_idx"), "text", "reward", long(F.size("ids")).alias("width"), _ones("mask").alias("learnt"))
 
 
+# ---------------------------------------------------------------- sketches
+
+
+@query(f"""WITH {_CHECKED}, r AS (SELECT d.lang, d.source, unnest(CASE WHEN len(fails) = 0 THEN ['kept'] ELSE fails END) AS rule, length(d.text) AS chars FROM checked JOIN documents d USING (doc_id))
+SELECT lang, source, rule, grouping(lang, source, rule) AS level, count(*) AS n, min(chars) AS low, max(chars) AS high FROM r GROUP BY CUBE (lang, source, rule)""")
+def rule_cube(spark, sf_dir):
+    """Documents by language, source and failed rule, and by every subset of these, merged from sketches that are made a part of the corpus at a time and stored."""
+    dims = ["lang", "source", "rule"]
+    rule = F.explode(F.when(F.size("fails") == 0, F.array(F.lit("kept"))).otherwise(F.col("fails"))).alias("rule")
+    rows = _checked(spark, sf_dir).select("lang", "source", rule, "text", F.length("text").alias("chars"))
+    parts = [sketches.sketched(rows.filter(part), dims, F.col("text"), F.col("chars")) for part in (F.col("chars") % 2 == 0, F.col("chars") % 2 == 1)]
+    got = sketches.cube(stored(parts[0].unionByName(parts[1]), "sketches"), dims)
+    return got.select(*dims, long("level").alias("level"), "n", sketches.quantile("spread", 0.0).alias("low"), sketches.quantile("spread", 1.0).alias("high"))
+
+
 # ---------------------------------------------------------------- timed rows
 
 _GAP, _DELAY = 1800, 7200
