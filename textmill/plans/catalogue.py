@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, chat, dedup, evaluate, model, objectives, pack, quality, reward, sketches, temporal
+from ..operators import bpe, chat, dedup, evaluate, mainpage, model, objectives, pack, quality, reward, sketches, temporal
 from ..operators.storage import shared_dir, stored
 from ..sources import registry, token_bin
 from ..streaming import streams
@@ -1090,6 +1090,13 @@ def rollout_scores(spark, sf_dir):
     return rows.select("row_id", long("sample_idx").alias("sample_idx"), "text", "reward", long(F.size("ids")).alias("width"), _ones("mask").alias("learnt"))
 
 
+@query()
+def page_main_text(spark, sf_dir):
+    """The main text of each page."""
+    got = mainpage.main_texts(table(spark, sf_dir, "pages"))
+    return got.select("page_id", long(F.length("text")).alias("chars"), F.md5("text").alias("digest"), "first", "end")
+
+
 # ---------------------------------------------------------------- sketches
 
 
