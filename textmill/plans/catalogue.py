@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, chat, dedup, evaluate, mainpage, model, objectives, pack, quality, reward, sketches, temporal
+from ..operators import bpe, chat, dedup, evaluate, language, mainpage, model, objectives, pack, quality, reward, sketches, temporal
 from ..operators.storage import shared_dir, stored
 from ..sources import registry, token_bin
 from ..streaming import streams
@@ -156,6 +156,14 @@ def score_filter(spark, sf_dir):
     return quality.check_documents(rows, quality.QualityConfig(min_score=1.0)).select("doc_id", F.array_join("fails", "+").alias("fails"))
 
 
+@query()
+def language_rule(spark, sf_dir):
+    """The language rule with a computed score: profiles of the documents' own languages, each document's probability of the one that it claims."""
+    docs = documents(spark, sf_dir)
+    rows = language.scored(docs.select("doc_id", "text", "lang"), language.train(docs))
+    return quality.check_documents(rows).select("doc_id", "language", r6("language_score", "language_score"), F.array_contains("fails", "low_language_score").alias("fails"))
+
+
 # ---------------------------------------------------------------- sources, caps, budgets
 
 _BUDGET = 1_000_000
