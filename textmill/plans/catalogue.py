@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, chat, dedup, evaluate, language, mainpage, model, objectives, pack, quality, reward, sketches, temporal
+from ..operators import bpe, chat, dedup, evaluate, language, mainpage, model, objectives, pack, quality, reward, sketches, temporal, vectors
 from ..operators.storage import shared_dir, stored
 from ..sources import registry, token_bin
 from ..streaming import streams
@@ -1098,6 +1098,16 @@ def rollout_scores(spark, sf_dir):
     return rows.select("row_id", long("sample_idx").alias("sample_idx"), "text", "reward", long(F.size("ids")).alias("width"), _ones("mask").alias("learnt"))
 
 
+@query()
+def vector_search(spark, sf_dir):
+    """The ten nearest of all embeddings for each whose id is divisible by 100, by inverted lists of product-quantised residuals."""
+    rows = table(spark, sf_dir, "embeddings")
+    book = vectors.fit(rows, "vec_id", "embedding")
+    codes = stored(vectors.index(rows, "vec_id", "embedding", book), "codes")
+    got = vectors.search(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", book, codes)
+    return got.select("query", long("rank").alias("rank"), F.col("id").alias("vec_id"), r6("distance", "distance"))
+
+
 @query()
 def page_main_text(spark, sf_dir):
     """The main text of each page."""
