@@ -302,3 +302,18 @@ def test_prefix_sums_leave_null_orders_out(spark):
 def test_spans_have_any_length(spark, token_files):
     asked = spark.createDataFrame([(0, 5, 0), (1, 5, 3), (2, 2990, 4000), (3, 11_999, 1), (4, 11_999, 2), (5, None, 3), (6, 3, None)], "key long, offset long, n long")
     assert {r.key: r.ids for r in token_bin.spans(asked, token_files).collect()} == {0: [], 1: [5, 6, 7], 2: list(range(2990, 6990)), 3: [11_999]}
+
+
+def test_penalty_counts_the_prompt_but_never_the_end():
+    c = objectives.ModelConfig(vocab_size=50, dim=16, n_layers=1, n_heads=4, n_kv_heads=2, hidden_dim=24)
+    w, prompt, eot = model.initial_weights(c, 3), [3, 7, 11, 2], 2
+    ids, want = list(prompt), []
+    for _ in range(8):
+        x = model.forward(w, c, ids)[-1].astype(float)
+        for i in set(ids) - {eot}:
+            x[i] = x[i] / 1.5 if x[i] > 0 else x[i] * 1.5
+        if int(x.argmax()) == eot:
+            break
+        want.append(int(x.argmax()))
+        ids.append(want[-1])
+    assert model.generate(w, c, prompt, 8, eot, penalty=1.5) == want

@@ -113,11 +113,11 @@ def pick(logits: np.ndarray, seen: set[int], temperature: float, top_k: int | No
 
 
 def generate(w: Weights, c: ModelConfig, prompt: list[int], n: int, eot: int | None = None, temperature: float = 0.0, top_k: int | None = None, penalty: float = 1.0, seed: int = 0) -> list[int]:
-    """Up to n new ids; the end id ends and is not returned. Ids generated are the ones penalised."""
+    """Up to n new ids; the end id ends and is not returned. The prompt's ids and those generated are penalised, the end id never."""
     g, cache, out = np.random.default_rng(seed), Cache(c.n_layers), []
     logits = forward(w, c, prompt, cache)[-1]
     while len(out) < n:
-        i = pick(logits, set(out), temperature, top_k, penalty, g)
+        i = pick(logits, {*prompt, *out} - {eot}, temperature, top_k, penalty, g)
         if i == eot:
             break
         out.append(i)
