@@ -173,9 +173,12 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, column: str, book:
     return _best(exact, "distance", k).select("query", "rank", "id", "distance")
 
 
-def exact_search(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int = 10) -> DataFrame:
-    """The same by comparing every query with every vector, for measuring recall: the queries, a stated set, go to the tasks in blocks, and each task keeps k for each."""
-    q = queries.select(F.col(key).cast("long").alias("query"), F.col(column).cast("array<float>").alias("v")).toArrow()
+def exact_search(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int = 10, most: int = 20_000) -> DataFrame:
+    """The same by comparing every query with every vector, for measuring recall over at most ``most`` queries, which are broadcast; each task keeps k of its vectors for each."""
+    q = _clean(queries, key, column).limit(most + 1).toArrow()
+    if q.num_rows > most:
+        raise ValueError(f"recall is measured over {most} queries at most")
+    q = q.rename_columns(["query", "v"])
     names, x = np.array(q["query"].to_pylist()), np.array(q["v"].to_pylist(), np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((names, x))
 
