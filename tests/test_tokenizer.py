@@ -40,25 +40,25 @@ def test_training_is_the_naive_one(spark, docs):
         assert [p for r in bpe.merge_rounds(table(spark, small), 400) for p in r] == bpe.train_naive(small, 400)
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_training_equals_the_definition_whatever_the_guesses(spark, seed):
     """Ties, runs of one letter, words that no guess sees, and words that are written anew: the merges are the same."""
     rng = random.Random(seed)
     hist = {"".join(rng.choice("aabbc é") for _ in range(rng.randrange(1, 14))): rng.choice([1, 1, 2, 3, 50]) for _ in range(300)}
-    for vocab, how in ((290, {"frequent": 40, "ahead": 40, "most": 16}), (261, {"frequent": 0})):
+    for vocab, how in ((286, {"frequent": 100, "ahead": 40, "most": 16}), (258, {"frequent": 0})):
         rounds = list(bpe.merge_rounds(table(spark, hist), vocab, **how))
         assert all(rounds) and [p for r in rounds for p in r] == bpe.train_naive(hist, vocab)
 
 
 def test_training_takes_a_tenth_of_the_rounds(spark):
-    """Of 200 merges over the table's documents, with guesses from half of the different words; from all of them, rounds double."""
+    """Of 120 merges over the table's documents, with guesses from half of the different words; from all of them, rounds double."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     hist = bpe.histogram(docs).persist()
     words = {r.chunk: r.freq for r in hist.collect()}
-    rounds = list(bpe.merge_rounds(hist, 456, frequent=len(words) // 2))
-    assert [p for r in rounds for p in r] == bpe.train_naive(words, 456)
-    assert len(rounds) <= 20
-    assert list(map(len, bpe.merge_rounds(hist, 456, frequent=2 * len(words)))) == [64, 128, 8]
+    rounds = list(bpe.merge_rounds(hist, 376, frequent=len(words) // 2))
+    assert [p for r in rounds for p in r] == bpe.train_naive(words, 376)
+    assert len(rounds) <= 12
+    assert list(map(len, bpe.merge_rounds(hist, 376, frequent=2 * len(words)))) == [64, 56]
 
 
 def test_changes_are_those_of_all_words(spark):

@@ -125,16 +125,6 @@ def confirmed_edges(edges: DataFrame, sigs: DataFrame, threshold: float = 0.8) -
     return both.filter(F.col("estimate") >= threshold).select("src", "dst", "estimate")
 
 
-def _counted(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _mapped(rows: DataFrame, roots: DataFrame, key: str, to: str) -> DataFrame:
-    """Stored rows with what roots (node, root) has for key, in a column; keys that very many rows have are joined apart."""
-    own = stored(roots.select(F.col("node").alias(key), F.col("root").alias(to)).join(_counted(rows, key), key), "mapped")
-    return join_unique(rows, own, key, "_n").drop("_n")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(doc_idx, component): the smallest document of each component, for documents with an edge.
 
@@ -143,23 +133,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stored table; a node with very many edges is aggregated before the shuffle and joined apart.
     """
     pairs = lambda df, u, v: df.filter(F.col(u) != F.col(v)).select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
+    hashed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     left, maps = stored(pairs(edges, "src", "dst"), "edges"), []
-    while left.limit(1).count():
+    while n := left.count():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(left.select("b", "a"))
-        hashed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
-        near = both.groupBy("node").agg(F.min(hashed("to")).alias("to"))
-        low = stored(near.select("node", F.least("to", hashed("node"))["id"].alias("root")), "roots")
-        maps.append(low)
-        ends = _mapped(stored(_mapped(left, low, "a", "ra"), "half"), low, "b", "rb")
-        left = stored(pairs(ends, "ra", "rb"), "edges")
+        near = both.groupBy("node").agg(F.min(hashed("to")).alias("to"), F.count(F.lit(1)).alias("_n"))
+        low = stored(near.select("node", F.least("to", hashed("node"))["id"].alias("root"), "_n"), "roots")
+        maps.append(low.select("node", "root"))
+        to = lambda key, root: low.select(F.col("node").alias(key), F.col("root").alias(root), "_n")  # noqa: B023, E731
+        half = stored(join_unique(left, to("a", "ra"), "a", "_n", n).select("ra", "b"), "half")
+        left = stored(pairs(join_unique(half, to("b", "rb"), "b", "_n", n), "ra", "rb"), "edges")
     if not maps:
         return left.select(F.col("a").alias("doc_idx"), F.col("b").alias("component"))
     out = maps[0]
-    for low in maps[1:]:
-        on = _mapped(out, low, "root", "further").select("node", F.col("further").alias("root"))
-        out = stored(on.unionByName(out.join(low.select(F.col("node").alias("root")), "root", "left_anti")), "roots")
-    first = out.groupBy("root").agg(F.least(F.min("node"), F.min("root")).alias("component")).select(F.col("root").alias("node"), F.col("component").alias("root"))
-    return _mapped(out, first, "root", "component").select(F.col("node").alias("doc_idx"), "component")
+    for low in maps[1:]:  # roots that are gone with their edges have no further one
+        further = low.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        out = out.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    out = stored(out, "roots")
+    first = out.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("_n"))
+    return join_unique(out, stored(first, "components"), "root", "_n").select(F.col("node").alias("doc_idx"), "component")
 
 
 def clusters(sigs: DataFrame, bands: int = 16, num_perm: int = 128, threshold: float = 0.8) -> DataFrame:
