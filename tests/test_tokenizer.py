@@ -182,3 +182,60 @@ def test_preferences_and_rollouts(spark):
     r = rows.select(chat.rollout_row(chat.byte_ids(F.col("prompt")), chat.byte_ids(F.col("chosen")), 0, 6).alias("r")).collect()
     assert r[0].r.ids == [112, *b"yes", 0, 0] and r[0].r.mask == [0, 1, 1, 1, 0, 0]
     assert r[1].r.mask == [0] * 6
+
+
+ODD = ["a,b don't've  x\t\x1c!　é é.\x85 ' 's", "<|endoftext|> a <|endoftext|>b  <|endoftext|>", "", None, "z" * 9000 + " " + "ab" * 50, "\n\n a  b_1 2c "]
+
+
+def test_spans_are_encoded_as_whole_texts(spark):
+    """Cuts, words that are encoded together, long ones and special strings: the ids are those of the definition, and carried columns stay."""
+    import regex
+
+    tok = bpe.Tokenizer([(97, 98), (32, 97), (122, 122), (258, 258), (100, 111), (39, 115)])
+    end = tok.end_id
+    rows = spark.createDataFrame([(i, t, i * 7) for i, t in enumerate(ODD)], "doc_id long, text string, n long")
+    plain = lambda t: [x for c in regex.findall(bpe.PATTERN, t) for x in bpe.merge_by_rank(list(c.encode()), tok.rank)]
+    got = {r.doc_id: (r.n, r.ids) for r in bpe.encode_documents(rows, tok, carry=("n",)).collect()}
+    assert got == {i: (i * 7, plain(t or "")) for i, t in enumerate(ODD)}
+    want = {i: [x for k, s in enumerate((t or "").split(tok.END)) for x in [end] * (k > 0) + plain(s)] for i, t in enumerate(ODD)}
+    assert {r.doc_id: r.ids for r in bpe.encode_documents(rows, tok, specials=[tok.END]).collect()} == want
+    back = bpe.decode_documents(bpe.encode_documents(rows, tok, specials=[tok.END], carry=("n",)), tok, carry=("n",))
+    assert {r.doc_id: (r.n, r.text) for r in back.collect()} == {i: (i * 7, t or "") for i, t in enumerate(ODD)}
+
+
+def test_changes_by_arrays_are_those_of_chains():
+    """What a merge changes in the totals, and words that are merged together, against the step-by-step definitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for _ in range(40):
+        words = [(rng.randrange(1, 9), [rng.randrange(3) for _ in range(rng.randrange(1, 9))]) for _ in range(20)]
+        x, w = bpe._laid_out(pa.record_batch([pa.array([f for f, _ in words], pa.int64()), pa.array([i for _, i in words], pa.list_(pa.int32()))], ["freq", "ids"]))
+        chains = bpe.Symbols(words)
+        for new, pair in enumerate([(0, 0), (1, 2), (3, 3), (4, 0)], 3):
+            change = []
+            x, w = bpe._merge_all(x, w, pair, new, change)
+            got = Counter()
+            for keys, d in change:
+                for k, v in zip(keys.tolist(), d.tolist(), strict=True):
+                    got[k >> 32, k & 0xFFFFFFFF] += v
+            assert {k: v for k, v in got.items() if v} == chains.merge(pair, new)
+    for merges in ([(97, 98), (256, 97), (97, 97), (258, 258)], [(97, 98), (256, 97), (97, 97), (258, 258)] + [(i, j) for i in range(1, 6) for j in range(200)]):
+        tok = bpe.Tokenizer(merges)
+        some = ["".join(rng.choice("aab") for _ in range(rng.randrange(30))).encode() for _ in range(300)]
+        flat, at = bpe.merge_words(some, bpe._ranks(tok))
+        assert [flat[i:j].tolist() for i, j in zip(at, at[1:])] == [bpe.merge_by_rank(list(s), tok.rank) for s in some]  # noqa: B905
+    assert isinstance(at, np.ndarray)
+
+
+def test_a_map_holds_a_part_of_a_batch(spark):
+    """Parts have whole rows and about as many bytes as asked for, so a map's memory does not grow with its batches."""
+    import pyarrow as pa
+
+    from textmill.operators import arrow
+
+    batch = pa.record_batch([pa.array(range(50)), pa.array(["x" * (i % 7 * 10) for i in range(49)] + [None])], ["k", "t"])
+    parts = list(arrow.parts([batch.slice(3)], 1, 100))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(3, 50))
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts) <= 100 and len(parts) > 10

@@ -9,17 +9,21 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import bound
+from . import arrow
 from .pack import prefix_sum
 from .storage import stored
 
@@ -212,6 +216,14 @@ class Tokenizer:
             return self.bytes[i]
         return next(name for name, k in self.specials.items() if k == i).encode()
 
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens one after another, and by id where a token's begin and how many they are; -1 for an id that is none."""
+        known = sorted([*self.bytes, *self.specials.values()])
+        raw, length = [self.token_bytes(i) for i in known], np.full(known[-1] + 1, -1, np.int64)
+        length[known] = [len(x) for x in raw]
+        first = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+        return np.frombuffer(b"".join(raw), np.uint8), first, length
+
     def decode(self, ids) -> str:
         return b"".join(map(self.token_bytes, ids)).decode("utf-8", errors="replace")
 
@@ -226,22 +238,56 @@ class Tokenizer:
         return cls([(a, b) for a, b, _ in sorted(triples, key=lambda t: t[2])], dict(own.get("special_tokens", {})) if isinstance(own, dict) else {})
 
 
-def _rows_with(batch: pa.RecordBatch, pairs: np.ndarray) -> np.ndarray:
-    """Which rows of (freq, ids) have one of the pairs, given as ascending a << 32 | b."""
-    lists = batch.column(1)
-    ids, at = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-    ids = ids[: at[-1]]
-    found = np.isin(ids[:-1] << 32 | ids[1:], pairs) if len(ids) > 1 else np.zeros(0, bool)
-    found[at[1:-1][(at[1:-1] > 0) & (at[1:-1] <= len(found))] - 1] = False  # the last id of a row and the first of the next
-    have = np.zeros(len(batch), bool)
-    have[np.searchsorted(at, np.flatnonzero(found), "right") - 1] = True
-    return have
-
-
 def _keys(pairs: Iterable[Pair]) -> np.ndarray:
     return np.sort(np.array([a << 32 | b for a, b in pairs], np.int64))
 
 
+#: Between words that stand one after another.
+_GAP = -1
+
+
+def _laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words of (freq, ids) one after another with a gap after each, and the frequency at each place."""
+    ids, at = arrow.values(batch.column(1))
+    x = np.full(len(ids) + len(batch), _GAP, np.int32)
+    own = np.ones(len(x), bool)
+    own[at[1:] + np.arange(len(batch))] = False
+    x[own] = ids
+    return x, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(at) + 1)
+
+
+def _merge_all(x: np.ndarray, w: np.ndarray, pair: Pair, new: int, change: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words as _laid_out() with a pair merged from the left wherever it stands. change gets (pairs as a << 32 | b, how their totals change)."""
+    hit = np.flatnonzero((x[:-1] == pair[0]) & (x[1:] == pair[1]))
+    if not len(hit):
+        return x, w
+    if pair[0] == pair[1]:  # of a run of places that overlap, every second one
+        first = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
+        hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
+    left = np.ones(len(x), bool)
+    left[hit + 1] = False
+    y, v = x[left], w[left]
+    to = hit - np.arange(len(hit))
+    y[to] = new
+    if change is not None:
+        for ids, freq, places, sign in ((x, w, (hit - 1, hit, hit + 1), -1), (y, v, (to - 1, to), 1)):
+            i = np.unique(np.concatenate(places))
+            i = i[(i >= 0) & (i < len(ids) - 1)]
+            i = i[(ids[i] != _GAP) & (ids[i + 1] != _GAP)]
+            change.append((ids[i].astype(np.int64) << 32 | ids[i + 1], sign * freq[i]))
+    return y, v
+
+
+def _summed(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """[t, pair, d] with the changes of each turn and pair added up."""
+    t, pair, d = rows
+    order = np.lexsort((pair, t))
+    t, pair, d = t[order], pair[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (pair[1:] != pair[:-1])])) if len(t) else np.zeros(0, np.int64)
+    d = np.add.reduceat(d, first) if len(t) else d
+    return [c[d != 0] for c in (t[first], pair[first], d)]
+
+
 def _guess(frequent: DataFrame, counts: DataFrame, merges: list[Pair], first: Pair, n: int, pairs: int = 20_000) -> list[Pair]:
     """first, and the merges that would follow it if each pair stood in all words among the same neighbours as in the frequent ones.
 
@@ -250,23 +296,29 @@ def _guess(frequent: DataFrame, counts: DataFrame, merges: list[Pair], first: Pa
     """
 
     def run(batches):
-        rank, rows, total = {p: 256 + i for i, p in enumerate(merges)}, [], {}
+        laid, total = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], {}
         for b in batches:
-            for pair, f, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if pair:
-                    total[tuple(ids)] = float(f)
-                else:
-                    rows.append((f, merge_by_rank(ids, rank)))
-        words, out, pair = Symbols(rows), [], first
-        best = [(-x, p) for p, x in total.items()]
+            top = b.filter(b.column(0))
+            total |= {tuple(ids): float(f) for f, ids in zip(top.column(1).to_pylist(), top.column(2).to_pylist(), strict=True)}
+            laid.append(_laid_out(b.filter(pc.invert(b.column(0))).select([1, 2])))
+        x, w = (np.concatenate(c) for c in zip(*laid, strict=True))
+        for i, p in enumerate(merges):
+            x, w = _merge_all(x, w, p, 256 + i)
+        out, pair = [], first
+        best = [(-c, p) for p, c in total.items()]
         heapq.heapify(best)
         while len(out) < n:
-            seen = words.total.get(pair, 0)
+            seen = int(w[:-1][(x[:-1] == pair[0]) & (x[1:] == pair[1])].sum())
             scale = total.pop(pair, float(seen)) / max(seen, 1)
-            for p, d in words.merge(pair, 256 + len(merges) + len(out)).items():
-                if p != pair and (p in total or d > 0):
-                    total[p] = total.get(p, 0.0) + d * scale
-                    heapq.heappush(best, (-total[p], p))
+            change: list = []
+            x, w = _merge_all(x, w, pair, 256 + len(merges) + len(out), change)
+            if change:
+                _, keys, d = _summed([np.zeros(sum(len(p) for p, _ in change), np.int32), *(np.concatenate(c) for c in zip(*change, strict=True))])
+                for k, d_ in zip(keys.tolist(), d.tolist(), strict=True):
+                    p = k >> 32, k & 0xFFFFFFFF
+                    if p != pair and (p in total or d_ > 0):
+                        total[p] = total.get(p, 0.0) + d_ * scale
+                        heapq.heappush(best, (-total[p], p))
             out.append((len(out), *pair))
             while best and total.get(best[0][1]) != -best[0][0]:
                 heapq.heappop(best)
@@ -280,43 +332,45 @@ def _guess(frequent: DataFrame, counts: DataFrame, merges: list[Pair], first: Pa
     return [(r.a, r.b) for r in sorted(both.coalesce(1).mapInArrow(run, "t int, a int, b int").collect())]
 
 
-def _changes(words: DataFrame, merges: list[Pair], guess: list[Pair], memory: int = 300_000) -> DataFrame:
-    """(t, a, b, d): how each guessed merge would change each pair's total, after the merges and the guesses before it. Only words that have one of the
-    pairs are taken up; each batch of them is indexed by pair."""
-    known, asked = _keys(merges), _keys([*merges, *guess])
+def _changes(words: DataFrame, merges: list[Pair], guess: list[Pair], done: int = 0, memory: int = 300_000) -> DataFrame:
+    """(t, a, b, d): how each guessed merge would change each pair's total, after the merges and the guesses before it. The words of a batch are
+    one array, in which a merge is a few NumPy passes. done: the merges that the words have had."""
 
     def run(batches):
-        rank, out = {p: 256 + i for i, p in enumerate(merges)}, defaultdict(int)
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
         def rows():
-            cols = list(zip(*((*k, d) for k, d in out.items() if d), strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["t", "a", "b", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array((held[1] >> 32).astype(np.int32)), pa.array((held[1] & 0xFFFFFFFF).astype(np.int32)), pa.array(held[2])], ["t", "a", "b", "d"])
 
-        for batch in batches:
-            some = batch.filter(pa.array(_rows_with(batch, asked)))
-            older = _rows_with(some, known) if len(some) else ()
-            words = Symbols((f, merge_by_rank(ids, rank) if old else ids) for f, ids, old in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), older, strict=True))
+        for batch in arrow.parts(batches, 1, 1 << 18):
+            x, w = _laid_out(batch)
+            for i, pair in enumerate(merges[done:], done):
+                x, w = _merge_all(x, w, pair, 256 + i)
+            out = [held]
             for t, pair in enumerate(guess):
-                for p, d in words.merge(pair, 256 + len(merges) + t).items():
-                    out[(t, *p)] += d
-            if len(out) > memory:
+                change: list = []
+                x, w = _merge_all(x, w, pair, 256 + len(merges) + t, change)
+                out += [[np.full(len(p), t, np.int32), p, d] for p, d in change]
+            held = _summed([np.concatenate(c) for c in zip(*out, strict=True)])
+            if len(held[0]) > memory:
                 yield rows()
-                out.clear()
+                held = [c[:0] for c in held]
         yield rows()
 
     parts = words.mapInArrow(run, "t int, a int, b int, d long")
     return parts.groupBy("t", "a", "b").agg(F.sum("d").alias("d")).filter("d <> 0")
 
 
-def _merged_words(words: DataFrame, merges: list[Pair]) -> DataFrame:
-    """(freq, ids) with the merges done; words of one id go."""
-    known = _keys(merges)
+def _merged_words(words: DataFrame, merges: list[Pair], done: int = 0) -> DataFrame:
+    """(freq, ids) with the merges after the first done ones; words of one id go."""
 
     def run(batches):
-        rank = {p: 256 + i for i, p in enumerate(merges)}
-        for batch in batches:
-            ids = [merge_by_rank(w, rank) if old else w for w, old in zip(batch.column(1).to_pylist(), _rows_with(batch, known), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["freq", "ids"])
+        for batch in arrow.parts(batches, 1, 1 << 18):
+            x, w = _laid_out(batch)
+            for i, pair in enumerate(merges[done:], done):
+                x, w = _merge_all(x, w, pair, 256 + i)
+            end = np.flatnonzero(x == _GAP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrow.lists(x[x != _GAP], np.append(0, end - np.arange(len(end))))], ["freq", "ids"])
 
     return words.mapInArrow(run, "freq long, ids array<int>").filter(F.size("ids") > 1)
 
@@ -346,13 +400,13 @@ def _right(counts: DataFrame, changes: DataFrame, guess: list[Pair]) -> int:
     return n if wrong is None else wrong
 
 
-def merge_rounds(hist: DataFrame, vocab: int, frequent: int = 200_000, ahead: int = 64, most: int = 1024) -> Iterator[list[Pair]]:
+def merge_rounds(hist: DataFrame, vocab: int, frequent: int = 200_000, ahead: int = 64, most: int = 1024, again: int = 96) -> Iterator[list[Pair]]:
     """The merges of a table (chunk, freq) of any size, in order, some of them a round.
 
     Each round guesses the next merges from the most frequent words, counts in one pass over all words how they would change the pairs' totals, and keeps the
     guesses up to the first that another pair beats. So the merges are those of all words; the guess decides only how many a round finds. Its
     first one is the best pair of the table of totals, so no round finds none. The totals are a table that the accepted changes are added to; the words are
-    written anew after ``most`` merges, and taken as merged till then. Neither comes to the driver, which gets the guessed pairs and their totals.
+    written anew after ``again`` merges (``most`` if that is less), and taken as merged till then. Neither comes to the driver, which gets the guessed pairs and their totals.
 
     frequent: words that guesses are made from (of 256 bytes at most); ahead: the first number of guesses, which doubles as long as they are right.
     """
@@ -366,7 +420,7 @@ def merge_rounds(hist: DataFrame, vocab: int, frequent: int = 200_000, ahead: in
         if best.cnt is None:
             return
         guess = _guess(usual, counts, merges, (best.a, best.b), min(ahead, left))
-        changes = stored(_changes(words, merges, guess), "changes")
+        changes = stored(_changes(words, merges, guess, written), "changes")
         n = _right(counts, changes, guess)
         merges += guess[:n]
         yield guess[:n]
@@ -374,8 +428,8 @@ def merge_rounds(hist: DataFrame, vocab: int, frequent: int = 200_000, ahead: in
             return
         done = changes.filter(F.col("t") < n).select("a", "b", F.col("d").alias("cnt"))
         counts = stored(counts.select("a", "b", "cnt").unionByName(done).groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"), "pairs")
-        if len(merges) - written >= most:
-            words, written = stored(_merged_words(words, merges), "words"), len(merges)
+        if len(merges) - written >= min(most, again):
+            words, written = stored(_merged_words(words, merges, written), "words"), len(merges)
         ahead = min(most, max(16, 2 * n))
 
 
@@ -428,38 +482,159 @@ def encode_chunks(chunks: DataFrame, tok: Tokenizer) -> DataFrame:
     return chunks.select("chunk").mapInArrow(run, "chunk string, ids array<int>")
 
 
-def encode_documents(docs: DataFrame, tok: Tokenizer, key: str = "doc_id", specials: list[str] | None = None) -> DataFrame:
-    """(key, ids): each worker encodes its documents and remembers the pre-tokens it has met; nothing is shuffled.
-
-    specials: the strings that stand for themselves; the longest is tried first. None: all text is ordinary.
+#: White space of one byte, and the bytes that it, a longer one or a separator (U+001C to U+001F) may end with.
+_SPACE, _MAY_END = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), 0x20]] = True
+_MAY_END[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+
+
+def _spans(data: np.ndarray, at: np.ndarray, special: bool, whole: bool = False) -> np.ndarray:
+    """Where spans that can be encoded by themselves begin: each row's start, white space after what surely is none, and ASCII signs and digits after an ASCII
+    letter. No pre-token goes on from the one into the other, and none looks back. special: there are strings that stand for themselves, so white space
+    alone counts; whole: not even that."""
+    cut = np.zeros(len(data), bool)
+    if not whole:
+        cut[1:] = _SPACE[data[1:]] & ~_MAY_END[data[:-1]]
+        if not special:
+            cut[1:] |= _SIGN[data[1:]] & _LETTER[data[:-1]]
+    cut[at[:-1][at[:-1] < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+class Recent:
+    """What was put lately: a generation of about most bytes and the one before it."""
+
+    def __init__(self, most: int = 1 << 25):
+        self.most, self.new, self.old, self.held = most, {}, {}, 0
+
+    def get(self, key: str) -> bytes | None:
+        if (got := self.new.get(key)) is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        self.new[key] = value
+        self.held += 200 + 2 * len(key) + len(value)
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+
+
+_NO_MERGE = (1 << 31) - 1
+#: Bytes of a pre-token beyond which it is merged by itself.
+_LONG = 4096
+
+
+def _ranks(tok: Tokenizer):
+    """look(a, b): the new id of each pair of two arrays, _NO_MERGE where there is none or a gap."""
+    keys, n = _keys(tok.rank), 256 + len(tok.merges)
+    new = np.array([tok.rank[k >> 32, k & 0xFFFFFFFF] for k in keys.tolist()], np.int32)
+    if n <= 1024:
+        table = np.full((n + 1, n + 1), _NO_MERGE, np.int32)  # a gap is -1, the last row and column
+        table[keys >> 32, keys & 0xFFFFFFFF] = new
+        return lambda a, b: table[a, b]
+
+    def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = a.astype(np.int64) << 32 | b.astype(np.int64) & 0xFFFFFFFF
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return np.where((keys[at] == k) & (b != _GAP), new[at], _NO_MERGE).astype(np.int32)
+
+    return look
+
+
+def merge_words(words: list[bytes], look) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of many words one after another, and their bounds. A round does each word's first merge, as merge_by_rank() does, in a few NumPy passes
+    over the words that have one; a word has as many rounds as merges at most."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    x, word, done = np.full(int(size.sum()) + len(words), _GAP, np.int32), np.arange(len(words)), []
+    own = np.ones(len(x), bool)
+    own[np.cumsum(size) + word] = False
+    x[own] = np.frombuffer(b"".join(words), np.uint8)
+    while len(word):
+        end = np.flatnonzero(x == _GAP)
+        start = np.append(0, end[:-1] + 1)
+        new = np.append(look(x[:-1], x[1:]), np.int32(_NO_MERGE))
+        low = np.minimum.reduceat(new, start)
+        hit = np.flatnonzero((new == np.repeat(low, end - start + 1)) & (new != _NO_MERGE))
+        if len(hit):  # of a run of places that overlap, every second one
+            first = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
+            hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
+        over = low == _NO_MERGE
+        left = ~np.repeat(over, end - start + 1)
+        done.append((word[over], (end - start)[over], x[~left & (x != _GAP)]))
+        x[hit] = new[hit]
+        left[hit + 1] = False
+        x, word = x[left], word[~over]
+    if not done:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    word, size, flat = (np.concatenate(c) for c in zip(*done, strict=True))
+    order = np.argsort(word)
+    return arrow.gathered(flat, (np.cumsum(size) - size)[order], size[order])
+
+
+def encode_documents(docs: DataFrame, tok: Tokenizer, key: str = "doc_id", specials: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, ids): each worker encodes its documents, some megabytes at a time; nothing is shuffled.
+
+    A part's texts are cut into spans at white space, Arrow finds the different ones, and only those that the worker has not met lately are encoded.
+    specials: the strings that stand for themselves; the longest is tried first. None: all text is ordinary. carry: columns to pass on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tok)
     pieces = "|".join(regex.escape(s) for s in sorted(specials or [], key=len, reverse=True))
+    whole = any(regex.search(r"\s", s) for s in specials or [])  # a cut could go through it
 
     def run(batches):
-        tok, split, memory = shared.value, regex.compile(PATTERN), {}
-        cut = regex.compile(f"({pieces})") if pieces else None
+        tok, split, known = shared.value, regex.compile(PATTERN), Recent()
+        special, look = regex.compile(f"({pieces})") if pieces else None, _ranks(tok) if tok.merges else None
 
         def ordinary(text: str) -> list[int]:
-            out: list[int] = []
-            for c in split.findall(text):
-                if c not in memory:
-                    if len(memory) > 500_000:
-                        memory.clear()
-                    memory[c] = tok.encode_chunk(c)
-                out += memory[c]
+            return [x for c in split.findall(text) for x in tok.encode_chunk(c)]
+
+        def encode(spans: list[str]) -> list[bytes]:
+            out, where, words, ends = [b""] * len(spans), [], [], [0]
+            for i, span in enumerate(spans):
+                if special and special.search(span):
+                    ids = (x for k, part in enumerate(special.split(span)) for x in ([tok.specials[part]] if k % 2 else ordinary(part)))
+                    out[i] = array("i", ids).tobytes()
+                elif look is None:
+                    out[i] = np.frombuffer(span.encode(), np.uint8).astype(np.int32).tobytes()
+                elif len(span) > _LONG:
+                    out[i] = array("i", ordinary(span)).tobytes()
+                else:
+                    one = span.isascii() and (span[1:] if span[0] == " " else span).isalpha()  # surely one pre-token
+                    words += [span.encode()] if one else [c.encode() for c in split.findall(span)]
+                    where.append(i)
+                    ends.append(len(words))
+            flat, at = merge_words(words, look)
+            at, raw = (4 * at[ends]).tolist(), flat.tobytes()
+            for k, i in enumerate(where):
+                out[i] = raw[at[k] : at[k + 1]]
             return out
 
-        def encode(text: str) -> list[int]:
-            if not cut:
-                return ordinary(text)
-            return [x for i, part in enumerate(cut.split(text)) for x in ([tok.specials[part]] if i % 2 else ordinary(part))]
-
-        for batch in batches:
-            ids = [encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
-
-    return docs.select(key, "text").mapInArrow(run, f"{key} long, ids array<int>")
+        for batch in arrow.parts(batches, 1, 1 << 20):
+            data, at = arrow.text_bytes(batch.column(1))
+            if tok.merges or special:
+                start = _spans(data, at, special is not None, whole)
+                spans = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+                texts = spans.dictionary.to_pylist()
+                made = [known.get(x) for x in texts]
+                new = [i for i, ids in enumerate(made) if ids is None]
+                for i, ids in zip(new, encode([texts[i] for i in new]), strict=True):
+                    made[i] = ids
+                    known.put(texts[i], ids)
+                length = np.fromiter(map(len, made), np.int64, len(made)) // 4
+                which = spans.indices.to_numpy(zero_copy_only=False)
+                ids, ends = arrow.gathered(np.frombuffer(b"".join(made), np.int32), (np.cumsum(length) - length)[which], length[which])
+                at = ends[np.searchsorted(start, at)]
+            else:  # every byte is a token
+                ids = data.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], arrow.lists(ids, at)], [key, *carry, "ids"])
+
+    rows = docs.select(key, "text", *carry)
+    return rows.mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), *rows.schema.fields[2:], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def encode_by_join(docs: DataFrame, tok: Tokenizer, key: str = "doc_id") -> DataFrame:
@@ -470,15 +645,23 @@ def encode_by_join(docs: DataFrame, tok: Tokenizer, key: str = "doc_id") -> Data
     return docs.select(key).join(parts, key, "left").select(key, F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), F.array().cast("array<int>")).alias("ids"))
 
 
-def decode_documents(rows: DataFrame, tok: Tokenizer, key: str = "doc_id") -> DataFrame:
-    """(key, text) of (key, ids)."""
+def decode_documents(rows: DataFrame, tok: Tokenizer, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry, text) of (key, ids, carry), some 100,000 ids at a time."""
     shared = rows.sparkSession.sparkContext.broadcast(tok)
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], [key, "text"])
-
-    return rows.select(key, "ids").mapInArrow(run, f"{key} long, text string")
+        pool, first, length = shared.value.table()
+        for batch in arrow.parts(batches, 1, 1 << 18):
+            ids, at = arrow.values(batch.column(1))
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(length) or (length[ids] < 0).any()):
+                raise ValueError("an id that is no token's")
+            data, ends = arrow.gathered(pool, first[ids], length[ids])
+            raw, ends = data.tobytes(), ends[at].tolist()
+            texts = [raw[i:j].decode("utf-8", errors="replace") for i, j in zip(ends, ends[1:])]  # noqa: B905
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(texts, pa.string())], [key, *carry, "text"])
+
+    own = rows.select(key, "ids", *carry)
+    return own.mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), *own.schema.fields[2:], T.StructField("text", T.StringType())]))
 
 
 class StreamDecoder:
