@@ -455,8 +455,8 @@ def bpe_round_trip(spark, sf_dir):
 @query()
 def compression_ratio(spark, sf_dir):
     tok, docs = _tokenizer(spark, sf_dir), documents(spark, sf_dir)
-    n = bpe.encode_documents(docs, tok).agg(F.sum(F.size("ids")).alias("tokens"))
-    return docs.agg(F.sum(F.length("text")).alias("chars")).join(n).select("chars", "tokens", F.round(F.col("chars") / F.greatest("tokens", F.lit(1)), 3).alias("chars_per_token"))
+    ids = bpe.encode_documents(docs.withColumn("n", F.length("text")), tok, carry=("n",))
+    return ids.agg(F.sum("n").alias("chars"), F.sum(F.size("ids")).alias("tokens")).select("chars", "tokens", F.round(F.col("chars") / F.greatest("tokens", F.lit(1)), 3).alias("chars_per_token"))
 
 
 @query("SELECT CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS tokens, round(sum(length(text)) / sum(strlen(text)), 3) AS chars_per_token FROM documents")
