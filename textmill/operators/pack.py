@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import stored
+
 RANGE = 4096
 #: 2**53 steps make a uniform double.
 _UNIT = float(1 << 53)
@@ -167,12 +169,13 @@ def pack_corpus(docs: DataFrame, ids: Column, order: str, split: Column, eot: in
     The splits' streams follow each other in the order of their names, and start_pos counts within each.
     """
     rows = docs.select(order, split.alias("split"), F.concat(ids, F.array(F.lit(eot))).alias("ids"))
+    rows = stored(rows.withColumn("_n", F.size("ids")), "encoded")  # it is read for the names, the totals and the ids of each split
     names = sorted(r.split for r in rows.select("split").distinct().collect())
     out = None
     for name in names:
-        one = prefix_sum(rows.filter(F.col("split") == name), F.size("ids"), order, "start_pos")
+        one = prefix_sum(rows.filter(F.col("split") == name), F.col("_n"), order, "start_pos").drop("_n")
         out = one if out is None else out.unionByName(one)
-    return rows.withColumn("start_pos", F.lit(0).cast("long")).limit(0) if out is None else out
+    return rows.drop("_n").withColumn("start_pos", F.lit(0).cast("long")).limit(0) if out is None else out
 
 
 def token_dtype(vocab: int) -> str:

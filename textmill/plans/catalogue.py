@@ -573,7 +573,7 @@ def pack_corpus(spark, sf_dir):
     """The corpus as token files: encoded, ended, split, written as a file for each task, and read again."""
     docs, path = documents(spark, sf_dir), shared_dir(spark, "bins")
     token_bin.install(spark)
-    rows = stored(pack.pack_corpus(docs, chat.byte_ids(F.col("text")), "doc_id", pack.hash_split(F.col("doc_id"), 0.1), 256), "corpus")
+    rows = stored(pack.pack_corpus(bpe.encode_documents(docs, bpe.Tokenizer([])), F.col("ids"), "doc_id", pack.hash_split(F.col("doc_id"), 0.1), 256), "corpus")
     out = None
     for name in sorted(r.split for r in rows.select("split").distinct().collect()):
         own = rows.filter(F.col("split") == name).select("start_pos", "ids").repartitionByRange("start_pos").sortWithinPartitions("start_pos")
