@@ -600,8 +600,8 @@ def trained_corpus(spark, sf_dir):
         own.select("start_pos", "ids").repartitionByRange("start_pos").sortWithinPartitions("start_pos").write.format("token_bin").mode("overwrite").options(path=to, dtype=pack.token_dtype(tok.vocab_size), eot_id=end, vocab_size=tok.vocab_size).save()
         back = token_bin.spans(own.select(F.col("doc_id").alias("key"), F.col("start_pos").alias("offset"), F.size("ids").alias("n")), to)
         ended = F.get("ids", F.size("ids") - 1) == end
-        plain = bpe.decode_documents(back.select(F.col("key").alias("doc_id"), F.slice("ids", F.lit(1), F.size("ids") - 1).alias("ids")), tok)
-        one = plain.join(back.select(F.col("key").alias("doc_id"), ended.alias("ended")), "doc_id").select("doc_id", F.lit(name).alias("split"), F.md5("text").alias("digest"), "ended")
+        plain = bpe.decode_documents(back.select(F.col("key").alias("doc_id"), F.slice("ids", F.lit(1), F.size("ids") - 1).alias("ids"), ended.alias("ended")), tok, carry=("ended",))
+        one = plain.select("doc_id", F.lit(name).alias("split"), F.md5("text").alias("digest"), "ended")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -282,7 +282,12 @@ def spans(asked: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = [(k, o, n) for k, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if o is not None and n is not None and 0 <= o <= o + n <= meta["n_tokens"]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), pa.array([read(o, n) for _, o, n in rows], pa.list_(pa.int32()))], ["key", "ids"])
+            ends = np.cumsum([n for _, _, n in rows], dtype=np.int64)
+            lo = 0
+            while lo < len(rows):  # about a million ids at once
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows[lo:hi]], pa.int64()), pa.array([read(o, n) for _, o, n in rows[lo:hi]], pa.list_(pa.int32()))], ["key", "ids"])
+                lo = hi
 
     return asked.select(*(F.col(c).cast("long").alias(c) for c in ("key", "offset", "n"))).mapInArrow(run, "key long, ids array<int>")
 
