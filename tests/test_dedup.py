@@ -111,3 +111,14 @@ def test_components_of_any_shape(spark, shape):
             root[b] = a
     got = {r.doc_idx: r.component for r in dedup.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_signatures_of_lines_are_those_of_shingles():
+    import numpy as np
+
+    offsets = dedup.permutation_offsets()
+    for words in ([], ["a"], list("abcd"), list("abcde"), ["é1", "b_", "c"] * 9, [str(i) for i in range(1500)]):
+        items = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        line = np.frombuffer(" ".join(words).encode(), np.uint8)
+        assert (dedup.line_signature(line, offsets, 5) == dedup.signature_of(items, offsets)).all()
+        assert (dedup._lowest(np.array([7, 9], np.uint64), offsets) == dedup.splitmix64(np.array([[7, 9]], np.uint64) + offsets[:, None]).min(axis=1)).all()

@@ -36,6 +36,11 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}_]+)"))
 
 
+def word_line(text: Column) -> Column:
+    """The word tokens, with a space between any two: no token has one."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_]+", " "))
+
+
 def _solid(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 

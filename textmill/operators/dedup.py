@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles
+from ..functions.text import word_line
+from . import arrow
 from .storage import join_unique, stored
 
 # The mixer's constants.
@@ -38,25 +39,58 @@ def signature_of(items: list[str], offsets: np.ndarray) -> np.ndarray:
     """For each permutation, the smallest mixed hash of the shingles; all ones where there is none."""
     if not items:
         return np.full(len(offsets), EMPTY, np.uint64)
-    base = np.array([zlib.crc32(s.encode()) for s in items], np.uint64)
+    return _lowest(np.array([zlib.crc32(s.encode()) for s in items], np.uint64), offsets)
+
+
+def _lowest(base: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each permutation, the smallest mixed hash; base has one at least."""
     low = np.full(len(offsets), EMPTY, np.uint64)
-    for at in range(0, len(base), 2048):  # memory stays bounded for long texts
-        low = np.minimum(low, splitmix64(base[None, at : at + 2048] + offsets[:, None]).min(axis=1))
+    for at in range(0, len(base), 512):  # memory stays bounded for long texts
+        z = base[None, at : at + 512] + (offsets + np.uint64(MIX_ADD))[:, None]
+        t = np.empty_like(z)
+        for shift, factor in ((30, MIX_1), (27, MIX_2), (31, None)):  # splitmix64() in place
+            np.right_shift(z, np.uint64(shift), out=t)
+            np.bitwise_xor(z, t, out=z)
+            if factor:
+                np.multiply(z, np.uint64(factor), out=z)
+        np.minimum(low, z.min(axis=1), out=low)
     return low
 
 
+def shingle_bounds(line: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """Where the k-word shingles of a line of words (its bytes) begin and end; all words are one if there are fewer, none of an empty line."""
+    if not len(line):
+        return [], []
+    gap = np.flatnonzero(line == 32)
+    if len(gap) < k - 1:
+        return [0], [len(line)]
+    start, end = np.append(0, gap + 1), np.append(gap, len(line))
+    return start[: len(start) - k + 1].tolist(), end[k - 1 :].tolist()
+
+
+def line_signature(line: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """signature_of() the shingles of a line of words, which are hashed where they lie."""
+    start, end = shingle_bounds(line, k)
+    if not start:
+        return np.full(len(offsets), EMPTY, np.uint64)
+    raw = memoryview(line.tobytes())
+    crc = np.fromiter((zlib.crc32(raw[i:j]) for i, j in zip(start, end, strict=True)), np.uint32, len(start))
+    return _lowest(np.unique(crc).astype(np.uint64), offsets)
+
+
 def signatures(docs: DataFrame, num_perm: int = 128, seed: int = 1, k: int = 5) -> DataFrame:
     """(doc_idx, chars, signature): signature holds the bit patterns of uint64 in an array of longs."""
     offsets = permutation_offsets(num_perm, seed)
 
     def run(batches):
-        for batch in batches:
-            sig = np.stack([signature_of(s, offsets) for s in batch.column(2).to_pylist()]) if batch.num_rows else np.zeros((0, num_perm), np.uint64)
+        for batch in arrow.parts(batches, 2, 1 << 20):
+            data, row = arrow.text_bytes(batch.column(2))
+            sig = np.stack([line_signature(data[i:j], offsets, k) for i, j in zip(row, row[1:])])  # noqa: B905
             flat = pa.array(sig.reshape(-1).view(np.int64))
             at = pa.array(np.arange(0, sig.size + 1, num_perm, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, flat)], ["doc_idx", "chars", "signature"])
 
-    rows = docs.select("doc_idx", F.length("text").cast("long").alias("chars"), shingles(F.coalesce("text", F.lit("")), k).alias("shingles"))
+    rows = docs.select("doc_idx", F.length("text").cast("long").alias("chars"), word_line(F.coalesce("text", F.lit(""))).alias("line"))
     return rows.mapInArrow(run, "doc_idx long, chars long, signature array<long>")
 
 
@@ -115,6 +149,27 @@ def candidate_edges(keys: DataFrame) -> DataFrame:
     return join_unique(flat, stored(found, "buckets"), ["band", "a", "b"], "members").filter("doc_idx <> anchor").select(F.col("anchor").alias("src"), F.col("doc_idx").alias("dst")).distinct()
 
 
+def edge_jaccard(edges: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """(src, dst, jaccard): the true similarity of the shingles of the two texts of each edge. Lines of words are joined to the edges, and an edge's
+    sets of shingles are made where they are compared: as a table they would be k times the text."""
+
+    def run(batches):
+        for wide in arrow.parts(batches, 2, 1 << 20):
+            for batch in arrow.parts([wide], 3, 1 << 20):
+                out = []
+                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    x, y = ({raw[i:j] for i, j in zip(*shingle_bounds(np.frombuffer(raw, np.uint8), k), strict=True)} for raw in (a.encode(), b.encode()))
+                    both = len(x & y)
+                    out.append(both / max(len(x) + len(y) - both, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["src", "dst", "jaccard"])
+
+    lines = docs.select("doc_idx", word_line(F.coalesce("text", F.lit(""))).alias("line"))
+    ends = edges.select(F.col("src").alias("doc_idx")).unionAll(edges.select("dst")).distinct()
+    lines = stored(lines.join(ends, "doc_idx", "left_semi"), "lines")
+    both = edges.join(lines.select(F.col("doc_idx").alias("src"), F.col("line").alias("a")), "src").join(lines.select(F.col("doc_idx").alias("dst"), F.col("line").alias("b")), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, jaccard double")
+
+
 def confirmed_edges(edges: DataFrame, sigs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The edges whose estimate reaches the threshold. Signatures of anchors with many edges are joined by broadcast."""
     edges = stored(edges, "candidates")
