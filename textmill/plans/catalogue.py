@@ -321,11 +321,7 @@ def shingle_counts(spark, sf_dir):
 def anchor_jaccard(spark, sf_dir):
     """True similarity of each document to the anchors of its LSH buckets, over whole texts: a star, not all pairs."""
     edges = stored(dedup.candidate_edges(dedup.band_keys(_signatures(spark, sf_dir))), "edges")
-    rows = stored(documents(spark, sf_dir).select("doc_id", T.shingles(F.col("text")).alias("s")), "shingles")
-    both = edges.join(rows.withColumnsRenamed({"doc_id": "src", "s": "a"}), "src").join(rows.withColumnsRenamed({"doc_id": "dst", "s": "b"}), "dst")
-    inter = F.size(F.array_intersect("a", "b"))
-    union = F.greatest(F.size("a") + F.size("b") - inter, F.lit(1))  # shingles are distinct
-    return both.select(F.col("dst").alias("doc_id"), F.col("src").alias("anchor"), r6(inter / union, "jaccard"))
+    return dedup.edge_jaccard(edges, indexed(spark, sf_dir)).select(F.col("dst").alias("doc_id"), F.col("src").alias("anchor"), r6("jaccard", "jaccard"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
