@@ -384,7 +384,8 @@ def dedup_keep(spark, sf_dir):
 
 @query()
 def dedup_filtered_keep(spark, sf_dir):
-    return dedup.dedup(quality.quality_filter(indexed(spark, sf_dir))).select("doc_idx")
+    good = stored(quality.quality_filter(indexed(spark, sf_dir)).select("doc_idx", "text"), "good")  # it is read twice
+    return dedup.dedup(good).select("doc_idx")
 
 
 @query()
